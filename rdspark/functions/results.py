@@ -73,9 +73,33 @@ def parse_bool(text, strict: bool = False) -> Column:
             .otherwise(complaint.cast("boolean")))
 
 
+def round_exact(value, digits: int) -> Column:
+    """Rounded at a number of decimals by the exact binary value, ties to even.
+
+    Built-in rounding looks at the shortest decimal text, so 28.47625 (a little above that text) would
+    count as a tie. Here the product with the power of ten is split into its rounded part and its exact
+    error, and the sum of both decides. Values too large for that have no decimals to round.
+    """
+    x = col(value).cast("double")
+    scale = float(10 ** int(digits))
+    p = x * scale
+    split = lambda c: c * 134217729.0 - (c * 134217729.0 - c)  # noqa: E731  upper half of the mantissa
+    s_hi = scale * 134217729.0 - (scale * 134217729.0 - scale)
+    x_hi = split(x)
+    x_lo, s_lo = x - x_hi, scale - s_hi
+    error = ((x_hi * s_hi - p) + x_hi * s_lo + x_lo * s_hi) + x_lo * s_lo
+    low = F.floor(p).cast("double")
+    over = (p - low - 0.5) + error
+    up = (over > 0) | ((over == 0) & (F.pmod(low, F.lit(2.0)) == 1))
+    n = F.when(up, low + 1).otherwise(low)
+    out = F.when((n == 0) & (x < 0), F.lit(-0.0)).otherwise(n / scale)
+    return F.when(F.abs(p) < 2.0 ** 51, out).otherwise(x)
+
+
 def fixed_digits(value, digits: int) -> Column:
     """Text with a fixed number of decimals (6 in logs, 1 in reports)."""
-    return F.format_string(f"%.{int(digits)}f", col(value).cast("double"))
+    text = F.format_string(f"%.{int(digits)}f", round_exact(value, digits))
+    return F.when(col(value).isNotNull(), text)
 
 
 def rd_cost(bpp, mse, lam) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from rdspark.functions.results import col
+from rdspark.functions.results import fixed_digits
 
 ALL_METRICS = ["psnr", "msssim", "psnr_y", "psnr_u", "psnr_v", "msssim_y", "msssim_u", "msssim_v"]
 FRAME_GROUPS = ["i", "p", "all"]
@@ -272,5 +272,4 @@ def flatten_datasets(points: DataFrame, strict_names: bool = True) -> DataFrame:
 
 def report_cells(df: DataFrame, value: str = "bd_rate", digits: int = 1) -> DataFrame:
     """Report text of a value, with the fixed number of digits."""
-    text = F.format_string(f"%.{digits}f", col(value))
-    return df.withColumn(value, F.when(col(value).isNotNull(), text))
+    return df.withColumn(value, fixed_digits(value, digits))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
-from rdspark.functions.results import bits_per_pixel, col
+from rdspark.functions.results import bits_per_pixel, chunk_weight, col, fixed_digits, information_bits
 
 POINT_KEYS = ["method", "dataset", "sequence", "rate_idx"]
 PLANES = ["y", "u", "v"]
@@ -144,7 +144,7 @@ def rate_quality_label(frames: DataFrame, keys: Sequence[str] = POINT_KEYS) -> D
     """Mean rate and quality as a run label ``{rate}_{bpp:.4f}_{psnr:.4f}``."""
     g = frames.groupBy(*keys).agg(
         (F.avg("bits") / F.max("pixel_num")).alias("avg_bpp"), F.avg("psnr").alias("avg_psnr"))
-    return g.withColumn("label", F.format_string("%d_%.4f_%.4f", "rate_idx", "avg_bpp", "avg_psnr"))
+    return g.withColumn("label", F.concat_ws("_", "rate_idx", fixed_digits("avg_bpp", 4), fixed_digits("avg_psnr", 4)))
 
 
 def frame_type_groups(frames: DataFrame, keys: Sequence[str] = POINT_KEYS) -> DataFrame:
@@ -184,7 +184,6 @@ def best_rate_per_multiplier(points: DataFrame, keys: Sequence[str], lam: Column
 
 def chunk_distortion(frames: DataFrame, keys: Sequence[str], position: str = "frame_idx") -> DataFrame:
     """Weighted error of each chunk of eight frames; chunks with a missing frame are left out."""
-    from rdspark.functions.results import chunk_weight
     g = (frames.withColumn("chunk_no", F.floor(F.col(position) / 8).cast("bigint"))
          .groupBy(*keys, "chunk_no")
          .agg(F.sum(F.col("mse") * chunk_weight(position)).alias("weighted_mse"), F.count(F.lit(1)).alias("__n")))
@@ -197,7 +196,6 @@ def symbol_information(df: DataFrame, group: Sequence[str], symbol: str) -> Data
     Symbols are counted first, so the second level sees one row per (group, symbol). The group total
     comes from an aggregate over those counts; the hot groups have been reduced before any join.
     """
-    from rdspark.functions.results import information_bits
     counts = df.groupBy(*group, symbol).agg(F.count(F.lit(1)).alias("__n"))
     totals = counts.groupBy(*group).agg(F.sum("__n").alias("__total"))
     weighed = counts.join(totals, list(group))

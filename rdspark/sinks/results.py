@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from rdspark.functions.results import fixed_digits, round_exact
 from rdspark.operators import comparison
 
 LOG_DIGITS = 6
@@ -21,9 +22,9 @@ def _rounded(points: DataFrame, digits: int = LOG_DIGITS):
         kind = f.dataType.simpleString()
         c = F.col(f.name)
         if kind == "double":
-            c = F.round(c, digits)
+            c = round_exact(c, digits)
         elif kind == "array<double>":
-            c = F.transform(c, lambda v: F.round(v, digits))
+            c = F.transform(c, lambda v: round_exact(v, digits))
         out.append(c.alias(f.name))
     return F.struct(*out)
 
@@ -106,8 +107,8 @@ def write_average_curves(images: DataFrame, log_path: str, digits: int = LOG_DIG
     """Averaged curves next to the log they came from; gives the path back."""
     out = average_path(log_path)
     doc = average_curves(images).select(F.to_json(F.create_map("dataset", F.struct(
-        F.transform("bpp", lambda v: F.round(v, digits)).alias("bpp"),
-        F.transform("psnr", lambda v: F.round(v, digits)).alias("psnr")))).alias("value"))
+        F.transform("bpp", lambda v: round_exact(v, digits)).alias("bpp"),
+        F.transform("psnr", lambda v: round_exact(v, digits)).alias("psnr")))).alias("value"))
     doc.write.mode("error").text(out)
     return out
 
@@ -115,7 +116,7 @@ def write_average_curves(images: DataFrame, log_path: str, digits: int = LOG_DIG
 def report_table(bd: DataFrame, methods: Sequence[str], group: str = "dataset", digits: int = 1) -> DataFrame:
     """Groups as rows, methods as text columns with fixed digits; missing values are empty."""
     wide = comparison.rotate(bd, methods, group)
-    cells = [F.when(F.col(m).isNull(), "").otherwise(F.format_string(f"%.{digits}f", F.col(m))).alias(m) for m in methods]
+    cells = [F.coalesce(fixed_digits(m, digits), F.lit("")).alias(m) for m in methods]
     return wide.select("metric", "frame_group", group, *cells)
 
 
