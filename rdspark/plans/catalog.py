@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rdspark.plans.derived import view, view_sql
 from rdspark.plans.evaluate import summarise
+from rdspark.sources.storage import stored
 
 
 class Query(NamedTuple):
@@ -28,6 +29,11 @@ def points(spark: SparkSession, folder: str) -> DataFrame:
     return summarise(view(spark, folder, "frames"))
 
 
+def stored_points(spark: SparkSession, folder: str) -> DataFrame:
+    """The same as a written table: comparisons read the points several times, the frames only once."""
+    return stored(points(spark, folder), "points")
+
+
 METRICS = ["psnr", "msssim", "psnr_y", "psnr_u", "psnr_v", "msssim_y", "msssim_u", "msssim_v"]
 KEYS = "method, dataset, sequence, rate_idx"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rdspark.operators import comparison as c
-from rdspark.plans.catalog import KEYS, POINTS_SQL, Query, points, rounded
+from rdspark.plans.catalog import POINTS_SQL, Query, points, rounded, stored_points
 from rdspark.plans.compare import compare
 from rdspark.plans.derived import view, view_sql
 from rdspark.sinks import results as sinks
@@ -87,15 +87,17 @@ SUMMARY_SQL = (f"{SEQ_BD_SQL}, bsum AS (SELECT c.method, c.dataset, c.frame_grou
 
 
 def _class_bd(spark, sf, metrics=("psnr",)):
-    return compare(points(spark, sf), ANCHOR, "class", metrics)
+    return compare(stored_points(spark, sf), ANCHOR, "class", metrics)
 
 
 def _seq_bd(spark, sf):
-    return c.bd_rate(c.metric_rows(points(spark, sf)), ANCHOR, ["dataset", "sequence"])
+    return c.bd_rate(c.metric_rows(stored_points(spark, sf)), ANCHOR, ["dataset", "sequence"])
 
 
 def _summary(spark, sf):
-    return rounded(c.bd_summary(_class_bd(spark, sf), _seq_bd(spark, sf)), 6)
+    p = stored_points(spark, sf)
+    sequences = c.bd_rate(c.metric_rows(p), ANCHOR, ["dataset", "sequence"])
+    return rounded(c.bd_summary(compare(p, ANCHOR), sequences), 6)
 
 
 def _report(spark, sf):
@@ -103,7 +105,7 @@ def _report(spark, sf):
 
 
 def _report_text(spark, sf):
-    bd = compare(points(spark, sf), ANCHOR, "sequence", groups=("all",))
+    bd = compare(stored_points(spark, sf), ANCHOR, "sequence", groups=("all",))
     return c.report_cells(bd)
 
 
@@ -116,7 +118,7 @@ def _written_report(spark, sf):
 
 def _report_rows(spark, sf):
     """Sequence report in report order: starred rows behind the sequences of their dataset."""
-    bd = compare(points(spark, sf), ANCHOR, "sequence", groups=("all",))
+    bd = compare(stored_points(spark, sf), ANCHOR, "sequence", groups=("all",))
     return rounded(bd.orderBy("dataset", "method", *c.report_order(bd, "sequence")), 6)
 
 

@@ -13,20 +13,31 @@ LOG_DIGITS = 6
 _KEYS = ("method", "dataset", "sequence", "rate_key")
 
 
-def _rounded(points: DataFrame, digits: int = LOG_DIGITS):
-    """Numbers of a point as log columns: doubles at a fixed number of decimals, NULLs left out of the JSON."""
-    out = []
-    for f in points.schema.fields:
-        if f.name in _KEYS:
-            continue
-        kind = f.dataType.simpleString()
-        c = F.col(f.name)
+def _bodies(points: DataFrame, digits: int) -> DataFrame:
+    """Keys of each point and its numbers as JSON text: doubles at a fixed number of decimals, no NULLs.
+
+    The doubles are rounded in one array, so the plan carries the rounding rule once and not per column.
+    """
+    fields = [f for f in points.schema.fields if f.name not in _KEYS]
+    kinds = {f.name: f.dataType.simpleString() for f in fields}
+    doubles = [n for n, k in kinds.items() if k == "double"]
+    rule = lambda v: round_exact(v, digits)
+    staged = points.withColumn("__d", F.transform(F.array(*doubles), rule)) if doubles else points
+    body = []
+    for name, kind in kinds.items():
+        c = F.col(name)
         if kind == "double":
-            c = round_exact(c, digits)
+            c = F.col("__d")[doubles.index(name)]
         elif kind == "array<double>":
-            c = F.transform(c, lambda v: round_exact(v, digits))
-        out.append(c.alias(f.name))
-    return F.struct(*out)
+            c = F.transform(c, rule)
+        body.append(c.alias(name))
+    return staged.select(*[k for k in _KEYS if k in points.columns], F.to_json(F.struct(*body)).alias("j"))
+
+
+def _quoted(column: str):
+    """A text column as a JSON string."""
+    doc = F.to_json(F.struct(F.col(column).alias("k")))
+    return doc.substr(F.lit(6), F.length(doc) - 6)
 
 
 def log_fragments(points: DataFrame, digits: int = LOG_DIGITS) -> DataFrame:
@@ -34,8 +45,9 @@ def log_fragments(points: DataFrame, digits: int = LOG_DIGITS) -> DataFrame:
 
     Any union of such fragments is the nested log, which is what the reader makes of it.
     """
-    nested = F.create_map("dataset", F.create_map("sequence", F.create_map("rate_key", _rounded(points, digits))))
-    return points.select(F.to_json(nested).alias("value"))
+    text = F.concat(F.lit("{"), _quoted("dataset"), F.lit(":{"), _quoted("sequence"), F.lit(":{"), _quoted("rate_key"),
+                    F.lit(":"), "j", F.lit("}}}"))
+    return _bodies(points, digits).select(text.alias("value"))
 
 
 def write_result_log(points: DataFrame, path: str, digits: int = LOG_DIGITS) -> None:
@@ -50,22 +62,21 @@ def document_lines(points: DataFrame, digits: int = LOG_DIGITS) -> DataFrame:
     level, so the document is assembled without gathering it anywhere.
     """
     keys = ["dataset", "sequence", "rate_key"]
-    body = points.select(*keys, F.to_json(_rounded(points, digits)).alias("j"))
+    body = _bodies(points, digits)
     seqs = body.groupBy("dataset", "sequence").agg(F.min("rate_key").alias("r0"), F.max("rate_key").alias("r1"))
     sets = seqs.groupBy("dataset").agg(F.min("sequence").alias("s0"), F.max("sequence").alias("s1"))
     ends = sets.agg(F.min("dataset").alias("d0"), F.max("dataset").alias("d1"))
     levels = (seqs.join(sets, "dataset")
               .withColumn("d0", ends.select("d0").scalar()).withColumn("d1", ends.select("d1").scalar()))
     rows = body.join(levels, ["dataset", "sequence"])
-    quote = lambda c: F.to_json(F.struct(F.col(c).alias("k"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col(c).alias("k")))) - 6)
     r_first, r_last = F.col("rate_key") == F.col("r0"), F.col("rate_key") == F.col("r1")
     s_first, s_last = r_first & (F.col("sequence") == F.col("s0")), r_last & (F.col("sequence") == F.col("s1"))
     first, last = s_first & (F.col("dataset") == F.col("d0")), s_last & (F.col("dataset") == F.col("d1"))
     text = F.concat(
         F.when(first, "{").otherwise(""),
-        F.when(s_first, F.concat(quote("dataset"), F.lit(": {"))).otherwise(""),
-        F.when(r_first, F.concat(quote("sequence"), F.lit(": {"))).otherwise(""),
-        quote("rate_key"), F.lit(": "), "j",
+        F.when(s_first, F.concat(_quoted("dataset"), F.lit(": {"))).otherwise(""),
+        F.when(r_first, F.concat(_quoted("sequence"), F.lit(": {"))).otherwise(""),
+        _quoted("rate_key"), F.lit(": "), "j",
         F.when(r_last, F.lit("}")).otherwise(""), F.when(s_last, F.lit("}")).otherwise(""),
         F.when(last, F.lit("}")).otherwise(F.lit(",")))
     return rows.select(*keys, text.alias("value"))
