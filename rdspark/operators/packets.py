@@ -40,7 +40,7 @@ def allocate_ids(frames: DataFrame, key: Sequence[str] = ("height", "width"), st
     if strict:
         over = F.raise_error(F.lit(f"more than {MAX_SPS} parameter sets in a stream")).cast("int")
         ids = ids.withColumn("sps_id", F.when(F.col("sps_id") < MAX_SPS, F.col("sps_id")).otherwise(over))
-    out = spread_join(frames, ids, [stream, *key], unit_no, how="inner")
+    out = spread_join(frames.drop("sps_id"), ids, [stream, *key], unit_no, how="inner")
     return out.withColumn("sps_new", F.col(unit_no) == F.col("__first")).drop("__first")
 
 

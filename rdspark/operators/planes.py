@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from rdspark.functions import pixels
+from rdspark.functions.ladders import padding
 
 LAYOUTS = ("420", "444", "rgb")
 FRAME_TYPE = "p0 binary, p1 binary, p2 binary"
@@ -93,6 +94,43 @@ def plane_from_samples(samples: Column) -> Column:
     return F.unhex(F.array_join(F.transform(samples, lambda v: F.lpad(F.hex(v.cast("bigint")), 2, "0")), ""))
 
 
+def pad_planes(planes_: DataFrame, multiple: int = 16, mode: str = "replicate", centred: bool = False) -> DataFrame:
+    """Plane rows grown to a multiple of a size: right and below by default, or split evenly."""
+
+    @pandas_udf("binary")
+    def run(data: pd.Series, width: pd.Series, height: pd.Series, depth: pd.Series, left: pd.Series, right: pd.Series,
+            top: pd.Series, bottom: pd.Series) -> pd.Series:
+        return pd.Series([pixels.pad_crop(pixels.unpack(d, h, w, b), l, r, t, m, mode).tobytes() for d, w, h, b, l, r, t, m
+                          in zip(data, width, height, depth, left, right, top, bottom)])
+
+    grown = planes_.withColumn("__p", padding("width", "height", multiple, centred))
+    side = lambda n: F.col(f"__p.{n}")
+    return grown.withColumn("data", run("data", "width", "height", "bit_depth", side("left"), side("right"), side("top"), side("bottom"))
+                            ).withColumns({"width": side("width"), "height": side("height")}).drop("__p")
+
+
+def crop_planes(planes_: DataFrame, width: int, height: int, left: int = 0, top: int = 0) -> DataFrame:
+    """Plane rows cut back to a size."""
+
+    @pandas_udf("binary")
+    def run(data: pd.Series, w: pd.Series, h: pd.Series, depth: pd.Series) -> pd.Series:
+        return pd.Series([np.ascontiguousarray(pixels.unpack(d, b, a, k)[top:top + height, left:left + width]).tobytes()
+                          for d, a, b, k in zip(data, w, h, depth)])
+
+    return planes_.withColumn("data", run("data", "width", "height", "bit_depth")).withColumns(
+        {"width": F.lit(width), "height": F.lit(height)})
+
+
+def patch_values(patch: str = "patch") -> Column:
+    """A patch as an array of its float samples, channel by channel."""
+
+    @pandas_udf("array<float>")
+    def run(p: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(v, "<f4") for v in p])
+
+    return run(patch)
+
+
 def extract_patches(clips: DataFrame, frames: DataFrame, patch_w: int, patch_h: int) -> DataFrame:
     """Training patches of each clip frame: pad, flip, crop, to YCbCr, centred on 0.
 

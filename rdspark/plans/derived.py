@@ -8,10 +8,17 @@ multiples of powers of two, so sums are exact in any order.
 
 from __future__ import annotations
 
+import struct
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.functions import pandas_udf
 
-from rdspark.functions import ladders
+from rdspark.functions import pixels
 from rdspark.operators import planes
+from rdspark.operators.numbering import number_within
 
 LOG_FRAMES = {
     "method": "l_returnflag",
@@ -100,8 +107,6 @@ def view_sql(name: str) -> str:
 
 # --------------------------------------------------------------------------- planes from vectors
 
-QUANT = "CAST(least(255e0, greatest(0e0, floor(CAST(v AS DOUBLE) * 256e0 + 128e0))) AS INT)"
-
 
 def samples(spark: SparkSession, folder: str) -> DataFrame:
     """Each vector as the 8x8 block of 8-bit samples of one frame; the label is the sequence."""
@@ -178,3 +183,66 @@ def streams(spark: SparkSession, folder: str, dialect: str = "current") -> DataF
 
     body = F.array_join(F.transform("lines", unit), "")
     return d.select("stream", F.unhex(F.concat(head, body)).alias("content"))
+
+
+# --------------------------------------------------------------------------- files from rows
+
+
+def write_files(df: DataFrame, root: str, name: str = "name", content: str = "content") -> str:
+    """One file per row below ``root``, written by the tasks. Rerun tasks overwrite their own files."""
+    def run(rows):
+        from rdspark.sources.storage import open_store
+        store, base = open_store(root)
+        for row in rows:
+            path = f"{base}/{row[name]}"
+            store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            with store.open_output_stream(path) as out:
+                out.write(bytes(row[content]))
+
+    df.select(name, content).foreachPartition(run)
+    return root
+
+
+def numbered(frames: DataFrame) -> DataFrame:
+    """Frames with their position in the sequence as ``frame_idx``."""
+    ranked = number_within(frames, ["sequence"], ["frame_idx"], "frame_idx", out="__pos", span=256)
+    return ranked.withColumn("frame_idx", F.col("__pos")).drop("__pos")
+
+
+def png_files(frames: DataFrame) -> DataFrame:
+    """RGB frames as PNG bytes (stored without prediction), named by sequence and number."""
+    @pandas_udf("binary")
+    def encode(p0: pd.Series, p1: pd.Series, p2: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+        def chunk(kind: bytes, body: bytes) -> bytes:
+            return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+        out = []
+        for r, g, b, w, h in zip(p0, p1, p2, width, height):
+            rgb = np.stack([np.frombuffer(x, np.uint8).reshape(h, w) for x in (r, g, b)], axis=2)
+            lines = np.concatenate([np.zeros((h, 1), np.uint8), rgb.reshape(h, w * 3)], axis=1)
+            out.append(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0))
+                       + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b""))
+        return pd.Series(out)
+
+    name = F.concat("sequence", F.format_string("/im%05d.png", F.col("frame_idx") + 1))
+    return frames.select(name.alias("name"), encode("p0", "p1", "p2", "width", "height").alias("content"))
+
+
+def large_planes(frames: DataFrame, doublings: int) -> DataFrame:
+    """Luma of the 8x8 frames as a plane of 8 * 2**doublings samples per side, linearly enlarged."""
+    side = 8 * 2 ** doublings
+
+    @pandas_udf("binary")
+    def grow(p0: pd.Series) -> pd.Series:
+        out = []
+        for data in p0:
+            plane = np.frombuffer(data, np.uint8).reshape(8, 8)
+            for _ in range(doublings):
+                plane = pixels.double(plane, 1)
+            out.append(np.rint(plane).astype(np.uint8).tobytes())
+        return pd.Series(out)
+
+    # Small rows make heavy ones here: spread the small ones over the cores first.
+    cores = frames.sparkSession.sparkContext.defaultParallelism
+    spread = frames.repartition(2 * cores, "sequence", "frame_idx")
+    return spread.select("sequence", "frame_idx", F.lit("y").alias("plane"), F.lit(side).alias("width"), F.lit(side).alias("height"),
+                         F.lit(8).alias("bit_depth"), grow("p0").alias("data"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.functions import pandas_udf
 
 from rdspark.functions.results import col
 from rdspark.operators.numbering import contiguous_prefix, spread_join
@@ -40,15 +43,11 @@ def read_png_frames(spark: SparkSession, folder: str, width: int | None = None,
     if width is not None and height is not None:
         wrong = F.raise_error(F.concat(F.lit("unexpected picture size in "), F.col("sequence"))).cast("int")
         frames = frames.withColumn("width", F.when((col("width") == width) & (col("height") == height), F.col("width")).otherwise(wrong))
-    return frames.withColumn("frame_idx", F.col("frame_no") - start)
+    return frames.withColumn("frame_idx", (F.col("frame_no") - start).cast("bigint"))
 
 
 def split_bgr(frames: DataFrame) -> DataFrame:
     """Interleaved BGR bytes as three planes p0 (red), p1 (green), p2 (blue)."""
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("p0 binary, p1 binary, p2 binary")
     def split(data: pd.Series, channels: pd.Series) -> pd.DataFrame:
         rows = []

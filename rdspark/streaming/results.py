@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from rdspark.sources.result_logs import POINT_DDL
@@ -53,7 +53,7 @@ def _stored(spark: SparkSession, store: str, schema) -> DataFrame | None:
     path = spark._jvm.org.apache.hadoop.fs.Path(store)
     if not path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
         return None
-    return spark.read.schema(schema.add("batch_id", "bigint")).parquet(store)
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])).parquet(store)
 
 
 def live_quality(frames: DataFrame, window: str, slide: str | None = None, delay: str = "10 minutes",
