@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rdspark.functions.results import fixed_digits
+from rdspark.operators.numbering import spread_join
 
 ALL_METRICS = ["psnr", "msssim", "psnr_y", "psnr_u", "psnr_v", "msssim_y", "msssim_u", "msssim_v"]
 FRAME_GROUPS = ["i", "p", "all"]
@@ -40,7 +41,8 @@ def sequence_set_mismatch(points: DataFrame) -> DataFrame:
     have = present.groupBy("dataset", "sequence").agg(F.count(F.lit(1)).alias("methods_with"))
     expected = (points.groupBy("dataset", "method").agg(F.lit(1).alias("__x"))
                 .groupBy("dataset").agg(F.count(F.lit(1)).alias("methods_of_dataset")))
-    return (have.join(expected, "dataset").filter(F.col("methods_with") < F.col("methods_of_dataset"))
+    both = spread_join(have, expected, ["dataset"], F.xxhash64("sequence"), how="inner")
+    return (both.filter(F.col("methods_with") < F.col("methods_of_dataset"))
             .select("dataset", "sequence", "methods_with", "methods_of_dataset"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rdspark.functions import draws, ladders
 from rdspark.functions.results import col
-from rdspark.operators.numbering import number_within, spread_join
+from rdspark.operators.numbering import number_within, spread_join, unfold
 
 # Which use a draw is for; part of the mix so that the draws of one sample are independent.
 USE_START, USE_FLIP, USE_X, USE_Y, USE_QP, USE_ORDER = 1, 2, 3, 4, 5, 6
@@ -189,8 +189,7 @@ def manifest_frames(seqs: DataFrame, names: DataFrame) -> DataFrame:
     sequence meets only the names it uses. Every sequence has a frame 0, so the positions are few and
     hot: the names are repeated over a salt taken from the sequence path.
     """
-    open_ = seqs.filter(F.col("seq_length") > 0)
-    placed = open_.withColumn("frame_no", F.explode(F.sequence(F.lit(0), F.col("seq_length").cast("int") - 1)))
+    placed = unfold(seqs, "seq_length", "frame_no")
     return spread_join(placed, names, ["frame_no"], F.xxhash64("path"), how="inner", copies=64)
 
 

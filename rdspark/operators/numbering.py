@@ -84,3 +84,18 @@ def spread_join(big: DataFrame, facts: DataFrame, keys: Sequence[str], salt, how
     left = big.withColumn("__salt", F.pmod(col(salt).cast("bigint"), F.lit(copies)).cast("int"))
     right = facts.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(copies)])))
     return left.join(right, [*keys, "__salt"], how).drop("__salt")
+
+
+def unfold(df: DataFrame, count, out: str, block: int = SPAN) -> DataFrame:
+    """One row per number below ``count``, which may be huge for a few rows.
+
+    Rows unfold to blocks first; the few block rows are dealt out over the cluster before each block
+    unfolds to its numbers, so a third of the output may come from one row without staying in one task.
+    """
+    n = col(count).cast("bigint")
+    blocks = df.filter(n > 0).withColumn("__first", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1, F.lit(block).cast("bigint"))))
+    plain = [f.name for f in blocks.schema.fields if f.dataType.simpleString().split("<")[0] not in ("map", "struct", "array", "variant")]
+    dealt = blocks.repartition(df.sparkSession.sparkContext.defaultParallelism, *plain)
+    stop = F.least(F.col("__first") + block, n) - 1
+    spread = dealt.withColumn("__n", F.explode(F.sequence(F.col("__first"), stop)))
+    return spread.withColumn(out, F.col("__n").cast("int")).drop("__first", "__n")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rdspark.functions.results import col
-from rdspark.operators.numbering import number_within
+from rdspark.operators.numbering import number_within, unfold
 
 FRAME_I, FRAME_P = 0, 1
 
@@ -19,8 +19,7 @@ def number_frames(df: DataFrame, keys: Sequence[str], order: Sequence, position,
 
 def expand_frames(jobs: DataFrame, frame_num: str = "frame_num", out: str = "frame_idx") -> DataFrame:
     """One row per frame of each job."""
-    enough = jobs.filter(F.col(frame_num) > 0)
-    return enough.withColumn(out, F.explode(F.sequence(F.lit(0), F.col(frame_num).cast("int") - 1)))
+    return unfold(jobs, frame_num, out)
 
 
 def coding_units(frames: DataFrame, frame_num="frame_num", period="intra_period", delay: int = 1,

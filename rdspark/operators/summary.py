@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from rdspark.functions.results import bits_per_pixel, chunk_weight, col, fixed_digits, information_bits
+from rdspark.operators.numbering import spread_join
 
 POINT_KEYS = ["method", "dataset", "sequence", "rate_idx"]
 PLANES = ["y", "u", "v"]
@@ -194,11 +195,11 @@ def symbol_information(df: DataFrame, group: Sequence[str], symbol: str) -> Data
     """Bits needed for the symbols of each group under its own empirical frequencies.
 
     Symbols are counted first, so the second level sees one row per (group, symbol). The group total
-    comes from an aggregate over those counts; the hot groups have been reduced before any join.
+    is an aggregate over those counts and meets them again spread by symbol.
     """
     counts = df.groupBy(*group, symbol).agg(F.count(F.lit(1)).alias("__n"))
     totals = counts.groupBy(*group).agg(F.sum("__n").alias("__total"))
-    weighed = counts.join(totals, list(group))
+    weighed = spread_join(counts, totals, list(group), F.xxhash64(symbol), how="inner")
     bits = F.col("__n") * information_bits(F.col("__n") / F.col("__total"))
     return weighed.groupBy(*group).agg(F.sum("__n").alias("symbols"), F.count(F.lit(1)).alias("distinct_symbols"),
                                        F.sum(bits).alias("bits"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from rdspark.functions.results import fixed_digits, round_exact
 from rdspark.operators import comparison
+from rdspark.operators.numbering import spread_join
 
 LOG_DIGITS = 6
 _KEYS = ("method", "dataset", "sequence", "rate_key")
@@ -66,9 +67,9 @@ def document_lines(points: DataFrame, digits: int = LOG_DIGITS) -> DataFrame:
     seqs = body.groupBy("dataset", "sequence").agg(F.min("rate_key").alias("r0"), F.max("rate_key").alias("r1"))
     sets = seqs.groupBy("dataset").agg(F.min("sequence").alias("s0"), F.max("sequence").alias("s1"))
     ends = sets.agg(F.min("dataset").alias("d0"), F.max("dataset").alias("d1"))
-    levels = (seqs.join(sets, "dataset")
+    levels = (spread_join(seqs, sets, ["dataset"], F.xxhash64("sequence"), how="inner")
               .withColumn("d0", ends.select("d0").scalar()).withColumn("d1", ends.select("d1").scalar()))
-    rows = body.join(levels, ["dataset", "sequence"])
+    rows = spread_join(body, levels, ["dataset", "sequence"], F.xxhash64("rate_key"), how="inner")
     r_first, r_last = F.col("rate_key") == F.col("r0"), F.col("rate_key") == F.col("r1")
     s_first, s_last = r_first & (F.col("sequence") == F.col("s0")), r_last & (F.col("sequence") == F.col("s1"))
     first, last = s_first & (F.col("dataset") == F.col("d0")), s_last & (F.col("dataset") == F.col("d1"))
