@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rdspark.functions.draws import mix_sql
 from rdspark.operators import curation as cu, planes
 from rdspark.plans import derived
-from rdspark.plans.catalog import Query
+from rdspark.plans.catalog import Query, rd
 from rdspark.plans.derived import table, view, view_sql
 from rdspark.sources.manifests import parse_image_manifest, parse_video_manifest
 
@@ -43,7 +43,7 @@ def _clip_frames(spark, sf):
 
 def _clip_geometry(spark, sf):
     return clips(spark, sf).select("seq_id", "clip_start", "pad_left", "pad_right", "pad_top", "pad_bottom", "crop_x", "crop_y", "flip", "qp",
-                                   F.round("lam", 6).alias("lam"))
+                                   rd("lam", 6).alias("lam"))
 
 
 _GEOMETRY_SQL = f"""WITH {CLIPS}, p AS (SELECT *, greatest({PATCH_W} - width, 0) AS pw, greatest({PATCH_H} - height, 0) AS ph,
@@ -96,7 +96,7 @@ def _multipliers(spark, sf):
     drawn = sources(spark, sf).select("seq_id", cu.draw_qp("seq_id", EPOCH, SEED).alias("qp"))
     looked = cu.lookup_multiplier(drawn, cu.multiplier_table(spark, *LAMBDAS))
     return cu.with_multiplier(looked.withColumnRenamed("lam", "looked"), *LAMBDAS).select(
-        "seq_id", "qp", F.round("lam", 6).alias("lam"), F.round("looked", 6).alias("looked"))
+        "seq_id", "qp", rd("lam", 6).alias("lam"), rd("looked", 6).alias("looked"))
 
 
 def _video_texts(spark, sf):
@@ -144,7 +144,7 @@ def _patches(spark, sf):
     one = f.select("sequence", "width", "height", F.col("frame_idx").alias("sample_id"), F.array(F.col("frame_idx").cast("int")).alias("frame_indexes"))
     c = cu.crop_geometry(one, 3, 3, "sample_id", EPOCH, SEED).withColumn("flip", cu.flip_flag("sample_id", EPOCH, SEED))
     p = planes.extract_patches(c, f, 3, 3).withColumn("v", planes.patch_values())
-    mean = lambda k: F.round(F.aggregate(F.slice("v", 9 * k + 1, 9), F.lit(0.0), lambda a, x: a + x.cast("double")) / 9, 6)
+    mean = lambda k: rd(F.aggregate(F.slice("v", 9 * k + 1, 9), F.lit(0.0), lambda a, x: a + x.cast("double")) / 9, 6)
     return p.select("sample_id", mean(0).alias("y"), mean(1).alias("cb"), mean(2).alias("cr"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rdspark.functions import pixels
 from rdspark.operators import packets as pk, planes, quality
 from rdspark.plans import derived
-from rdspark.plans.catalog import Query, rounded
+from rdspark.plans.catalog import Query, rd, rounded
 from rdspark.plans.derived import SAMPLES_SQL, table, view, view_sql
 from rdspark.sources.images import list_images, read_png_frames, split_bgr
 from rdspark.sources.packets import parse_packets, read_packets
@@ -55,7 +55,7 @@ def _ms_ssim(spark, sf):
     for doublings in (4, 5):
         p = derived.large_planes(f, doublings)
         s = quality.plane_ms_ssim(quality.pair_planes(p, p.withColumn("frame_idx", F.col("frame_idx") - 1)))
-        s = s.select("sequence", "frame_idx", "width", F.round("msssim", 9).alias("msssim"))
+        s = s.select("sequence", "frame_idx", "width", rd("msssim", 9).alias("msssim"))
         out = s if out is None else out.unionByName(s)
     return out
 

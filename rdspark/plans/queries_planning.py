@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rdspark.functions import ladders
 from rdspark.operators import planning, structure
-from rdspark.plans.catalog import Query
+from rdspark.plans.catalog import Query, rd
 from rdspark.plans.derived import table, view, view_sql
 from rdspark.plans.evaluate import plan_frames
 from rdspark.sources.configs import parse_test_config, read_test_config
@@ -134,7 +134,7 @@ def _scales(spark, sf):
     q = seqs(spark, sf).select("sequence", "seq_no", step)
     value = ladders.log_spaced("step", 5, 0.5, 16.0, descending=True) * (1 + F.col("seq_no") / 64)
     s = q.withColumn("v", value).withColumn("s", ladders.rounded_scale("v"))
-    return s.select("sequence", "step", F.round("v", 6).alias("scale"), F.col("s.index").alias("scale_index"), F.col("s.value").alias("stored"))
+    return s.select("sequence", "step", rd("v", 6).alias("scale"), F.col("s.index").alias("scale_index"), F.col("s.value").alias("stored"))
 
 
 def _units(spark, sf, delay):

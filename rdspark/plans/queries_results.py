@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rdspark.functions import ladders, results as fr
 from rdspark.operators import structure, summary
-from rdspark.plans.catalog import KEYS, METRICS, POINTS_SQL, Query, points, rounded, summary_columns_sql
+from rdspark.plans.catalog import KEYS, METRICS, points, POINTS_SQL, Query, rd, rounded, summary_columns_sql
 from rdspark.plans.derived import LOG_FRAMES, table, view, view_sql
 
 FRAMES = view_sql("frames")
@@ -54,7 +54,7 @@ def _timing_report(spark, sf):
 
 def _frame_columns(spark, sf):
     f = frames(spark, sf)
-    log = lambda c: F.round(c, 6)
+    log = lambda c: rd(c, 6)
     edge = F.when(F.col("frame_type") == 0, float("nan")).otherwise(F.col("mse") * 1e-9)
     return f.select(
         *POINT, "frame_idx", "bits", fr.bits_per_pixel("bits", "pixel_num").alias("bpp"),

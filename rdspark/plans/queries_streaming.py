@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rdspark.plans.catalog import POINTS_SQL, Query, points
+from rdspark.plans.catalog import points, POINTS_SQL, Query, rd
 from rdspark.plans.derived import VIEWS, view_sql
 from rdspark.plans.queries_pixels import ACTIVE_SQL
 from rdspark.sources.storage import scratch_path
@@ -30,7 +30,7 @@ def _ingest(spark, sf):
         p.write.mode("append").json(f"{base}/landing")
         sr.ingest_results(sr.point_stream(spark, f"{base}/landing", files_per_batch=4), f"{base}/store", f"{base}/checkpoint").awaitTermination()
     stored = spark.read.parquet(f"{base}/store")
-    return stored.select("method", "dataset", "sequence", "rate_idx", "i_frame_num", "p_frame_num", F.round("ave_all_frame_bpp", 9).alias("ave_all_frame_bpp"))
+    return stored.select("method", "dataset", "sequence", "rate_idx", "i_frame_num", "p_frame_num", rd("ave_all_frame_bpp", 9).alias("ave_all_frame_bpp"))
 
 
 def _live(spark, sf, window, slide=None):
