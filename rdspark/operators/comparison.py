@@ -241,9 +241,14 @@ def bd_summary(class_bd: DataFrame, sequence_bd: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- report shapes
 
 
-def rotate(bd: DataFrame, methods: Sequence[str], group: str = "dataset", value: str = "bd_rate") -> DataFrame:
-    """Groups as rows, methods as columns. The method list is given, so no extra pass finds it."""
-    return bd.groupBy(group, *CURVE).pivot("method", list(methods)).agg(F.first(value))
+def rotate(bd: DataFrame, names: Sequence[str], rows: Sequence[str] = ("dataset",), across: str = "method",
+           value: str = "bd_rate") -> DataFrame:
+    """A report as a table: ``across`` becomes columns, ``rows`` stay rows.
+
+    Groups by methods or methods by groups, as asked. The names of the columns are given, so no extra
+    pass over the data finds them.
+    """
+    return bd.groupBy(*rows, *CURVE).pivot(across, list(names)).agg(F.first(value))
 
 
 def with_overall_rows(sequence_bd: DataFrame, summary: DataFrame) -> DataFrame:

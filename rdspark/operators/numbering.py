@@ -18,7 +18,7 @@ SALT_COPIES = 16    # copies of a small side in a spread join
 
 
 def bucket_of(position, span: int = SPAN) -> Column:
-    return F.floor(col(position).cast("bigint") / F.lit(span)).cast("bigint")
+    return F.call_function("div", col(position).cast("bigint"), F.lit(span).cast("bigint"))
 
 
 def number_within(df: DataFrame, keys: Sequence[str], order: Sequence, position, out: str = "row_no",
@@ -59,8 +59,10 @@ def carry_forward(df: DataFrame, keys: Sequence[str], position, value, out: str,
              .rowsBetween(W.unboundedPreceding, W.currentRow))
     filled = spread.withColumn(out, F.last("__v", ignorenulls=True).over(local))
     before = W.partitionBy(*keys).orderBy(b).rowsBetween(W.unboundedPreceding, -1)
-    ends = (spread.groupBy(*keys, b)
-            .agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), col(position))).alias("__end"))
+    # Structs aggregate by sorting, so only rows with a value go there; the list of buckets is hashed.
+    buckets = spread.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("__n"))
+    ends = spread.filter(F.col("__v").isNotNull()).groupBy(*keys, b).agg(F.max_by("__v", col(position)).alias("__end"))
+    ends = (buckets.join(ends, [*keys, b], "left")
             .withColumn("__carried", F.last("__end", ignorenulls=True).over(before)))
     joined = filled.join(ends.select(*keys, b, "__carried"), [*keys, b], "left")
     return joined.withColumn(out, F.coalesce(F.col(out), F.col("__carried"))).drop(b, "__v", "__carried")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from rdspark.functions import ladders
-from rdspark.operators.numbering import number_within
+from rdspark.operators.numbering import number_within, spread_join
 
 MAX_RATES = 4096   # guard of the in-plan ladder
 
@@ -17,6 +17,20 @@ def enabled_only(sequences: DataFrame) -> DataFrame:
     return sequences.filter(F.col("enabled"))
 
 
+def expand_image_folders(sequences: DataFrame, files: DataFrame) -> DataFrame:
+    """Configuration rows where an image folder is replaced by its files, one "sequence" per picture.
+
+    ``files`` lists paths. A picture belongs to the folder it lies in and must end in the source type.
+    """
+    folder = lambda c: F.regexp_replace(F.regexp_replace(c, r"^file:/+", "/"), r"/+$", "")
+    listed = files.select(folder(F.regexp_replace("path", r"/[^/]*$", "")).alias("__folder"),
+                          F.element_at(F.split("path", "/"), -1).alias("sequence"))
+    folders = sequences.filter("img_folder").drop("sequence").withColumn("__folder", folder(F.col("base_path")))
+    pictures = spread_join(listed, folders, ["__folder"], F.xxhash64("sequence"), how="inner")
+    pictures = pictures.filter(F.col("sequence").endswith(F.col("src_type"))).drop("__folder")
+    return sequences.filter(~F.col("img_folder")).unionByName(pictures)
+
+
 def select_dataset(df: DataFrame, dataset: str) -> DataFrame:
     return df.filter(F.col("dataset") == dataset)
 

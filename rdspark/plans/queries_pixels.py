@@ -61,9 +61,11 @@ def _ms_ssim(spark, sf):
 
 
 def _mismatches(spark, sf):
+    """Decoder scores that differ for some frames and carry other numbers for some."""
     e = table(spark, sf, "embeddings").selectExpr("CAST(label AS STRING) AS sequence", "vec_id AS frame_idx", "(vec_id % 64) / 64e0 AS psnr")
-    d = e.filter("frame_idx % 11 <> 0").withColumn("psnr", F.when(F.col("frame_idx") % 5 == 0, F.col("psnr") + 1).otherwise(F.col("psnr")))
-    return quality.score_mismatches(e, d)
+    changed = F.when(F.col("frame_idx") % 5 == 0, F.col("psnr") + 1).otherwise(F.col("psnr"))
+    moved = F.when(F.col("frame_idx") % 11 == 0, -1 - F.col("frame_idx")).otherwise(F.col("frame_idx"))
+    return quality.score_mismatches(e, e.withColumn("psnr", changed).withColumn("frame_idx", moved))
 
 
 PIXELS_SQL = (f"{SAMPLES_SQL}, px AS (SELECT frame_idx, i % 16 AS k, max(s) FILTER (i < 16) / 255e0 AS r, "
@@ -163,7 +165,8 @@ _RAW_SQL = (f"WITH {PLANES_SQL} SELECT sequence, frame_idx, " + ", ".join(
 
 def _png_folder(spark, sf):
     f = derived.numbered(derived.rgb_frames(spark, sf))
-    with_gap = f.filter(~((F.col("sequence") == "label_3") & (F.col("frame_idx") == 6)))
+    behind = (F.col("sequence") == "label_3") & (F.col("frame_idx") >= 6)
+    with_gap = f.withColumn("frame_idx", F.col("frame_idx") + F.when(behind, 1).otherwise(0))
     return derived.write_files(derived.png_files(with_gap), scratch_path(spark, "png"))
 
 
@@ -263,8 +266,10 @@ QUERIES = {
   max(psnr) FILTER (plane = 'u') AS u, max(psnr) FILTER (plane = 'v') AS v FROM sc GROUP BY ALL)
 SELECT sequence, frame_idx, round(y, 6) AS psnr_y, round(u, 6) AS psnr_u, round(v, 6) AS psnr_v, round((6 * y + u + v) / 8, 6) AS psnr FROM w"""),
     "plane_ms_ssim": Query(_ms_ssim),
-    "score_mismatches": Query(_mismatches, """SELECT CAST(label AS STRING) AS sequence, vec_id AS frame_idx, (vec_id % 64) / 64e0 AS encoded,
-  CASE WHEN vec_id % 11 <> 0 THEN (vec_id % 64) / 64e0 + 1 END AS decoded FROM embeddings WHERE vec_id % 5 = 0 OR vec_id % 11 = 0"""),
+    "score_mismatches": Query(_mismatches, """WITH d AS (SELECT CAST(label AS STRING) AS sequence, vec_id,
+  (vec_id % 64) / 64e0 AS psnr, (vec_id % 64) / 64e0 + CASE WHEN vec_id % 5 = 0 THEN 1 ELSE 0 END AS other FROM embeddings)
+SELECT sequence, vec_id AS frame_idx, psnr AS encoded, CASE WHEN vec_id % 11 <> 0 THEN other END AS decoded FROM d WHERE vec_id % 5 = 0 OR vec_id % 11 = 0
+UNION ALL SELECT sequence, -1 - vec_id, NULL, other FROM d WHERE vec_id % 11 = 0"""),
     "rgb_to_ycbcr": Query(_to_ycbcr, f"""WITH {PIXELS_SQL} SELECT frame_idx, CAST(k AS INT) AS k, round(y, 7) AS y, round(cb, 7) AS cb, round(cr, 7) AS cr,
   CAST(round_even(y * 255, 0) AS INT) AS y8 FROM ycc"""),
     "ycbcr_to_rgb": Query(_to_rgb, f"""WITH {PIXELS_SQL}, c AS (SELECT frame_idx, k, r + (2 - 2 * 0.2126e0) * (b - 0.5e0) AS r2, r + (2 - 2 * 0.0722e0) * (g - 0.5e0) AS b2, r FROM px),
@@ -282,8 +287,8 @@ SELECT sequence, frame_idx, """ + ", ".join(
         f"string_agg(printf('%02X%02X', v % 256, v // 256), '' ORDER BY i) FILTER (i >= {16 * k} AND i < {16 * k + 16}) AS p{k}" for k in range(3)) + " FROM d GROUP BY ALL"),
     "png_frames": Query(_png_frames, f"""WITH {NUMBERED_SQL} SELECT p.sequence, p.frame_idx, {_RGB_HEX} FROM pos p JOIN samples s ON s.frame_idx = p.id
 WHERE p.sequence <> 'label_3' OR p.frame_idx < 6 GROUP BY ALL"""),
-    "picture_names": Query(_picture_names, f"""WITH {NUMBERED_SQL} SELECT printf('im%05d.png', frame_idx + 1) AS name, count(*) AS sequences FROM pos
-WHERE sequence <> 'label_3' OR frame_idx <> 6 GROUP BY ALL"""),
+    "picture_names": Query(_picture_names, f"""WITH {NUMBERED_SQL} SELECT printf('im%05d.png', frame_idx + CASE WHEN sequence = 'label_3' AND frame_idx >= 6
+  THEN 2 ELSE 1 END) AS name, count(*) AS sequences FROM pos GROUP BY ALL"""),
     "parse_packets": Query(lambda s, f: _packets(s, f, "current", ["height", "width", "qp", "ec_part", "reset"]), _CURRENT_SQL),
     "parse_packets_sps_flags": Query(lambda s, f: _packets(s, f, "sps_flags", ["qp", "ec_part", "use_ada_i"]), _FLAGS_SQL),
     "parse_packets_sps_qp": Query(lambda s, f: _packets(s, f, "sps_qp", ["qp", "fa_idx"]), _SPS_QP_SQL),

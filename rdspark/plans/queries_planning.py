@@ -60,16 +60,15 @@ def _forced_jobs(spark, sf):
 
 
 def _done(jobs):
-    """Stored points: every second sequence, some of them cut short, some without a stream file."""
-    short = F.when(F.col("seq_no") % 8 == 0, 1).otherwise(0)
-    return (jobs.filter(F.col("seq_no") % 2 == 0)
-            .select("dataset", "sequence", "qp_i", F.lit(1).cast("bigint").alias("i_frame_num"),
-                    (F.col("frame_num") - 1 - short).cast("bigint").alias("p_frame_num"),
-                    ((F.col("seq_no") + F.col("rate_idx")) % 5 != 0).alias("stream_exists")))
+    """Stored points: half of them complete, some cut short, some without a stream file."""
+    short = F.when(F.col("seq_no") % 8 == 0, 1).when(F.col("seq_no") % 2 == 1, 3).otherwise(0)
+    return jobs.select("dataset", "sequence", "qp_i", F.lit(1).cast("bigint").alias("i_frame_num"),
+                       (F.col("frame_num") - 1 - short).cast("bigint").alias("p_frame_num"),
+                       ((F.col("seq_no") + F.col("rate_idx")) % 5 != 0).alias("stream_exists"))
 
 
-_DONE_SQL = ("done AS (SELECT dataset, sequence, qp_i, 1 AS i_frame_num, frame_num - 1 - CASE WHEN seq_no % 8 = 0 THEN 1 ELSE 0 END "
-             "AS p_frame_num, (seq_no + rate_idx) % 5 <> 0 AS stream_exists FROM jobs WHERE seq_no % 2 = 0)")
+_DONE_SQL = ("done AS (SELECT dataset, sequence, qp_i, 1 AS i_frame_num, frame_num - 1 - CASE WHEN seq_no % 8 = 0 THEN 1 WHEN seq_no % 2 = 1 THEN 3 ELSE 0 END "
+             "AS p_frame_num, (seq_no + rate_idx) % 5 <> 0 AS stream_exists FROM jobs)")
 
 
 def _remaining(spark, sf):
@@ -84,10 +83,10 @@ def _reused(spark, sf):
 
 
 def _placed(spark, sf):
-    """Results of the whole frame log in the places a configuration has for them."""
-    scaffold = planning.job_matrix(seqs(spark, sf), 4).select("dataset", "sequence", "rate_idx")
+    """Results of the whole frame log in the places a configuration has for them; two rates have none."""
+    scaffold = planning.job_matrix(seqs(spark, sf), 9).select("dataset", "sequence", "rate_idx")
     r = view(spark, sf, "frames").groupBy("dataset", "sequence", "rate_idx").agg(F.count(F.lit(1)).alias("frames"), F.sum("bits").alias("bits"))
-    return planning.place_results(scaffold, r.filter(F.col("rate_idx") > 0))
+    return planning.place_results(scaffold, r)
 
 
 NAMES = "'ckpt_' || CAST(l_linenumber * 5 AS STRING) || '_' || 'seq_' || CAST(l_suppkey AS STRING)"
@@ -188,8 +187,8 @@ WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.dataset = j.dataset AND d.sequenc
     "reusable_points": Query(_reused, f"""WITH {JOBS_SQL}, {_DONE_SQL} SELECT d.dataset, d.sequence, d.qp_i, d.i_frame_num, d.p_frame_num
 FROM done d JOIN jobs j USING (dataset, sequence, qp_i) WHERE d.stream_exists AND d.i_frame_num + d.p_frame_num = j.frame_num"""),
     "placed_results": Query(_placed, f"""WITH {SEQS}, {view_sql('frames')}, r AS (SELECT dataset, sequence, rate_idx, count(*) AS frames,
-  CAST(sum(bits) AS BIGINT) AS bits FROM frames WHERE rate_idx > 0 GROUP BY ALL)
-SELECT s.dataset, s.sequence, i.i AS rate_idx, frames, bits FROM sequences s CROSS JOIN (SELECT CAST(i AS INT) AS i FROM range(4) t(i)) i
+  CAST(sum(bits) AS BIGINT) AS bits FROM frames GROUP BY ALL)
+SELECT s.dataset, s.sequence, i.i AS rate_idx, frames, bits FROM sequences s CROSS JOIN (SELECT CAST(i AS INT) AS i FROM range(9) t(i)) i
 LEFT JOIN r ON r.dataset = s.dataset AND r.sequence = s.sequence AND r.rate_idx = i.i WHERE enabled"""),
     "placed_by_prefix": Query(_prefixed, _PREFIX_SQL),
     "padded_sizes": Query(_padding, _PADDING_SQL),

@@ -91,8 +91,12 @@ def write_result_document(points: DataFrame, path: str, digits: int = LOG_DIGITS
 
 
 def write_point(points: DataFrame, path: str) -> None:
-    """Per-point JSON, in folders by dataset, sequence and quality index."""
-    points.write.mode("append").partitionBy("dataset", "sequence", "qp_i").json(path)
+    """Per-point JSON, in folders by dataset, sequence and quality index.
+
+    The points of a folder come together first, so a folder gets one file and not one per task.
+    """
+    folders = ["dataset", "sequence", "qp_i"]
+    points.repartition(*folders).write.mode("append").partitionBy(*folders).json(path)
 
 
 def write_points_table(points: DataFrame, path: str) -> None:
@@ -125,14 +129,17 @@ def write_average_curves(images: DataFrame, log_path: str, digits: int = LOG_DIG
     return out
 
 
-def report_table(bd: DataFrame, methods: Sequence[str], group: str = "dataset", digits: int = 1) -> DataFrame:
-    """Groups as rows, methods as text columns with fixed digits; missing values are empty."""
-    wide = comparison.rotate(bd, methods, group)
-    cells = [F.coalesce(fixed_digits(m, digits), F.lit("")).alias(m) for m in methods]
-    return wide.select("metric", "frame_group", group, *cells)
+def report_table(bd: DataFrame, names: Sequence[str], rows: Sequence[str] = ("dataset",), across: str = "method",
+                 digits: int = 1) -> DataFrame:
+    """``comparison.rotate`` as text with fixed digits; missing values are empty."""
+    wide = comparison.rotate(bd, names, rows, across)
+    cells = [F.coalesce(fixed_digits(n, digits), F.lit("")).alias(n) for n in names]
+    return wide.select("metric", "frame_group", *rows, *cells)
 
 
-def write_report(bd: DataFrame, path: str, methods: Sequence[str], group: str = "dataset", digits: int = 1) -> None:
+def write_report(bd: DataFrame, path: str, names: Sequence[str], rows: Sequence[str] = ("dataset",),
+                 across: str = "method", digits: int = 1) -> None:
     """The report as CSV with a header, in report order."""
-    table = report_table(bd, methods, group, digits)
-    table.orderBy("metric", "frame_group", *comparison.report_order(table, group)).write.mode("error").csv(path, header=True)
+    table = report_table(bd, names, rows, across, digits)
+    order = [*rows[:-1], *comparison.report_order(table, rows[-1])]
+    table.orderBy("metric", "frame_group", *order).write.mode("error").csv(path, header=True)

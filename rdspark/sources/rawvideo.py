@@ -1,6 +1,6 @@
 """Raw planar video as a Spark data source, for reading and writing.
 
-``spark.dataSource.register(RawVideo)`` then ``spark.read.format("rawvideo")`` with options
+``register(spark)`` then ``spark.read.format("rawvideo")`` (or ``"yuv420"``) with options
 
 ``path``            file, folder or ``name`` without the ``.yuv`` ending
 ``width, height``   picture size
@@ -81,6 +81,20 @@ class RawVideo(DataSource):
         return _Writer(self.options, schema)
 
 
+class Yuv420(RawVideo):
+    """The same under the name of its default layout."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "yuv420"
+
+
+def register(spark: SparkSession) -> None:
+    """Make the formats ``rawvideo`` and ``yuv420`` known to a session."""
+    for source in (RawVideo, Yuv420):
+        spark.dataSource.register(source)
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
@@ -207,7 +221,7 @@ class _Writer(DataSourceWriter):
 
 def read_raw_video(spark: SparkSession, path: str, width: int, height: int, layout: str = "420", bit_depth: int = 8,
                    skip_frame: int = 0, max_frames: int = -1) -> DataFrame:
-    spark.dataSource.register(RawVideo)
+    register(spark)
     return (spark.read.format("rawvideo").option("width", width).option("height", height).option("layout", layout)
             .option("bit_depth", bit_depth).option("skip_frame", skip_frame).option("max_frames", max_frames).load(path))
 
@@ -218,7 +232,7 @@ def write_raw_video(frames: DataFrame, path: str, segment_frames: int = SEGMENT_
     Work is spread by (sequence, segment), so a long sequence is written by many tasks.
     """
     spark = frames.sparkSession
-    spark.dataSource.register(RawVideo)
+    register(spark)
     names = [part.split()[0] for part in SCHEMA.split(", ")]
     segment = F.floor(F.col("frame_idx") / segment_frames)
     placed = (frames.select(*names).withColumn("__s", segment).repartition("sequence", "__s")

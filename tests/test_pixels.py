@@ -92,6 +92,16 @@ def test_scores_of_frames(spark):
     assert {r["psnr"] for r in same.collect()} == {99.9}
 
 
+def test_colour_planes_average(spark):
+    a, fa = rows(spark, 1, 88, 88, seed=1, layout="rgb")
+    b, fb = rows(spark, 1, 88, 88, seed=1, layout="rgb")
+    near = [np.clip(p.astype(int) + 9, 0, 255).astype(np.uint8) for p in a[0]]
+    fb = fb.select("sequence", "frame_idx", "layout", "width", "height", "bit_depth", *[F.lit(p.tobytes()).alias(f"p{k}") for k, p in enumerate(near)])
+    pairs = q.pair_planes(planes.plane_rows(fa, "rgb"), planes.plane_rows(fb, "rgb"))
+    got = q.average_planes(q.plane_ms_ssim(pairs), "msssim").first()["msssim"]
+    assert got == pytest.approx(np.mean([q.ms_ssim_planes(x, y) for x, y in zip(a[0], near)]))
+
+
 def test_tiles_merge(spark):
     e = spark.createDataFrame([("s", 0, "y", 10.0, 4), ("s", 0, "y", 30.0, 4)], "sequence string, frame_idx int, plane string, sse double, n bigint")
     assert q.plane_psnr(e).first()["mse"] == 5.0

@@ -21,6 +21,7 @@ def test_raw_video_file(spark, tmp_path):
     df = rv.read_raw_video(spark, str(tmp_path / "clip"), 8, 4).orderBy("frame_idx").collect()
     assert [r["frame_idx"] for r in df] == list(range(7)) and {r["sequence"] for r in df} == {"clip"}
     assert all(bytes(r[f"p{k}"]) == data[i][k].tobytes() for i, r in enumerate(df) for k in range(3))
+    assert spark.read.format("yuv420").option("width", 8).option("height", 4).load(str(tmp_path / "clip.yuv")).count() == 7
     some = rv.read_raw_video(spark, str(tmp_path / "clip.yuv"), 8, 4, skip_frame=2, max_frames=3).orderBy("frame_idx").collect()
     assert [bytes(r["p0"]) for r in some] == [data[i][0].tobytes() for i in (2, 3, 4)] and some[0]["frame_idx"] == 0
     assert rv.read_raw_video(spark, str(tmp_path / "clip.yuv"), 8, 4, skip_frame=9).count() == 0
@@ -152,6 +153,22 @@ def test_png_sequences(spark, tmp_path):
         images.read_png_frames(spark, str(tmp_path / "odd" / "*")).collect()
 
 
+def test_image_folders_in_a_configuration(spark, tmp_path):
+    from rdspark.operators.planning import expand_image_folders, job_matrix
+    from rdspark.sources.configs import read_test_config
+    for n in ("b.png", "a.png", "c.jpg"):
+        (tmp_path / "kodak").mkdir(exist_ok=True)
+        (tmp_path / "kodak" / n).write_bytes(b"x")
+    (tmp_path / "conf.json").write_text(json.dumps({"root_path": str(tmp_path), "test_classes": {
+        "K": {"test": 1, "base_path": "kodak", "src_type": "png", "img_folder": 1},
+        "U": {"test": 1, "base_path": "U", "src_type": "yuv420", "sequences": {"x": {"width": 8, "height": 4, "frames": 10, "intra_period": -1}}}}}))
+    conf = read_test_config(spark, str(tmp_path / "conf.json"))
+    files = images.list_images(spark, str(tmp_path / "kodak"), "")
+    jobs = job_matrix(expand_image_folders(conf, files), 2)
+    assert {(r["dataset"], r["sequence"], r["qp_i"]) for r in jobs.collect()} == {
+        ("K", n, q) for n in ("a.png", "b.png") for q in (0, 63)} | {("U", "x", q) for q in (0, 63)}
+
+
 def test_manifests(spark, tmp_path):
     (tmp_path / "i").mkdir()
     (tmp_path / "i" / "description.json").write_text(json.dumps(["a.png", "b/c.png"]))
