@@ -189,45 +189,47 @@ def _end_slope(h0: str, h1: str, d0: str, d1: str) -> Column:
             .when((F.sign(s) != F.sign(t)) & (F.abs(raw) > 3 * F.abs(s)), 3 * s).otherwise(raw))
 
 
-def _integral_differences(segments: DataFrame, targets: DataFrame, on: Sequence[str], ident: Sequence[str]) -> DataFrame:
-    """Signed trapezoid sums: the tested curve counts +1, its anchor -1, over the range of their pair.
+def _signed_samples(targets: DataFrame, segments: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Weighted curve values of every target at the samples of its range; NULL rows where there are none.
 
     A piece meets only the sample numbers that can fall into it; the exact half-open test decides, so
     every sample is used once and no piece-by-sample product is formed.
     """
     last = SAMPLES - 1
-    m = segments.join(targets, list(on)).withColumn("step", (F.col("hi") - F.col("lo")) / last)
-    lowest = F.greatest(F.floor((F.col("q") - F.col("lo")) / F.col("step")) - 1, F.lit(0))
-    highest = F.least(F.ceil((F.col("q1") - F.col("lo")) / F.col("step")) + 1, F.lit(last))
-    m = m.filter(lowest <= highest).withColumn("j", F.explode(F.sequence(lowest.cast("int"), highest.cast("int"))))
-    x = F.when(F.col("j") == last, F.col("hi")).otherwise(F.col("lo") + F.col("j") * F.col("step"))
-    m = m.withColumn("x", x).filter((F.col("x") >= F.col("q")) & (F.col("is_last") | (F.col("x") < F.col("q1"))))
-    h = F.col("q1") - F.col("q")
-    t = (F.col("x") - F.col("q")) / h
+    lo, hi, q, q1 = (F.col(n) for n in ("lo", "hi", "q", "q1"))
+    m = targets.join(segments, list(on), "left").withColumn("step", F.when(hi > lo, (hi - lo) / last))
+    lowest = F.greatest(F.floor((q - lo) / F.col("step")) - 1, F.lit(0))
+    highest = F.least(F.ceil((q1 - lo) / F.col("step")) + 1, F.lit(last))
+    numbers = F.when((hi > lo) & q.isNotNull() & (lowest <= highest), F.sequence(lowest.cast("int"), highest.cast("int")))
+    m = m.withColumn("j", F.explode_outer(numbers))
+    m = m.withColumn("x", F.when(F.col("j") == last, hi).otherwise(lo + F.col("j") * F.col("step")))
+    inside = (F.col("x") >= q) & (F.col("is_last") | (F.col("x") < q1))
+    h = q1 - q
+    t = (F.col("x") - q) / h
     y = ((1 + 2 * t) * (1 - t) * (1 - t) * F.col("r") + t * (1 - t) * (1 - t) * h * F.col("slope")
          + t * t * (3 - 2 * t) * F.col("r1") + t * t * (t - 1) * h * F.col("slope1"))
     weight = F.when(F.col("j").isin(0, last), F.lit(0.5)).otherwise(F.lit(1.0)) * F.col("sign")
-    g = m.withColumn("__y", y * weight).groupBy(*ident).agg(F.sum("__y").alias("__s"), F.count("__y").alias("__n"))
-    # The mean difference is sum * step / (hi - lo), and step is the range over the number of intervals.
-    return g.select(*ident, F.when(F.col("__n") == 2 * SAMPLES, F.col("__s") / last).alias("__diff"))
+    return m.withColumn("__y", F.when(inside, y * weight))
 
 
 def bd_rate(rows: DataFrame, anchor: str, keys: Sequence[str] = ("dataset",)) -> DataFrame:
     """Average rate difference to the anchor at equal quality, in percent, per tested method and curve.
 
-    NULL where the quality ranges do not overlap or a rate is not positive. Curves and pairs are read
-    from ``rows`` separately, so pass a stored table when ``rows`` is expensive.
+    Trapezoid integrals of both curves over the shared quality range: the tested curve counts +1, its
+    anchor -1, in one aggregate. NULL where the ranges do not overlap or a rate is not positive.
+    ``rows`` is read twice, so pass a stored table when it is expensive.
     """
-    pairs = eligible_pairs(rows, anchor, keys)
     shared = [*keys, *CURVE]
     ident = ["method", *shared]
     sides = F.array(F.struct(F.col("method").alias("curve"), F.lit(1.0).alias("sign")),
                     F.struct(F.lit(anchor).alias("curve"), F.lit(-1.0).alias("sign")))
-    targets = pairs.filter(F.col("hi") > F.col("lo")).select(*ident, "lo", "hi", F.inline(sides))
+    targets = eligible_pairs(rows, anchor, keys).select(*ident, "lo", "hi", F.inline(sides))
     segments = curve_segments(rows, keys).withColumnRenamed("method", "curve")
-    diffs = _integral_differences(segments, targets, ["curve", *shared], ident)
-    return (pairs.join(diffs, ident, "left")
-            .select(*ident, ((F.exp("__diff") - 1) * 100).alias("bd_rate")))
+    sums = _signed_samples(targets, segments, ["curve", *shared]).groupBy(*ident).agg(
+        F.sum("__y").alias("__s"), F.count("__y").alias("__n"))
+    # The mean difference is sum * step / (hi - lo), and step is the range over the number of intervals.
+    diff = F.when(F.col("__n") == 2 * SAMPLES, F.col("__s") / (SAMPLES - 1))
+    return sums.select(*ident, ((F.exp(diff) - 1) * 100).alias("bd_rate"))
 
 
 def bd_summary(class_bd: DataFrame, sequence_bd: DataFrame) -> DataFrame:
