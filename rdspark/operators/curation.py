@@ -168,6 +168,14 @@ def sample_clips(sequences: DataFrame, frames, patch_w, patch_h, multipliers: tu
     return with_multiplier(out, *multipliers)
 
 
+def sample_images(images: DataFrame, patch_w, patch_h, multipliers: tuple[float, float], epoch=0, seed: int = 0,
+                  id_: str = "image_id") -> DataFrame:
+    """One training sample per picture and epoch: crop, flip, quality index, multiplier."""
+    out = crop_geometry(images, patch_w, patch_h, id_, epoch, seed)
+    out = out.withColumns({"flip": flip_flag(id_, epoch, seed), "qp": draw_qp(id_, epoch, seed)})
+    return with_multiplier(out, *multipliers)
+
+
 def clip_groups(clips: DataFrame, group: int) -> DataFrame:
     """First frame alone as group 0, then groups of ``group`` frames; an incomplete last group is dropped."""
     if group < 1:

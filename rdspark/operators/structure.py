@@ -64,6 +64,20 @@ def coding_units(frames: DataFrame, frame_num="frame_num", period="intra_period"
     return out.withColumn("reset", reset_flag("unit_start", "frame_type", delay, reset_interval))
 
 
+def unit_inputs(frames: DataFrame, delay: int, frame_idx: str = "frame_idx") -> DataFrame:
+    """Source frames each unit is coded from, one row per input.
+
+    A predicted unit always takes ``delay`` inputs: a short last one repeats its last frame. ``frames``
+    comes from ``coding_units``; the last frame of a unit adds the repeats, so nothing is grouped.
+    """
+    missing = F.lit(delay) - F.col("unit_frames")
+    is_last = (F.col("frame_type") == FRAME_P) & (F.col("unit_pos") == F.col("unit_frames") - 1)
+    copies = F.when(is_last, 1 + missing).otherwise(F.lit(1)).cast("int")
+    return (frames.withColumn("__copy", F.explode(F.sequence(F.lit(0), copies - 1)))
+            .withColumn("input_pos", F.col("unit_pos") + F.col("__copy"))
+            .withColumn("repeated", F.col("__copy") > 0).drop("__copy"))
+
+
 def reset_flag(position, frame_type, delay: int = 1, interval: int = 32) -> Column:
     """1 on a predicted unit whose end falls just past a multiple of the interval."""
     if interval <= 0:

@@ -118,6 +118,19 @@ def _image_manifest(spark, sf):
     return parse_image_manifest(texts, "/root/images").select("image_id", "path")
 
 
+def _image_samples(spark, sf):
+    """Every document as a picture of a size of its own, cropped for training."""
+    d = table(spark, sf, "documents").selectExpr("doc_id AS image_id", "CAST(100 + n_chars % 500 AS INT) AS width", "CAST(100 + n_chars % 400 AS INT) AS height")
+    s = cu.sample_images(d, PATCH_W, PATCH_H, LAMBDAS, EPOCH, SEED)
+    return s.select("image_id", "pad_left", "pad_bottom", "crop_x", "crop_y", "flip", "qp", rd("lam", 6).alias("lam"))
+
+
+_IMAGE_SQL = f"""WITH d AS (SELECT doc_id AS id, CAST(100 + n_chars % 500 AS INT) AS w, CAST(100 + n_chars % 400 AS INT) AS h FROM documents),
+p AS (SELECT *, greatest({PATCH_W} - w, 0) AS pw, greatest({PATCH_H} - h, 0) AS ph, CAST({draw(5, 'id')} % 64 AS INT) AS qp FROM d)
+SELECT id AS image_id, CAST(pw // 2 AS INT) AS pad_left, CAST(ph - ph // 2 AS INT) AS pad_bottom, CAST({draw(3, 'id')} % (w + pw - {PATCH_W} + 1) AS INT) AS crop_x,
+  CAST({draw(4, 'id')} % (h + ph - {PATCH_H} + 1) AS INT) AS crop_y, {draw(2, 'id')} % 2 = 1 AS flip, qp, round(exp(qp * (ln(768e0) / 63)), 6) AS lam FROM p"""
+
+
 WORLD, BATCH = 7, 56
 
 
@@ -170,6 +183,7 @@ SELECT seq_id, qp, round(exp(ln(1e0) + qp * ((ln(768e0) - ln(1e0)) / 63)), 6) AS
 FROM part, range(64) t(k) WHERE k < p_size"""),
     "image_manifest": Query(_image_manifest, """SELECT 0 AS image_id, '/root/images/' || source || '/img_' || doc_id || '.png' AS path FROM documents
 UNION ALL SELECT 1, '/abs/' || source || '/img_' || doc_id || '.png' FROM documents"""),
+    "image_samples": Query(_image_samples, _IMAGE_SQL),
     "shards": Query(_shards, "WITH s AS (SELECT o_orderkey AS id, " + draw(6, "o_orderkey") + " AS draw FROM orders)" + SHARD_SQL.format(src="") + f"""
 SELECT id AS o_orderkey, CAST(place % {WORLD} AS INT) AS rank, CAST(place // {WORLD} AS BIGINT) AS rank_pos, rank_total FROM d"""),
     "batches": Query(_batches, "WITH g AS (SELECT l_orderkey * 8 + l_linenumber AS id, sum(l_quantity) AS q FROM lineitem GROUP BY ALL), s AS (SELECT id, q, "

@@ -163,6 +163,11 @@ def _unit_bits(spark, sf):
     return b.groupBy("sequence", "rate_idx", "frame_type").agg(F.sum("bits").alias("bits"), F.count_if(F.col("bits") > 0).alias("first_frames"), F.count(F.lit(1)).alias("frames"))
 
 
+def _inputs(spark, sf):
+    jobs = planning.job_matrix(seqs(spark, sf), 2).select("sequence", "rate_idx", "frame_num", "intra_period")
+    return structure.unit_inputs(plan_frames(jobs, delay=8), 8).select("sequence", "rate_idx", "unit_no", "input_pos", F.col("frame_idx").cast("bigint").alias("frame_idx"), "repeated")
+
+
 def _latest(spark, sf):
     """The two newest orders of every customer, read as status files with a modification time."""
     o = table(spark, sf, "orders").select("o_custkey", F.format_string("status_epo%09d", "o_orderkey").alias("path"), F.col("o_orderdate").alias("modificationTime"))
@@ -201,6 +206,9 @@ SELECT sequence, step, round(v, 6) AS scale, CAST(round_even(least(greatest(v, 0
     "unit_bits": Query(_unit_bits, f"""WITH f AS ({_units_sql(8)}) SELECT sequence, rate_idx, frame_type,
   CAST(sum(CASE WHEN unit_pos = 0 THEN 8 * (unit_no * 13 + rate_idx * 7 + 20 + CASE WHEN unit_no = 0 THEN 5 ELSE 0 END) ELSE 0 END) AS BIGINT) AS bits,
   count(*) FILTER (unit_pos = 0) AS first_frames, count(*) AS frames FROM f GROUP BY sequence, rate_idx, frame_type"""),
+    "unit_inputs": Query(_inputs, f"""WITH f AS ({_units_sql(8)}), u AS (SELECT DISTINCT sequence, rate_idx, unit_no, unit_start, unit_frames, frame_type FROM f)
+SELECT sequence, rate_idx, unit_no, k.k AS input_pos, unit_start + least(k.k, unit_frames - 1) AS frame_idx, k.k >= unit_frames AS repeated
+FROM u, range(8) k(k) WHERE frame_type = 1 OR k.k = 0"""),
     "latest_runs": Query(_latest, """SELECT o_custkey, printf('status_epo%09d', o_orderkey) AS path FROM orders
 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, printf('status_epo%09d', o_orderkey) DESC) <= 2"""),
     "numbered_jobs": Query(_numbered_jobs, f"""WITH {JOBS_SQL} SELECT sequence, rate_idx,

@@ -35,11 +35,13 @@ def _ingest(spark, sf):
 
 def _live(spark, sf, window, slide=None):
     base = scratch_path(spark, "live")
-    frames = view_stream(spark, sf, "live").withColumn("event_ts", F.col("event_ts").cast("timestamp"))
+    # The stored times have no zone; they are taken as UTC whatever the zone of the session is.
+    here, utc = F.current_timezone(), F.lit("UTC")
+    frames = view_stream(spark, sf, "live").withColumn("event_ts", F.convert_timezone(utc, here, F.col("event_ts")).cast("timestamp"))
     running = sr.live_quality(frames, window, slide)
     sr.write_updates(running, f"{base}/windows", f"{base}/checkpoint").awaitTermination()
     keys = ["window_start", "window_end", "sequence"]
-    ntz = [F.col(c).cast("timestamp_ntz").alias(c) for c in keys[:2]]
+    ntz = [F.convert_timezone(here, utc, F.col(c).cast("timestamp_ntz")).alias(c) for c in keys[:2]]
     return sr.latest_updates(spark, f"{base}/windows", keys).select(*ntz, "sequence", "frames", "bits", "bpp", "psnr")
 
 

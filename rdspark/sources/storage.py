@@ -31,4 +31,6 @@ def open_store(path: str):
     from pyarrow import fs
     if path.startswith("file:"):
         path = "/" + path[len("file:"):].lstrip("/")
+    if path.startswith(("s3a:", "s3n:")):   # Spark's names for the same store
+        path = "s3" + path[3:]
     return fs.FileSystem.from_uri(path)
