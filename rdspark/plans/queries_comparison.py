@@ -249,7 +249,7 @@ SELECT {_SHAPE}, sequence, round(bd_rate, 6) AS bd_rate FROM lines WHERE frame_g
   printf('%.3f', max(bd_rate) FILTER (method = 'N')) AS N, printf('%.3f', max(bd_rate) FILTER (method = 'R')) AS R
 FROM cbd GROUP BY dataset, frame_group, metric"""),
     "methods_by_class": Query(_methods_by_class, f"{CLASS_BD_SQL} SELECT method, frame_group, metric, " + ", ".join(
-        f"printf('%.1f', max(bd_rate) FILTER (dataset = '{d}')) AS {d}" for d in DATASETS) + " FROM cbd GROUP BY method, frame_group, metric"),
+        f"coalesce(printf('%.1f', max(bd_rate) FILTER (dataset = '{d}')), '') AS {d}" for d in DATASETS) + " FROM cbd GROUP BY method, frame_group, metric"),
     "united_logs": Query(_united_logs, f"""WITH {POINTS_SQL} SELECT method, dataset, sequence, rate_key, i_frame_num, ave_all_frame_bpp,
   CASE WHEN method <> 'A' THEN ave_all_frame_psnr END AS ave_all_frame_psnr,
   CASE WHEN method = 'R' THEN ave_i_frame_psnr END AS ave_i_frame_psnr FROM points WHERE rate_key <> '006'"""),
