@@ -2,7 +2,8 @@
 
 Spark does not keep the order of rows inside a key of a micro-batch, and one stream may own much of a
 batch. So each micro-batch goes through the same bucketed as-of lookup as a table, together with the
-sets that were active before it. That state (at most 16 rows per stream) is a small table per batch.
+sets of its streams that were active before it. That state (at most 16 rows per stream) is a table of
+small changes, one per batch, with a full snapshot every so many batches.
 """
 
 from __future__ import annotations
@@ -16,31 +17,48 @@ from rdspark.operators.packets import SPS_TYPE, active_parameter_set
 UNIT_COLUMNS = ["stream", "unit_no", "nal_type", "sps_id", "height", "width"]
 
 
-def resolve_batch(batch: DataFrame, before: DataFrame | None, span: int = SPAN) -> tuple[DataFrame, DataFrame]:
-    """(slices with their sets, sets active after the batch). Units are ordered by ``unit_no``."""
-    units = batch.select(*UNIT_COLUMNS)
-    rows = units if before is None else units.unionByName(before)
-    sets = rows.filter(F.col("nal_type") == SPS_TYPE)
+SNAPSHOT_EVERY = 32
+
+
+def latest_sets(units: DataFrame) -> DataFrame:
+    """The last parameter set of each stream and id, as unit rows."""
     rest = [c for c in UNIT_COLUMNS if c not in ("stream", "sps_id")]
-    after = (sets.groupBy("stream", "sps_id").agg(F.max_by(F.struct(*rest), "unit_no").alias("s"))
-             .select("stream", F.col("s.unit_no").alias("unit_no"), F.col("s.nal_type").alias("nal_type"), "sps_id",
-                     F.col("s.height").alias("height"), F.col("s.width").alias("width")))
-    return active_parameter_set(rows, span=span), after
+    sets = units.filter(F.col("nal_type") == SPS_TYPE).select(*UNIT_COLUMNS)
+    return (sets.groupBy("stream", "sps_id").agg(F.max_by(F.struct(*rest), "unit_no").alias("s"))
+            .select("stream", F.col("s.unit_no").alias("unit_no"), F.col("s.nal_type").alias("nal_type"), "sps_id",
+                    F.col("s.height").alias("height"), F.col("s.width").alias("width")))
+
 
+def resolve_batch(batch: DataFrame, before: DataFrame | None, span: int = SPAN) -> DataFrame:
+    """Slices of a batch with their sets. ``before`` holds earlier sets as unit rows, older ones may be among them."""
+    rows = batch.select(*UNIT_COLUMNS)
+    if before is not None:
+        mine = before.join(rows.select("stream").distinct(), "stream", "left_semi")
+        rows = rows.unionByName(mine.select(*UNIT_COLUMNS))
+    return active_parameter_set(rows, span=span)
 
-def stateful_packets(units: DataFrame, folder: str, checkpoint: str, span: int = SPAN, once: bool = True) -> StreamingQuery:
+
+def stateful_packets(units: DataFrame, folder: str, checkpoint: str, span: int = SPAN, once: bool = True,
+                     snapshot_every: int = SNAPSHOT_EVERY) -> StreamingQuery:
     """Resolve the slices of a stream of units, batch by batch.
 
     ``folder/slices`` gets the resolved slices and ``folder/sets`` the state, both under the batch
     number, so a replayed batch overwrites its own output and starts from the state before it. Units
     of one stream must arrive in order across micro-batches; inside one they may come in any order.
     """
+    def state_before(spark: SparkSession, batch_id: int) -> DataFrame | None:
+        if batch_id == 0:
+            return None
+        snapshot = (batch_id - 1) // snapshot_every * snapshot_every
+        return spark.read.parquet(*[f"{folder}/sets/batch_id={n}" for n in range(snapshot, batch_id)])
+
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        before = spark.read.parquet(f"{folder}/sets/batch_id={batch_id - 1}") if batch_id > 0 else None
-        slices, after = resolve_batch(batch, before, span)
-        slices.write.mode("overwrite").parquet(f"{folder}/slices/batch_id={batch_id}")
-        after.write.mode("overwrite").parquet(f"{folder}/sets/batch_id={batch_id}")
+        before = state_before(batch.sparkSession, batch_id)
+        resolve_batch(batch, before, span).write.mode("overwrite").parquet(f"{folder}/slices/batch_id={batch_id}")
+        changed = batch.select(*UNIT_COLUMNS)
+        if before is not None and batch_id % snapshot_every == 0:
+            changed = changed.unionByName(before.select(*UNIT_COLUMNS))
+        latest_sets(changed).write.mode("overwrite").parquet(f"{folder}/sets/batch_id={batch_id}")
 
     writer = units.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -12,11 +12,11 @@ def test_parameter_sets_live_on_between_batches(spark):
     rows = [(u % 3, u, 0 if u % 13 < 2 else 2, u % 4, 64 + u if u % 13 < 2 else None, 32 + u if u % 13 < 2 else None) for u in range(300)]
     schema = "stream bigint, unit_no bigint, nal_type int, sps_id int, height int, width int"
     df = spark.createDataFrame(rows, schema)
-    for turn in range(3):
-        df.filter(F.col("unit_no").between(turn * 100, turn * 100 + 99)).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    for turn in range(6):
+        df.filter(F.col("unit_no").between(turn * 50, turn * 50 + 49)).coalesce(1).write.mode("append").parquet(f"{base}/in")
         stream = spark.readStream.schema(schema).parquet(f"{base}/in")
-        sp.stateful_packets(stream, f"{base}/out", f"{base}/cp", span=16).awaitTermination()
-    assert spark.read.parquet(f"{base}/out/sets").select("batch_id").distinct().count() == 3
+        sp.stateful_packets(stream, f"{base}/out", f"{base}/cp", span=16, snapshot_every=2).awaitTermination()
+    assert spark.read.parquet(f"{base}/out/sets").select("batch_id").distinct().count() == 6
     cols = ["stream", "unit_no", "sps_id", "sps_unit", "height", "width", "valid"]
     got = {tuple(r) for r in spark.read.parquet(f"{base}/out/slices").select(*cols).collect()}
     assert got == {tuple(r) for r in active_parameter_set(df).select(*cols).collect()}
