@@ -78,15 +78,15 @@ def plane_rows(frames: DataFrame, layout: str) -> DataFrame:
 
 
 def sample_rows(planes: DataFrame, keys: list[str], bit_depth: int = 8) -> DataFrame:
-    """Plane bytes as pixel rows (x, y, value). Built-in byte functions only; meant for small planes."""
-    step = 1 if bit_depth == 8 else 2
-    text = F.hex("data")
-    n = F.col("width") * F.col("height")
-    spread = planes.withColumn("__i", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("__h", text)
-    byte = lambda k: F.conv(F.substring("__h", F.col("__i") * (2 * step) + 2 * k + 1, F.lit(2)), 16, 10).cast("int")
-    value = byte(0) if step == 1 else byte(0) + 256 * byte(1)
+    """Plane bytes as pixel rows (x, y, value)."""
+
+    @pandas_udf("array<int>")
+    def values(data: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(d, pixels.sample_type(bit_depth)).astype(np.int32) for d in data])
+
+    spread = planes.select(*keys, "width", F.posexplode(values("data")).alias("__i", "value"))
     return spread.select(*keys, (F.col("__i") % F.col("width")).alias("x"),
-                         F.floor(F.col("__i") / F.col("width")).cast("int").alias("y"), value.alias("value"))
+                         F.call_function("div", F.col("__i"), F.col("width")).cast("int").alias("y"), "value")
 
 
 def plane_from_samples(samples: Column) -> Column:
