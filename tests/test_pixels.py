@@ -142,3 +142,17 @@ def test_mismatched_scores(spark):
     e = spark.createDataFrame([("s", i, float(i)) for i in range(4)], "sequence string, frame_idx int, psnr double")
     d = e.filter("frame_idx < 3").withColumn("psnr", F.when(F.col("frame_idx") == 1, 9.0).otherwise(F.col("psnr")))
     assert {r["frame_idx"] for r in q.score_mismatches(e, d).collect()} == {1, 3}
+
+
+def test_bucketed_planes_meet_without_a_shuffle(spark, tmp_path):
+    from rdspark.sinks.planes import write_planes
+    _, fa = rows(spark, 12, 16, 12, seed=1)
+    _, fb = rows(spark, 12, 16, 12, seed=2)
+    for name, f in (("planes_src", fa), ("planes_rec", fb)):
+        write_planes(planes.plane_rows(f, "420"), name, str(tmp_path / name), 4)
+    errors = q.plane_error(q.pair_planes(spark.table("planes_src"), spark.table("planes_rec")))
+    plan = errors._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    loose = q.plane_error(q.pair_planes(planes.plane_rows(fa, "420"), planes.plane_rows(fb, "420")))
+    key = lambda d: {(r["frame_idx"], r["plane"]): (r["sse"], r["n"]) for r in d.collect()}
+    assert key(errors) == key(loose) and len(key(errors)) == 36
