@@ -9,6 +9,7 @@ from rdspark.plans.catalog import POINTS_SQL, Query, points, rounded, stored_poi
 from rdspark.plans.compare import compare
 from rdspark.plans.derived import view, view_sql
 from rdspark.sinks import results as sinks
+from rdspark.sources.indented_logs import read_indented_log
 from rdspark.sources.result_logs import read_points, read_result_logs
 from rdspark.sources.storage import scratch_path
 
@@ -199,6 +200,18 @@ def _log_round_trip(spark, sf):
                       "ave_i_frame_bpp", "ave_p_frame_psnr_u", "ave_all_frame_msssim")
 
 
+def _document_round_trip(spark, sf):
+    """One nested document per method, written in parts and read by byte ranges."""
+    base = scratch_path(spark, "documents")
+    p = stored_points(spark, sf)
+    back = []
+    for m in METHODS:
+        sinks.write_result_document(p.filter(F.col("method") == m).drop("method"), f"{base}/{m}")
+        back.append(read_indented_log(spark, m, f"{base}/{m}"))
+    return c.unify_logs(back).select("method", "dataset", "sequence", "rate_key", "i_frame_num", "p_frame_num",
+                                     "ave_i_frame_bpp", "ave_p_frame_psnr_u", "ave_all_frame_msssim")
+
+
 def _point_files(spark, sf):
     """Per-point files, one folder per dataset, sequence and quality index."""
     out = scratch_path(spark, "points")
@@ -208,6 +221,10 @@ def _point_files(spark, sf):
 
 
 _SHAPE = "method, dataset, frame_group, metric"
+_LOG_SQL = f"""WITH {POINTS_SQL} SELECT method, dataset, sequence, rate_key, i_frame_num,
+  p_frame_num, {", ".join(f"CAST(printf('%.6f', {m}) AS DOUBLE) AS {m}" for m in ("ave_i_frame_bpp", "ave_p_frame_psnr_u", "ave_all_frame_msssim"))}
+FROM points"""
+
 QUERIES = {
     "class_mean": Query(
         lambda s, f: rounded(c.class_mean(points(s, f), ALL_METRICS), 7),
@@ -269,9 +286,8 @@ SELECT dataset, coalesce(rate_idx, qp) AS rate, avg(bpp) AS bpp, avg(psnr) AS ps
 m AS (SELECT dataset, coalesce(rate_idx, qp) AS rate, round(avg(bpp), 6) AS bpp, round(avg(psnr), 6) AS psnr FROM im GROUP BY ALL)
 SELECT dataset, CAST(row_number() OVER (PARTITION BY dataset ORDER BY rate) - 1 AS INT) AS rate, round(bpp, 4) AS bpp,
   round(psnr, 4) AS psnr FROM m"""),
-    "result_log_round_trip": Query(_log_round_trip, f"""WITH {POINTS_SQL} SELECT method, dataset, sequence, rate_key, i_frame_num,
-  p_frame_num, {", ".join(f"CAST(printf('%.6f', {m}) AS DOUBLE) AS {m}" for m in ("ave_i_frame_bpp", "ave_p_frame_psnr_u", "ave_all_frame_msssim"))}
-FROM points"""),
+    "result_log_round_trip": Query(_log_round_trip, _LOG_SQL),
+    "result_document": Query(_document_round_trip, _LOG_SQL),
     "point_files": Query(_point_files, f"""WITH {POINTS_SQL} SELECT method, dataset, sequence, rate_key, rate_idx * 10 AS qp_i,
   i_frame_num, round(ave_all_frame_bpp, 6) AS ave_all_frame_bpp FROM points"""),
 }

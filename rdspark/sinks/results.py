@@ -73,18 +73,19 @@ def document_lines(points: DataFrame, digits: int = LOG_DIGITS) -> DataFrame:
     r_first, r_last = F.col("rate_key") == F.col("r0"), F.col("rate_key") == F.col("r1")
     s_first, s_last = r_first & (F.col("sequence") == F.col("s0")), r_last & (F.col("sequence") == F.col("s1"))
     first, last = s_first & (F.col("dataset") == F.col("d0")), s_last & (F.col("dataset") == F.col("d1"))
-    text = F.concat(
-        F.when(first, "{").otherwise(""),
-        F.when(s_first, F.concat(_quoted("dataset"), F.lit(": {"))).otherwise(""),
-        F.when(r_first, F.concat(_quoted("sequence"), F.lit(": {"))).otherwise(""),
-        _quoted("rate_key"), F.lit(": "), "j",
-        F.when(r_last, F.lit("}")).otherwise(""), F.when(s_last, F.lit("}")).otherwise(""),
-        F.when(last, F.lit("}")).otherwise(F.lit(",")))
+    opening = F.concat(F.when(first, "{\n").otherwise(""),
+                       F.when(s_first, F.concat(F.lit("  "), _quoted("dataset"), F.lit(": {\n"))).otherwise(""),
+                       F.when(r_first, F.concat(F.lit("    "), _quoted("sequence"), F.lit(": {\n"))).otherwise(""))
+    closing = (F.when(last, "\n    }\n  }\n}").when(s_last, "\n    }\n  },").when(r_last, "\n    },").otherwise(","))
+    text = F.concat(opening, F.lit("      "), _quoted("rate_key"), F.lit(": "), "j", closing)
     return rows.select(*keys, text.alias("value"))
 
 
 def write_result_document(points: DataFrame, path: str, digits: int = LOG_DIGITS) -> None:
-    """Text parts that, put end to end in name order, are one nested JSON document."""
+    """Text parts that, put end to end in name order, are one nested JSON document.
+
+    ``sources.indented_logs`` reads the folder, or the joined file, with many tasks.
+    """
     keys = ["dataset", "sequence", "rate_key"]
     lines = document_lines(points, digits)
     lines.repartitionByRange(*keys).sortWithinPartitions(*keys).select("value").write.mode("error").text(path)

@@ -181,6 +181,20 @@ def test_reading_nested_logs(spark, tmp_path):
         rl.read_result_logs(spark, {"a": "x"}, anchor="z")
 
 
+@pytest.mark.parametrize("split", [17, 200, 1 << 20])
+def test_large_indented_log_is_cut_anywhere(spark, tmp_path, split):
+    from rdspark.sources.indented_logs import read_indented_log
+    rng = random.Random(8)
+    log = {d: {s: {f"{k:03d}": {**POINT, "ave_i_frame_bpp": rng.random(), "frame_psnr": [rng.random() for _ in range(k)], "ds_name": d}
+                   for k in range(rng.randrange(0, 4))} for s in ("x", 'y "z"', "w: {")} for d in ("A", "B\\", "C")}
+    log["D"] = {}
+    path = tmp_path / "log.json"
+    path.write_text(json.dumps(log, indent=2))
+    whole = rl.read_result_log(spark, "m", str(path)).orderBy("dataset", "sequence", "rate_key").collect()
+    cut = read_indented_log(spark, "m", str(path), split_bytes=split).orderBy("dataset", "sequence", "rate_key").collect()
+    assert len(whole) == sum(len(r) for d in log.values() for r in d.values()) and cut == whole
+
+
 def test_document_lines_are_one_document(spark, tmp_path):
     rows = [("m", d, s, f"{k:03d}", 1 / (k + 3), None if k else 2.5, k) for d in ('A "q"', "B") for s in ("x", "y\\z") for k in range(3)]
     df = spark.createDataFrame(rows, "method string, dataset string, sequence string, rate_key string, ave_i_frame_bpp double, ave_p_frame_bpp double, rate_idx int")
@@ -190,6 +204,9 @@ def test_document_lines_are_one_document(spark, tmp_path):
     for _, d, s, k, b, p, i in rows:
         want.setdefault(d, {}).setdefault(s, {})[k] = {"ave_i_frame_bpp": float(f"{b:.6f}"), **({"ave_p_frame_bpp": p} if p else {}), "rate_idx": i}
     assert json.loads(text) == want
+    from rdspark.sources.indented_logs import read_indented_log
+    again = read_indented_log(spark, "m", str(tmp_path / "doc"), split_bytes=100)
+    assert {(r["dataset"], r["sequence"], r["rate_key"], r["rate_idx"]) for r in again.collect()} == {(d, s, k, i) for _, d, s, k, _, _, i in rows}
     sinks.write_result_log(df, str(tmp_path / "lines"))
     back = rl.read_result_log(spark, "m", str(tmp_path / "lines"))
     assert {(r["dataset"], r["sequence"], r["rate_key"], r["ave_i_frame_bpp"]) for r in back.collect()} == {
