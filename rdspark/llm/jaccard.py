@@ -38,7 +38,8 @@ SIMILARITY, SHINGLE = 80, 5
 #: Documents in the sample that finds common shingles; a shingle in HEAVY of them is common. At most HEAVY_LIST are left out.
 SAMPLE, HEAVY, HEAVY_LIST = 4000, 8, 1 << 19
 BITS = 1 << 23
-STAR_ROUNDS = 6
+#: Rounds of single leaders, after the first, while pairs across components are more than so many times the rows of the runs.
+STAR_ROUNDS, PAIRS_A_ROW = 4, 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -228,31 +229,33 @@ def class_links(docs: DataFrame, rows: DataFrame, similarity: int) -> DataFrame:
     pairs = written(found.where("kind = 0").select("a", "b").distinct(), "pairs")
     runs = found.where("kind = 1").select(F.col("a").alias("run"), F.col("b").alias("class")).distinct()
     sets = sets_of(docs, rows, pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct())
-    links = written(linked(pairs, sets, similarity), "links")
-    tested = pairs.count()
+    roots = components(linked(pairs, sets, similarity), "a", "b")
     for turn in range(STAR_ROUNDS + 1):
-        roots = components(links, "a", "b")
         # Runs that are not in one component yet.
         named = runs.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
         open_ = named.groupBy("run").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("run")
         runs = written(named.join(open_, "run"), "runs")
         per = runs.groupBy("run", "root").count().groupBy("run").agg(
-            ((F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))) / 2).alias("pairs"))
-        left = per.agg(F.sum("pairs")).first()[0] or 0
-        if left == 0:
+            F.sum("count").alias("rows"), ((F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))) / 2).alias("pairs"))
+        left = per.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
+        if not left["pairs"]:
             return roots
-        last = turn == STAR_ROUNDS or left <= 2 * tested + 1000
+        last = turn == STAR_ROUNDS or left["pairs"] <= PAIRS_A_ROW * left["rows"]
         if last:
             other = runs.select("run", F.col("class").alias("b"), F.col("root").alias("rb"))
             new = runs.select("run", F.col("class").alias("a"), F.col("root").alias("ra")).join(other, "run").where("ra < rb")
         else:
             lead = runs.groupBy("run").agg(F.min(F.struct(F.xxhash64("class", F.lit(turn)).alias("h"), "class", "root")).alias("l"))
             new = runs.join(lead, "run").where(F.col("root") != F.col("l.root")).select(
-                F.col("l.class").alias("a"), F.col("class").alias("b"))
-        new = new.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = written(links.unionByName(linked(new, sets, similarity)), "links")
+                F.col("l.class").alias("a"), F.col("l.root").alias("ra"), F.col("class").alias("b"), F.col("root").alias("rb"))
+        new = new.select("a", "b", "ra", "rb").distinct()
+        found = linked(new.select("a", "b"), sets, similarity)
+        # The new links join components: a small graph of roots.
+        moved = components(found.join(new, ["a", "b"]).select("ra", "rb"), "ra", "rb").select(F.col("node").alias("old"), F.col("root").alias("new"))
+        roots = written(roots.join(moved, roots["root"] == moved["old"], "full").select(
+            F.coalesce("node", "old").alias("node"), F.coalesce("new", "root").alias("root")), "roots")
         if last:
-            return components(links, "a", "b")
+            return roots
         runs = runs.select("run", "class")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rdspark.llm import cnn, decontaminate, gam, jaccard, mixing, pii, secrets, substrings, tokens, topk
+from rdspark.llm.oracles import ORACLE_SQL  # noqa: F401  with QUERIES: what the entry registers
 from rdspark.llm.tables import fold, table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -76,4 +77,3 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_decontamination, op4_secrets, op5_top_k, op6_tokens, op7_jaccard_join, op8_substring_dedup,
                                    op9_mixing, op10_quality)}
-ORACLE_SQL: dict[str, str] = {}
