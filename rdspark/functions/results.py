@@ -48,10 +48,10 @@ def weighted_plane_mean(y, u, v) -> Column:
     return (F.lit(6.0) * col(y) + col(u) + col(v)) / 8.0
 
 
-def psnr_from_mse(mse, peak: float = 255.0) -> Column:
+def psnr_from_mse(mse, peak: float | Column = 255.0) -> Column:
     m = col(mse).cast("double")
     bad = F.isnan(m) | (m == float("inf")) | (m == float("-inf"))
-    score = F.when(m > PSNR_MSE_FLOOR, 10.0 * F.log10(F.lit(peak * peak) / m))
+    score = F.when(m > PSNR_MSE_FLOOR, 10.0 * F.log10((peak * peak if isinstance(peak, Column) else F.lit(peak * peak)) / m))
     return F.when(m.isNull(), F.lit(None)).when(bad, F.lit(PSNR_INVALID)).otherwise(
         F.least(F.coalesce(score, F.lit(PSNR_IDENTICAL)), F.lit(PSNR_CEILING)))
 

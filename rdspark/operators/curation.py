@@ -193,12 +193,18 @@ def clip_groups(clips: DataFrame, group: int) -> DataFrame:
 def manifest_frames(seqs: DataFrame, names: DataFrame) -> DataFrame:
     """Every frame of every sequence with its shared file name: position below the sequence length.
 
+    Where the tables have a ``manifest`` column, names are those of the sequence's own manifest. A sequence that is longer than
+    the list of names is an error.
+
     Unfolding each sequence to its positions turns the range condition into an equality, so a
     sequence meets only the names it uses. Every sequence has a frame 0, so the positions are few and
     hot: the names are repeated over a salt taken from the sequence path.
     """
     placed = unfold(seqs, "seq_length", "frame_no")
-    return spread_join(placed, names, ["frame_no"], F.xxhash64("path"), how="inner", copies=64)
+    keys = ["manifest", "frame_no"] if "manifest" in seqs.columns and "manifest" in names.columns else ["frame_no"]
+    met = spread_join(placed, names, keys, F.xxhash64("path"), how="left", copies=64)
+    lost = F.raise_error(F.concat(F.lit("no file name for frame "), F.col("frame_no").cast("string"), F.lit(" of "), F.col("path")))
+    return met.withColumn("frame_name", F.when(F.col("frame_name").isNull(), lost).otherwise(F.col("frame_name")))
 
 
 # --------------------------------------------------------------------------- order, shards, batches

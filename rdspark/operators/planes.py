@@ -156,7 +156,9 @@ def extract_patches(clips: DataFrame, frames: DataFrame, patch_w: int, patch_h:
             out.append(np.ascontiguousarray(patch, dtype="<f4").tobytes())
         return pd.Series(out)
 
-    met = wanted.join(pictures, ["sequence", "frame_idx"])
+    met = wanted.join(pictures, ["sequence", "frame_idx"], "left")
+    lost = F.raise_error(F.concat_ws(" ", F.lit("no picture for frame"), F.col("frame_idx").cast("string"), F.lit("of"), F.col("sequence")))
+    met = met.withColumn("p0", F.when(F.col("p0").isNull(), lost).otherwise(F.col("p0")))
     patch = cut("p0", "p1", "p2", "width", "height", "bit_depth", "crop_x", "crop_y", "flip", "pad_left", "pad_right",
                 "pad_top", "pad_bottom")
     return met.select("sample_id", "clip_pos", "sequence", "frame_idx", patch.alias("patch"))

@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from rdspark.functions import ladders
 from rdspark.operators.numbering import number_within, spread_join
 
-MAX_RATES = 4096   # guard of the in-plan ladder
-
 
 def enabled_only(sequences: DataFrame) -> DataFrame:
     """Sequences of the datasets that are switched on."""
@@ -20,15 +18,19 @@ def enabled_only(sequences: DataFrame) -> DataFrame:
 def expand_image_folders(sequences: DataFrame, files: DataFrame) -> DataFrame:
     """Configuration rows where an image folder is replaced by its files, one "sequence" per picture.
 
-    ``files`` lists paths. A picture belongs to the folder it lies in and must end in the source type.
+    ``files`` lists paths. A picture belongs to the folder it lies in and must end in the source type. A folder without
+    pictures is an error.
     """
     folder = lambda c: F.regexp_replace(F.regexp_replace(c, r"^file:/+", "/"), r"/+$", "")
     listed = files.select(folder(F.regexp_replace("path", r"/[^/]*$", "")).alias("__folder"),
                           F.element_at(F.split("path", "/"), -1).alias("sequence"))
     folders = sequences.filter("img_folder").drop("sequence").withColumn("__folder", folder(F.col("base_path")))
     pictures = spread_join(listed, folders, ["__folder"], F.xxhash64("sequence"), how="inner")
-    pictures = pictures.filter(F.col("sequence").endswith(F.col("src_type"))).drop("__folder")
-    return sequences.filter(~F.col("img_folder")).unionByName(pictures)
+    pictures = pictures.filter(F.col("sequence").endswith(F.col("src_type")))
+    lost = F.raise_error(F.concat(F.lit("no pictures in "), F.col("__folder"))).cast("string")
+    empty = (folders.join(pictures.select("__folder").distinct(), "__folder", "left_anti").withColumn("sequence", lost)
+             .select(*sequences.columns))
+    return sequences.filter(~F.col("img_folder")).unionByName(pictures.drop("__folder")).unionByName(empty)
 
 
 def select_dataset(df: DataFrame, dataset: str) -> DataFrame:
@@ -43,11 +45,10 @@ def job_matrix(sequences: DataFrame, steps: int = 4, qp_i: Sequence[int] | None
     The ladder is a literal array inside the plan, so each row unfolds locally: no join, no shuffle.
     """
     intra, inter = ladders.choose_ladder(steps, qp_i, qp_p, force_intra)
-    if len(intra) > MAX_RATES:
-        raise ValueError(f"a ladder of {len(intra)} steps does not belong into a plan; join a table of rates")
-    steps_ = F.array(*[F.struct(F.lit(i).alias("rate_idx"), F.lit(q).alias("qp_i"),
-                                (F.lit(inter[i]) if inter else F.lit(None).cast("int")).alias("qp_p"))
-                       for i, q in enumerate(intra)])
+    as_array = lambda values: F.lit(list(values)) if values else F.lit(None).cast("array<int>")
+    steps_ = F.transform(as_array(intra), lambda q, i: F.struct(
+        i.cast("int").alias("rate_idx"), q.cast("int").alias("qp_i"),
+        (F.get(as_array(inter), i) if inter else F.lit(None)).cast("int").alias("qp_p")))
     jobs = enabled_only(sequences).select("*", F.inline(steps_))
     return jobs.withColumns({
         "intra_period": ladders.effective_intra_period("intra_period", force_intra, force_intra_period),

@@ -6,8 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
-from rdspark.functions.results import bits_per_pixel, chunk_weight, col, fixed_digits, information_bits
-from rdspark.operators.numbering import spread_join
+from rdspark.functions.results import bits_per_pixel, chunk_weight, col, fixed_digits
 
 POINT_KEYS = ["method", "dataset", "sequence", "rate_idx"]
 PLANES = ["y", "u", "v"]
@@ -33,30 +32,31 @@ def sequence_summary(frames: DataFrame, keys: Sequence[str] = POINT_KEYS, includ
                      extra: dict[str, Column] | None = None) -> DataFrame:
     """Counts and means of rate and quality over I, P and all frames of each point.
 
-    An empty group counts as 0. Every frame type other than 0 is a P frame. ``extra`` adds aggregates.
+    A group without frames counts as 0. A mean is over the frames that have the value; a metric that no frame of the group has is
+    NULL. Every frame type other than 0 is a P frame. ``extra`` adds aggregates.
     """
     names = metric_names(include_planes)
     intra = _is_intra()
     aggs = [F.max("pixel_num").alias("frame_pixel_num"),
             F.count_if(intra).alias("i_frame_num"), F.count_if(~intra).alias("p_frame_num")]
     for tag, cond in (("i", intra), ("p", ~intra)):
-        aggs.append(F.sum(F.when(cond, F.col("bits"))).alias(f"__{tag}_bits"))
-        aggs += [F.sum(F.when(cond, F.col(m))).alias(f"__{tag}_{m}") for m in names]
+        for m in ["bits", *names]:
+            aggs += [F.sum(F.when(cond, F.col(m))).alias(f"__{tag}_{m}"), F.count(F.when(cond, F.col(m))).alias(f"__{tag}_{m}_n")]
     aggs += [c.alias(n) for n, c in (extra or {}).items()]
     g = frames.groupBy(*keys).agg(*aggs)
 
     px, ni, np_ = F.col("frame_pixel_num"), F.col("i_frame_num"), F.col("p_frame_num")
     counts = {"i": ni, "p": np_, "all": ni + np_}
 
-    def total(tag: str, what: str) -> Column:
-        if tag == "all":
-            return F.coalesce(F.col(f"__i_{what}"), F.lit(0)) + F.coalesce(F.col(f"__p_{what}"), F.lit(0))
-        return F.col(f"__{tag}_{what}")
+    def mean(tag: str, what: str) -> Column:
+        parts = ["i", "p"] if tag == "all" else [tag]
+        add = lambda end: sum((F.coalesce(F.col(f"__{t}_{what}{end}"), F.lit(0)) for t in parts[1:]), F.coalesce(F.col(f"__{parts[0]}_{what}{end}"), F.lit(0)))
+        return F.when(counts[tag] == 0, F.lit(0.0)).when(add("_n") > 0, add("").cast("double") / add("_n"))
 
     cols = [*keys, "frame_pixel_num", "i_frame_num", "p_frame_num"]
     for tag in GROUPS:
-        cols.append((_mean(total(tag, "bits"), counts[tag]) / px).alias(f"ave_{tag}_frame_bpp"))
-        cols += [_mean(total(tag, m), counts[tag]).alias(f"ave_{tag}_frame_{m}") for m in names]
+        cols.append((mean(tag, "bits") / px).alias(f"ave_{tag}_frame_bpp"))
+        cols += [mean(tag, m).alias(f"ave_{tag}_frame_{m}") for m in names]
     return g.select(*cols, *(extra or {}))
 
 
@@ -184,22 +184,22 @@ def best_rate_per_multiplier(points: DataFrame, keys: Sequence[str], lam: Column
 
 
 def chunk_distortion(frames: DataFrame, keys: Sequence[str], position: str = "frame_idx") -> DataFrame:
-    """Weighted error of each chunk of eight frames; chunks with a missing frame are left out."""
+    """Weighted error of each chunk of eight frames. A chunk that lacks or repeats a frame is reported with NULL and its row count."""
     g = (frames.withColumn("chunk_no", F.floor(F.col(position) / 8).cast("bigint"))
          .groupBy(*keys, "chunk_no")
-         .agg(F.sum(F.col("mse") * chunk_weight(position)).alias("weighted_mse"), F.count(F.lit(1)).alias("__n")))
-    return g.filter(F.col("__n") == 8).drop("__n")
+         .agg(F.sum(F.col("mse") * chunk_weight(position)).alias("__e"), F.count(F.lit(1)).alias("frames"),
+              F.bit_or(F.call_function("shiftleft", F.lit(1), F.pmod(F.col(position), F.lit(8)).cast("int"))).alias("__seen")))
+    whole = (F.col("frames") == 8) & (F.col("__seen") == 255)
+    return g.select(*keys, "chunk_no", "frames", F.when(whole, F.col("__e")).alias("weighted_mse"))
 
 
 def symbol_information(df: DataFrame, group: Sequence[str], symbol: str) -> DataFrame:
     """Bits needed for the symbols of each group under its own empirical frequencies.
 
-    Symbols are counted first, so the second level sees one row per (group, symbol). The group total
-    is an aggregate over those counts and meets them again spread by symbol.
+    With n of T symbols alike, sum of -n log2(n / T) is T log2 T - sum of n log2 n: symbols are counted, the counts are summed, and nothing
+    is joined. Both aggregates combine before they shuffle.
     """
-    counts = df.groupBy(*group, symbol).agg(F.count(F.lit(1)).alias("__n"))
-    totals = counts.groupBy(*group).agg(F.sum("__n").alias("__total"))
-    weighed = spread_join(counts, totals, list(group), F.xxhash64(symbol), how="inner")
-    bits = F.col("__n") * information_bits(F.col("__n") / F.col("__total"))
-    return weighed.groupBy(*group).agg(F.sum("__n").alias("symbols"), F.count(F.lit(1)).alias("distinct_symbols"),
-                                       F.sum(bits).alias("bits"))
+    counts = df.groupBy(*group, symbol).agg(F.count(F.lit(1)).cast("double").alias("__n"))
+    total = F.sum("__n")
+    return counts.groupBy(*group).agg(total.cast("bigint").alias("symbols"), F.count(F.lit(1)).alias("distinct_symbols"),
+                                      F.greatest(total * F.log2(total) - F.sum(F.col("__n") * F.log2("__n")), F.lit(0.0)).alias("bits"))

@@ -70,7 +70,7 @@ def summary_columns_sql(metrics=METRICS, digits: int | None = None) -> str:
     for tag, cond in (("i", "frame_type = 0"), ("p", "frame_type <> 0"), ("all", "true")):
         n = f"count(*) FILTER ({cond})"
         exprs = {"bpp": f"CAST(sum(bits) FILTER ({cond}) AS DOUBLE) / {n} / max(pixel_num)"}
-        exprs |= {m: f"sum({m}) FILTER ({cond}) / {n}" for m in metrics}
+        exprs |= {m: f"sum({m}) FILTER ({cond}) / nullif(count({m}) FILTER ({cond}), 0)" for m in metrics}
         for m, e in exprs.items():
             e = f"CASE WHEN {n} > 0 THEN {e} ELSE 0e0 END"
             out.append(f"{f'round({e}, {digits})' if digits else e} AS ave_{tag}_frame_{m}")

@@ -127,12 +127,17 @@ def small_frames(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rgb_frames(spark: SparkSession, folder: str) -> DataFrame:
-    """4x4 RGB frames: 16 samples of the block per colour."""
+    """8x8 RGB frames from all samples: the block, the block reversed, and the block turned."""
     s = samples(spark, folder)
     pack = planes.plane_from_samples
-    return s.select("sequence", "frame_idx", F.lit("rgb").alias("layout"), F.lit(4).alias("width"), F.lit(4).alias("height"),
-                    F.lit(8).alias("bit_depth"), pack(F.slice("s", 1, 16)).alias("p0"), pack(F.slice("s", 17, 16)).alias("p1"),
-                    pack(F.slice("s", 33, 16)).alias("p2"))
+    turned = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.get(F.col("s"), turned_place(k)))
+    return s.select("sequence", "frame_idx", F.lit("rgb").alias("layout"), F.lit(8).alias("width"), F.lit(8).alias("height"),
+                    F.lit(8).alias("bit_depth"), pack(F.col("s")).alias("p0"), pack(F.reverse("s")).alias("p1"), pack(turned).alias("p2"))
+
+
+def turned_place(k):
+    """Where sample k of a turned 8x8 block stands in the block."""
+    return ((k % 8) * 8 + 7 - F.floor(k / 8)).cast("int")
 
 
 # Samples in the checking SQL: one row per vector and position, numbered from 0.
@@ -140,6 +145,9 @@ SAMPLES_SQL = (
     "samples AS (SELECT 'label_' || CAST(label AS STRING) AS sequence, vec_id AS frame_idx, i - 1 AS i, "
     "CAST(least(255e0, greatest(0e0, floor(CAST(embedding[i] AS DOUBLE) * 256e0 + 128e0))) AS INT) AS s "
     "FROM embeddings, range(1, 65) t(i))")
+# The three channels of the RGB frames, a row for each sample.
+CHANNELS_SQL = (f"{SAMPLES_SQL}, blocks AS (SELECT sequence, frame_idx, list(s ORDER BY i) AS s FROM samples GROUP BY ALL), "
+                "channels AS (SELECT sequence, frame_idx, k.k AS k, s[k.k + 1] AS r, s[64 - k.k] AS g, s[(k.k % 8) * 8 + 8 - k.k // 8] AS b FROM blocks, range(64) k(k))")
 
 
 # --------------------------------------------------------------------------- coded streams from texts

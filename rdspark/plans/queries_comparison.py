@@ -11,13 +11,22 @@ from rdspark.plans.derived import view, view_sql
 from rdspark.sinks import results as sinks
 from rdspark.sources.indented_logs import read_indented_log
 from rdspark.sources.result_logs import read_points, read_result_logs
-from rdspark.sources.storage import scratch_path
+from rdspark.sources.storage import scratch_path, stored
 
-ANCHOR, METHODS = "A", ["A", "N", "R"]
+ANCHOR = "A"
 ALL_METRICS = c.ALL_METRICS
 GROUPS = ("i", "p", "all")
 
 
+def values_of(df, column: str) -> list[str]:
+    """The methods or classes of a table of points, in order: they name columns and files, so they are few."""
+    return sorted(r[0] for r in df.select(column).distinct().collect())
+
+
+def tested(df) -> list[str]:
+    return [m for m in values_of(df, "method") if m != ANCHOR]
+
+
 # --------------------------------------------------------------------------- checking SQL
 
 
@@ -102,7 +111,8 @@ def _summary(spark, sf):
 
 
 def _report(spark, sf):
-    return rounded(c.rotate(_class_bd(spark, sf), METHODS[1:]), 6)
+    bd = stored(_class_bd(spark, sf), "class-bd")
+    return rounded(c.rotate(bd, tested(bd)), 6)
 
 
 def _report_text(spark, sf):
@@ -113,16 +123,15 @@ def _report_text(spark, sf):
 def _written_report(spark, sf):
     """The report written as CSV and read back."""
     out = scratch_path(spark, "report")
-    sinks.write_report(_class_bd(spark, sf), out, METHODS[1:], digits=3)
-    return spark.read.csv(out, header=True).select("metric", "frame_group", "dataset", *METHODS[1:])
-
-
-DATASETS = [f"class_{k}" for k in range(6)]
+    bd = stored(_class_bd(spark, sf), "class-bd")
+    sinks.write_report(bd, out, tested(bd), digits=3)
+    return spark.read.csv(out, header=True).select("metric", "frame_group", "dataset", *tested(bd))
 
 
 def _methods_by_class(spark, sf):
     """The report the other way round: a row per method, a column per class."""
-    return sinks.report_table(_class_bd(spark, sf), DATASETS, ["method"], "dataset")
+    bd = stored(_class_bd(spark, sf), "class-bd")
+    return sinks.report_table(bd, values_of(bd, "dataset"), ["method"], "dataset")
 
 
 def _report_rows(spark, sf):
@@ -133,10 +142,10 @@ def _report_rows(spark, sf):
 
 def _united_logs(spark, sf):
     """One log per method, each with its own columns, in one table without the last rate."""
-    p = points(spark, sf)
+    p = stored_points(spark, sf)
     base = ["method", "dataset", "sequence", "rate_key", "i_frame_num", "ave_all_frame_bpp"]
-    logs = [p.filter(F.col("method") == m).select(*base, *extra) for m, extra in
-            zip(METHODS, ([], ["ave_all_frame_psnr"], ["ave_all_frame_psnr", "ave_i_frame_psnr"]))]
+    columns = ([], ["ave_all_frame_psnr"], ["ave_all_frame_psnr", "ave_i_frame_psnr"])
+    logs = [p.filter(F.col("method") == m).select(*base, *columns[min(k, 2)]) for k, m in enumerate(values_of(p, "method"))]
     return c.exclude_rates(c.unify_logs(logs), ["006"])
 
 
@@ -192,10 +201,10 @@ def _average_curves(spark, sf):
 def _log_round_trip(spark, sf):
     """The log of every method written as fragments, then read as one table."""
     base = scratch_path(spark, "logs")
-    p = points(spark, sf)
-    for m in METHODS:
+    p = stored_points(spark, sf)
+    for m in values_of(p, "method"):
         sinks.write_result_log(p.filter(F.col("method") == m).drop("method"), f"{base}/{m}")
-    got = read_result_logs(spark, {m: f"{base}/{m}" for m in METHODS}, ANCHOR)
+    got = read_result_logs(spark, {m: f"{base}/{m}" for m in values_of(p, "method")}, ANCHOR)
     return got.select("method", "dataset", "sequence", "rate_key", "i_frame_num", "p_frame_num",
                       "ave_i_frame_bpp", "ave_p_frame_psnr_u", "ave_all_frame_msssim")
 
@@ -205,7 +214,7 @@ def _document_round_trip(spark, sf):
     base = scratch_path(spark, "documents")
     p = stored_points(spark, sf)
     back = []
-    for m in METHODS:
+    for m in values_of(p, "method"):
         sinks.write_result_document(p.filter(F.col("method") == m).drop("method"), f"{base}/{m}")
         back.append(read_indented_log(spark, m, f"{base}/{m}"))
     return c.unify_logs(back).select("method", "dataset", "sequence", "rate_key", "i_frame_num", "p_frame_num",
@@ -220,6 +229,7 @@ def _point_files(spark, sf):
     return rounded(got.select("method", "dataset", "sequence", "rate_key", "qp_i", "i_frame_num", "ave_all_frame_bpp"), 6)
 
 
+_CLASSES = [f"class_{k}" for k in range(6)]      # of the frames view; the checking SQL has to name its columns
 _SHAPE = "method, dataset, frame_group, metric"
 _LOG_SQL = f"""WITH {POINTS_SQL} SELECT method, dataset, sequence, rate_key, i_frame_num,
   p_frame_num, {", ".join(f"CAST(printf('%.6f', {m}) AS DOUBLE) AS {m}" for m in ("ave_i_frame_bpp", "ave_p_frame_psnr_u", "ave_all_frame_msssim"))}
@@ -266,7 +276,7 @@ SELECT {_SHAPE}, sequence, round(bd_rate, 6) AS bd_rate FROM lines WHERE frame_g
   printf('%.3f', max(bd_rate) FILTER (method = 'N')) AS N, printf('%.3f', max(bd_rate) FILTER (method = 'R')) AS R
 FROM cbd GROUP BY dataset, frame_group, metric"""),
     "methods_by_class": Query(_methods_by_class, f"{CLASS_BD_SQL} SELECT method, frame_group, metric, " + ", ".join(
-        f"coalesce(printf('%.1f', max(bd_rate) FILTER (dataset = '{d}')), '') AS {d}" for d in DATASETS) + " FROM cbd GROUP BY method, frame_group, metric"),
+        f"coalesce(printf('%.1f', max(bd_rate) FILTER (dataset = '{d}')), '') AS {d}" for d in _CLASSES) + " FROM cbd GROUP BY method, frame_group, metric"),
     "united_logs": Query(_united_logs, f"""WITH {POINTS_SQL} SELECT method, dataset, sequence, rate_key, i_frame_num, ave_all_frame_bpp,
   CASE WHEN method <> 'A' THEN ave_all_frame_psnr END AS ave_all_frame_psnr,
   CASE WHEN method = 'R' THEN ave_i_frame_psnr END AS ave_i_frame_psnr FROM points WHERE rate_key <> '006'"""),

@@ -100,16 +100,16 @@ def _multipliers(spark, sf):
 
 
 def _video_texts(spark, sf):
-    """One description per part brand: its sequences, and frame names shared by all of them."""
-    s = table(spark, sf, "part").select("p_brand", F.struct(F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("path"), F.lit(640).alias("width"), F.lit(360).alias("height"), F.col("p_size").alias("seq_length")).alias("s"))
+    """One description per part: its sequence, and its frame names."""
+    s = table(spark, sf, "part").select(F.col("p_partkey").alias("manifest"), F.struct(F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("path"), F.lit(640).alias("width"), F.lit(360).alias("height"), F.col("p_size").alias("seq_length")).alias("s"))
     names = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.format_string("im%05d.png", i))
-    return s.select(F.to_json(F.struct(F.array("s").alias("seqs"), names.alias("frames"))).alias("value"))
+    return s.select("manifest", F.to_json(F.struct(F.array("s").alias("seqs"), names.alias("frames"))).alias("value"))
 
 
 def _manifest_frames(spark, sf):
     """Every frame of every sequence with its file name."""
     seqs, names = parse_video_manifest(_video_texts(spark, sf))
-    return cu.manifest_frames(seqs, names.distinct()).select("path", "frame_no", "frame_name")
+    return cu.manifest_frames(seqs, names).select("path", "frame_no", "frame_name")
 
 
 def _image_manifest(spark, sf):
@@ -152,23 +152,21 @@ SHARD_SQL = ("{src}, r AS (SELECT *, row_number() OVER (ORDER BY draw, id) - 1 A
 
 
 def _patches(spark, sf):
-    """3x3 patches of the 4x4 RGB frames: the mean of each channel."""
+    """7x7 patches of the 8x8 RGB frames: the mean of each channel."""
     f = derived.rgb_frames(spark, sf)
     one = f.select("sequence", "width", "height", F.col("frame_idx").alias("sample_id"), F.array(F.col("frame_idx").cast("int")).alias("frame_indexes"))
-    c = cu.crop_geometry(one, 3, 3, "sample_id", EPOCH, SEED).withColumn("flip", cu.flip_flag("sample_id", EPOCH, SEED))
-    p = planes.extract_patches(c, f, 3, 3).withColumn("v", planes.patch_values())
-    mean = lambda k: rd(F.aggregate(F.slice("v", 9 * k + 1, 9), F.lit(0.0), lambda a, x: a + x.cast("double")) / 9, 6)
+    c = cu.crop_geometry(one, 7, 7, "sample_id", EPOCH, SEED).withColumn("flip", cu.flip_flag("sample_id", EPOCH, SEED))
+    p = planes.extract_patches(c, f, 7, 7).withColumn("v", planes.patch_values())
+    mean = lambda k: rd(F.aggregate(F.slice("v", 49 * k + 1, 49), F.lit(0.0), lambda a, x: a + x.cast("double")) / 49, 6)
     return p.select("sample_id", mean(0).alias("y"), mean(1).alias("cb"), mean(2).alias("cr"))
 
 
-_PATCH_SQL = f"""WITH {derived.SAMPLES_SQL}, px AS (SELECT frame_idx AS id, (i % 16) // 4 AS y, i % 4 AS x,
-  max(s) FILTER (i < 16) / 255e0 AS r, max(s) FILTER (i >= 16 AND i < 32) / 255e0 AS g, max(s) FILTER (i >= 32) / 255e0 AS b
-  FROM samples WHERE i < 48 GROUP BY 1, 2, 3),
+_PATCH_SQL = f"""WITH {derived.CHANNELS_SQL}, px AS (SELECT frame_idx AS id, k // 8 AS y, k % 8 AS x, r / 255e0 AS r, g / 255e0 AS g, b / 255e0 AS b FROM channels),
 yy AS (SELECT *, 0.2126e0 * r + 0.7152e0 * g + 0.0722e0 * b AS l FROM px),
-cc AS (SELECT *, CASE WHEN {draw(2, 'id')} % 2 = 1 THEN 3 - x ELSE x END AS fx, {draw(3, 'id')} % 2 AS cx, {draw(4, 'id')} % 2 AS cy,
+cc AS (SELECT *, CASE WHEN {draw(2, 'id')} % 2 = 1 THEN 7 - x ELSE x END AS fx, {draw(3, 'id')} % 2 AS cx, {draw(4, 'id')} % 2 AS cy,
   CAST(l - 0.5e0 AS FLOAT) AS v0, CAST(0.5e0 * (b - l) / (1 - 0.0722e0) AS FLOAT) AS v1, CAST(0.5e0 * (r - l) / (1 - 0.2126e0) AS FLOAT) AS v2 FROM yy)
 SELECT id AS sample_id, round(avg(CAST(v0 AS DOUBLE)), 6) AS y, round(avg(CAST(v1 AS DOUBLE)), 6) AS cb, round(avg(CAST(v2 AS DOUBLE)), 6) AS cr
-FROM cc WHERE fx >= cx AND fx < cx + 3 AND y >= cy AND y < cy + 3 GROUP BY id"""
+FROM cc WHERE fx >= cx AND fx < cx + 7 AND y >= cy AND y < cy + 7 GROUP BY id"""
 
 
 QUERIES = {

@@ -24,6 +24,7 @@ PLANES_SQL = (f"{NUMBERED_SQL}, pl AS (SELECT p.sequence, p.frame_idx, q.plane,
 SCORES_SQL = (f"{PLANES_SQL}, e AS (SELECT a.sequence, a.frame_idx, a.plane, CAST(sum((a.s - b.s) * (a.s - b.s)) AS DOUBLE) / count(*) AS mse "
               "FROM pl a JOIN pl b ON b.sequence = a.sequence AND b.frame_idx = a.frame_idx + 1 AND b.plane = a.plane AND b.i = a.i GROUP BY ALL), "
               "sc AS (SELECT *, least(CASE WHEN mse > 1e-10 THEN 10 * log10(65025e0 / mse) ELSE 999.9e0 END, 99.9e0) AS psnr FROM e)")
+NUMBERED_RGB_SQL = NUMBERED_SQL.replace(SAMPLES_SQL, derived.CHANNELS_SQL)
 
 
 def frames420(spark, sf):
@@ -34,7 +35,7 @@ def _pairs(spark, sf, pad: bool = False):
     """Each frame against the next one of its sequence."""
     p = planes.plane_rows(frames420(spark, sf), "420")
     recon = p.withColumn("frame_idx", F.col("frame_idx") - 1)
-    return quality.pair_planes(p, planes.pad_planes(recon, 16) if pad else recon)
+    return quality.pair_planes(p, planes.pad_planes(recon, 16) if pad else recon, only_common=True)      # a last frame has no next one
 
 
 def _plane_psnr(spark, sf, pad=False):
@@ -54,7 +55,7 @@ def _ms_ssim(spark, sf):
     out = None
     for doublings in (4, 5):
         p = derived.large_planes(f, doublings)
-        s = quality.plane_ms_ssim(quality.pair_planes(p, p.withColumn("frame_idx", F.col("frame_idx") - 1)))
+        s = quality.plane_ms_ssim(quality.pair_planes(p, p.withColumn("frame_idx", F.col("frame_idx") - 1), only_common=True))
         s = s.select("sequence", "frame_idx", "width", rd("msssim", 9).alias("msssim"))
         out = s if out is None else out.unionByName(s)
     return out
@@ -68,17 +69,16 @@ def _mismatches(spark, sf):
     return quality.score_mismatches(e, e.withColumn("psnr", changed).withColumn("frame_idx", moved))
 
 
-PIXELS_SQL = (f"{SAMPLES_SQL}, px AS (SELECT frame_idx, i % 16 AS k, max(s) FILTER (i < 16) / 255e0 AS r, "
-              "max(s) FILTER (i >= 16 AND i < 32) / 255e0 AS g, max(s) FILTER (i >= 32 AND i < 48) / 255e0 AS b FROM samples GROUP BY 1, 2), "
+PIXELS_SQL = (f"{derived.CHANNELS_SQL}, px AS (SELECT frame_idx, k, r / 255e0 AS r, g / 255e0 AS g, b / 255e0 AS b FROM channels), "
               "yy AS (SELECT *, 0.2126e0 * r + 0.7152e0 * g + 0.0722e0 * b AS y FROM px), "
               "ycc AS (SELECT *, 0.5e0 * (b - y) / (1 - 0.0722e0) + 0.5e0 AS cb, 0.5e0 * (r - y) / (1 - 0.2126e0) + 0.5e0 AS cr FROM yy)")
 
 
 def _pixel_rows(spark, sf):
     s = derived.samples(spark, sf)
-    at = F.explode(F.sequence(F.lit(0), F.lit(15)))
-    p = s.select("frame_idx", "s", at.alias("k"))
-    return p.select("frame_idx", "k", *[(F.col("s")[F.col("k") + 16 * k] / 255.0).alias(c) for k, c in enumerate("rgb")])
+    p = s.select("frame_idx", "s", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("k"))
+    k = F.col("k")
+    return p.select("frame_idx", "k", *[(F.get(F.col("s"), at) / 255.0).alias(c) for c, at in (("r", k), ("g", 63 - k), ("b", derived.turned_place(k)))])
 
 
 def _to_ycbcr(spark, sf):
@@ -112,8 +112,8 @@ _TO_444_SQL = f"""WITH {SAMPLES_SQL} SELECT sequence, frame_idx, 'y' AS plane, C
 UNION ALL SELECT a.sequence, a.frame_idx, q.plane, CAST(k.k % 8 AS INT), CAST(k.k // 8 AS INT), a.s FROM range(64) k(k), (VALUES ('u', 0), ('v', 48)) q(plane, low), samples a
 WHERE a.i = q.low + (k.k // 16) * 4 + (k.k % 8) // 2"""
 
-_RGB_420_SQL = f"""WITH {PIXELS_SQL}, lum AS (SELECT frame_idx, 'y' AS plane, k % 4 AS x, k // 4 AS y, CAST(round_even(y * 255, 0) AS INT) AS value FROM ycc),
-q AS (SELECT frame_idx, (k % 4) // 2 AS x, k // 8 AS y, (k // 4) % 2 * 2 + k % 2 AS c, cb, cr FROM ycc),
+_RGB_420_SQL = f"""WITH {PIXELS_SQL}, lum AS (SELECT frame_idx, 'y' AS plane, k % 8 AS x, k // 8 AS y, CAST(round_even(y * 255, 0) AS INT) AS value FROM ycc),
+q AS (SELECT frame_idx, (k % 8) // 2 AS x, k // 16 AS y, (k // 8) % 2 * 2 + k % 2 AS c, cb, cr FROM ycc),
 h AS (SELECT frame_idx, x, y, (max(cb) FILTER (c = 0) + max(cb) FILTER (c = 1) + max(cb) FILTER (c = 2) + max(cb) FILTER (c = 3)) / 4 AS u,
   (max(cr) FILTER (c = 0) + max(cr) FILTER (c = 1) + max(cr) FILTER (c = 2) + max(cr) FILTER (c = 3)) / 4 AS v FROM q GROUP BY ALL),
 o AS (SELECT * FROM lum UNION ALL SELECT frame_idx, 'u', x, y, CAST(round_even(u * 255, 0) AS INT) FROM h
@@ -156,7 +156,7 @@ def _deep_video(spark, sf):
     out = scratch_path(spark, "deep")
     f = planes.convert_frames(derived.numbered(derived.rgb_frames(spark, sf)), "rgb", "rgb", out_depth=10)
     write_raw_video(f, out)
-    return _hex_planes(read_raw_video(spark, out, 4, 4, layout="rgb", bit_depth=10))
+    return _hex_planes(read_raw_video(spark, out, 8, 8, layout="rgb", bit_depth=10))
 
 
 _RAW_SQL = (f"WITH {PLANES_SQL} SELECT sequence, frame_idx, " + ", ".join(
@@ -171,15 +171,15 @@ def _png_folder(spark, sf):
 
 
 def _png_frames(spark, sf):
-    """Pictures of every sequence up to the first missing number, 4x4 each."""
-    return _hex_planes(split_bgr(read_png_frames(spark, _png_folder(spark, sf) + "/*", 4, 4)))
+    """Pictures of every sequence up to the first missing number, 8x8 each."""
+    return _hex_planes(split_bgr(read_png_frames(spark, _png_folder(spark, sf) + "/*", 8, 8)))
 
 
 def _picture_names(spark, sf):
     return list_images(spark, _png_folder(spark, sf) + "/*", ".png").groupBy("name").agg(F.count(F.lit(1)).alias("sequences"))
 
 
-_RGB_HEX = ", ".join(f"string_agg(printf('%02X', s), '' ORDER BY i) FILTER (i >= {16 * k} AND i < {16 * k + 16}) AS p{k}" for k in range(3))
+_RGB_HEX = ", ".join(f"string_agg(printf('%02X', {c}), '' ORDER BY k) AS p{n}" for n, c in enumerate("rgb"))
 
 
 # --------------------------------------------------------------------------- coded streams
@@ -281,11 +281,11 @@ SELECT frame_idx, CAST(k AS INT) AS k, round(least(greatest(r2, 0e0), 1e0), 7) A
     "video_to_rgb": Query(_420_to_rgb, _420_RGB_SQL),
     "raw_video_round_trip": Query(_raw_round_trip, _RAW_SQL),
     "raw_video_range": Query(_raw_range, f"WITH r AS ({_RAW_SQL}) SELECT sequence, frame_idx - 5 AS frame_idx, p0, p1, p2 FROM r WHERE frame_idx >= 5 AND frame_idx < 25"),
-    "deep_raw_video": Query(_deep_video, f"""WITH {NUMBERED_SQL}, d AS (SELECT p.sequence, p.frame_idx, i, CAST(round_even(s / 255e0 * 1023, 0) AS INT) AS v
-  FROM pos p JOIN samples s ON s.frame_idx = p.id)
+    "deep_raw_video": Query(_deep_video, f"""WITH {NUMBERED_RGB_SQL}, d AS (SELECT p.sequence, p.frame_idx, k, {", ".join(f"CAST(round_even({c} / 255e0 * 1023, 0) AS INT) AS {c}" for c in "rgb")}
+  FROM pos p JOIN channels s ON s.frame_idx = p.id)
 SELECT sequence, frame_idx, """ + ", ".join(
-        f"string_agg(printf('%02X%02X', v % 256, v // 256), '' ORDER BY i) FILTER (i >= {16 * k} AND i < {16 * k + 16}) AS p{k}" for k in range(3)) + " FROM d GROUP BY ALL"),
-    "png_frames": Query(_png_frames, f"""WITH {NUMBERED_SQL} SELECT p.sequence, p.frame_idx, {_RGB_HEX} FROM pos p JOIN samples s ON s.frame_idx = p.id
+        f"string_agg(printf('%02X%02X', {c} % 256, {c} // 256), '' ORDER BY k) AS p{n}" for n, c in enumerate("rgb")) + " FROM d GROUP BY ALL"),
+    "png_frames": Query(_png_frames, f"""WITH {NUMBERED_RGB_SQL} SELECT p.sequence, p.frame_idx, {_RGB_HEX} FROM pos p JOIN channels s ON s.frame_idx = p.id
 WHERE p.sequence <> 'label_3' OR p.frame_idx < 6 GROUP BY ALL"""),
     "picture_names": Query(_picture_names, f"""WITH {NUMBERED_SQL} SELECT printf('im%05d.png', frame_idx + CASE WHEN sequence = 'label_3' AND frame_idx >= 6
   THEN 2 ELSE 1 END) AS name, count(*) AS sequences FROM pos GROUP BY ALL"""),

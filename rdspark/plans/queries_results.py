@@ -192,9 +192,9 @@ SELECT {KEYS}, count(*) AS frames,
 SELECT method, dataset, sequence, round(avg(cost), 6) AS mean_cost, round(min(cost), 6) AS best_cost,
   arg_min(rate_idx, cost) AS best_rate_idx FROM c GROUP BY method, dataset, sequence"""),
     "chunk_distortion": Query(_chunks, f"""WITH {NUMBERED}
-SELECT {KEYS}, CAST(floor(pos / 8) AS BIGINT) AS chunk_no, round(sum(mse * CASE WHEN pos % 8 = 7 THEN 1.5e0
-  WHEN pos % 2 = 0 THEN 0.16e0 ELSE 0.4e0 END), 11) AS weighted_mse
-FROM numbered GROUP BY {KEYS}, floor(pos / 8) HAVING count(*) = 8"""),
+SELECT {KEYS}, CAST(floor(pos / 8) AS BIGINT) AS chunk_no, count(*) AS frames, CASE WHEN count(*) = 8 AND count(DISTINCT pos) = 8 THEN round(sum(mse * CASE WHEN pos % 8 = 7 THEN 1.5e0
+  WHEN pos % 2 = 0 THEN 0.16e0 ELSE 0.4e0 END), 11) END AS weighted_mse
+FROM numbered GROUP BY {KEYS}, floor(pos / 8)"""),
     "run_totals": Query(_totals, f"""WITH {POINTS_SQL}
 SELECT CAST(sum(i_frame_num + p_frame_num) AS BIGINT) AS frames, count(DISTINCT dataset || '/' || sequence) AS sequences,
   count(*) AS points, round(sum((i_frame_num + p_frame_num) * 0.25e0) / 60, 6) AS minutes FROM points"""),
@@ -202,7 +202,7 @@ SELECT CAST(sum(i_frame_num + p_frame_num) AS BIGINT) AS frames, count(DISTINCT
   (SELECT lang, unnest(string_split(text, '')) AS ch FROM documents) GROUP BY lang, ch),
 t AS (SELECT *, sum(n) OVER (PARTITION BY lang) AS total FROM c)
 SELECT lang, CAST(sum(n) AS BIGINT) AS symbols, count(*) AS distinct_symbols,
-  round(sum(n * greatest(-log2(greatest(CAST(n AS DOUBLE) / total, 1e-6)), 0e0)), 3) AS bits FROM t GROUP BY lang"""),
+  round(sum(n * -log2(CAST(n AS DOUBLE) / total)), 3) AS bits FROM t GROUP BY lang"""),
     "regular_frame_types": Query(_regular_types, f"""WITH {FRAMES}
 SELECT {KEYS}, frame_idx, bits, CASE WHEN frame_idx % 12 = 0 THEN 0 ELSE 1 END AS plain_type,
   CAST(floor(frame_idx / 12) AS BIGINT) AS gop_no,

@@ -16,8 +16,9 @@ LIVE = view_sql("live")
 def view_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A view of a given table as a stream of its files."""
     source, exprs = VIEWS[name]
-    schema = spark.read.parquet(f"{folder}/{source}.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{source}.parquet").parquet(folder)
+    path = f"{folder}/{source}.parquet"
+    # One file or a folder of part files: a pattern that only this name matches stands for either.
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
     return rows.selectExpr(*[f"{e} AS {c}" for c, e in exprs.items()])
 
 

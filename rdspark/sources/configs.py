@@ -19,9 +19,10 @@ def parse_test_config(texts: DataFrame, text: str = "value", root_path: str | No
     understood, as are ``gop`` for the period and a missing ``test`` switch. Image-folder classes give
     one row with a NULL sequence.
     """
-    wrapped = F.from_json(text, WRAPPED)
-    plain = F.from_json(text, PLAIN)
+    strict = {"mode": "FAILFAST"}
+    wrapped = F.from_json(text, WRAPPED, strict)
     is_plain = wrapped["test_classes"].isNull()
+    plain = F.when(is_plain, F.from_json(text, PLAIN, strict))
     # An older document has no root, and its class map is the document itself.
     src = texts.select(F.when(is_plain, plain).otherwise(wrapped["test_classes"]).alias("classes"),
                        F.coalesce(F.lit(root_path), wrapped["root_path"], F.lit("")).alias("root"))

@@ -1,7 +1,7 @@
 """Large nested result logs in one indented JSON file, read by many tasks.
 
-A log written with two-space indentation shows its nesting by the indent of each line: datasets at 2,
-sequences at 4, rate keys at 6. So a file can be cut anywhere. Each task reads the lines that begin in
+An indented log shows its nesting by the indent of each line: datasets one step in, sequences two, rate keys three. The step is
+read from the first lines; a log without line breaks is an error here, as is a file without entries. So a file can be cut anywhere. Each task reads the lines that begin in
 its byte range and finishes the rate entry it has begun. Which dataset and sequence an entry belongs to
 may have been said long before the range; that is an as-of lookup over byte positions afterwards.
 """
@@ -22,7 +22,7 @@ from rdspark.sources.storage import open_store
 
 SCHEMA = "file string, pos bigint, level int, key string, body string"
 SPLIT_BYTES = 64 << 20
-INDENT = 2
+LINE_BYTES = 256 << 20     # a longer line is not part of an indented log
 _ENTRY = re.compile(rb'( *)("(?:[^"\\]|\\.)*"): *(\{.*)$')
 
 
@@ -32,6 +32,7 @@ class ByteRange(InputPartition):
     base: int       # bytes of the files before this one
     start: int
     end: int
+    indent: int     # spaces of one step
 
     def __post_init__(self):
         super().__init__(None)
@@ -70,11 +71,12 @@ class _Reader(DataSourceReader):
         return [(prefix + f.path, f.size) for f in sorted(parts, key=lambda f: f.path) if f.base_name[0] not in "._"]
 
     def partitions(self):
-        ranges, base = [], 0
-        for path, size in self._files():
-            ranges += [ByteRange(path, base, at, min(at + self.split, size)) for at in range(0, size, self.split)]
+        ranges, base, files = [], 0, [f for f in self._files() if f[1]]
+        indent = _step(files[0][0]) if files else 0
+        for path, size in files:
+            ranges += [ByteRange(path, base, at, min(at + self.split, size), indent) for at in range(0, size, self.split)]
             base += size
-        return ranges or [ByteRange("", 0, 0, 0)]
+        return ranges or [ByteRange("", 0, 0, 0, 0)]
 
     def read(self, part: ByteRange) -> Iterator[tuple]:
         if part.start == part.end:
@@ -88,8 +90,8 @@ class _Reader(DataSourceReader):
                 found = _ENTRY.match(line)
                 if not found:
                     continue
-                level, rest = len(found.group(1)) // INDENT - 1, found.group(3).rstrip()
-                if level not in (0, 1, 2):
+                level, rest = len(found.group(1)) // part.indent - 1, found.group(3).rstrip()
+                if level not in (0, 1, 2) or len(found.group(1)) % part.indent:
                     continue
                 body = None
                 if level == 2:
@@ -104,6 +106,19 @@ class _Reader(DataSourceReader):
                 yield (self.path, part.base + pos, level, json.loads(found.group(2)), body)
 
 
+def _step(path: str) -> int:
+    """Spaces of one step: those of the first key of the document, which is a dataset."""
+    store, inner = open_store(path)
+    with store.open_input_file(inner) as raw:
+        head = raw.read(1 << 16)
+    if not head.strip(b"{} \r\n\t"):
+        return 1      # a document without entries
+    found = re.search(rb'^( +|\t+)"', head, re.MULTILINE)
+    if not found or found.group(1).startswith(b"\t"):
+        raise ValueError(f"{path} is not indented by spaces; read it with read_result_log")
+    return len(found.group(1))
+
+
 def _lines(raw, start: int, block: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
     """(position, line) of the lines that begin at ``start`` or later."""
     at = max(start - 1, 0)
@@ -114,6 +129,8 @@ def _lines(raw, start: int, block: int = 1 << 20) -> Iterator[tuple[int, bytes]]
         data = raw.read(block)
         pieces = (held + data).split(b"\n")
         held = pieces.pop()
+        if len(held) > LINE_BYTES:
+            raise ValueError(f"a line of more than {LINE_BYTES} bytes: not an indented log")
         for piece in pieces:
             if not skip:
                 yield at, piece

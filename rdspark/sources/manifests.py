@@ -8,25 +8,36 @@ from rdspark.functions.ladders import join_path
 
 _SEQS = "ARRAY<STRUCT<path STRING, width INT, height INT, seq_length INT>>"
 VIDEO_TYPE = f"seqs {_SEQS}, frames ARRAY<STRING>"
+STRICT = {"mode": "FAILFAST"}
+
+
+def _keyed(texts: DataFrame) -> list[str]:
+    """The column that names a document, where the texts have one."""
+    return ["manifest"] if "manifest" in texts.columns else []
 
 
 def parse_image_manifest(texts: DataFrame, root: str, text: str = "value") -> DataFrame:
-    """Images of a JSON array of relative paths, numbered in array order."""
-    paths = texts.select(F.posexplode(F.from_json(text, "ARRAY<STRING>")).alias("image_id", "name"))
-    return paths.select("image_id", "name", join_path(F.lit(root), "name").alias("path"))
+    """Images of JSON arrays of relative paths, numbered in array order; text that is not such an array is an error."""
+    paths = texts.select(*_keyed(texts), F.posexplode(F.from_json(text, "ARRAY<STRING>", STRICT)).alias("image_id", "name"))
+    return paths.select(*_keyed(texts), "image_id", "name", join_path(F.lit(root), "name").alias("path"))
 
 
 def parse_video_manifest(texts: DataFrame, text: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(sequences, shared frame names) of a description document."""
-    d = texts.select(F.from_json(text, VIDEO_TYPE).alias("d"))
-    seqs = d.select(F.posexplode("d.seqs").alias("seq_id", "s")).select("seq_id", "s.*")
-    names = d.select(F.posexplode("d.frames").alias("frame_no", "frame_name"))
+    """(sequences, shared frame names) of description documents. A ``manifest`` column of the texts is carried into both, so that
+    the names of one document never meet the sequences of another."""
+    d = texts.select(*_keyed(texts), F.from_json(text, VIDEO_TYPE, STRICT).alias("d"))
+    seqs = d.select(*_keyed(texts), F.posexplode("d.seqs").alias("seq_id", "s")).select(*_keyed(texts), "seq_id", "s.*")
+    names = d.select(*_keyed(texts), F.posexplode("d.frames").alias("frame_no", "frame_name"))
     return seqs, names
 
 
+def _documents(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path, wholetext=True).withColumn("manifest", F.input_file_name())
+
+
 def read_image_manifest(spark: SparkSession, root: str, name: str = "description.json") -> DataFrame:
-    return parse_image_manifest(spark.read.text(f"{root}/{name}", wholetext=True), root)
+    return parse_image_manifest(_documents(spark, f"{root}/{name}"), root)
 
 
 def read_video_manifest(spark: SparkSession, root: str, name: str = "description.json") -> tuple[DataFrame, DataFrame]:
-    return parse_video_manifest(spark.read.text(f"{root}/{name}", wholetext=True))
+    return parse_video_manifest(_documents(spark, f"{root}/{name}"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -25,22 +26,30 @@ LOG_TYPE = f"MAP<STRING, MAP<STRING, MAP<STRING, STRUCT<{POINT_DDL}>>>>"
 
 
 def parse_result_log(texts: DataFrame, method: str, text: str = "value") -> DataFrame:
-    """Points of log documents, one document (or fragment) per row."""
-    log = texts.select(F.from_json(text, LOG_TYPE).alias("log"))
+    """Points of log documents, one document (or fragment) per row. Text that is not such a document is an error."""
+    log = texts.filter(F.trim(F.regexp_replace(text, r"\s+", " ")) != "").select(F.from_json(text, LOG_TYPE, {"mode": "FAILFAST"}).alias("log"))
     d = log.select(F.explode("log").alias("dataset", "d"))
     s = d.select("dataset", F.explode("d").alias("sequence", "s"))
     r = s.select("dataset", "sequence", F.explode("s").alias("rate_key", "p"))
     return r.select(F.lit(method).alias("method"), "dataset", "sequence", "rate_key", "p.*")
 
 
+def _is_object(text: str) -> bool:
+    try:
+        return isinstance(json.loads(text), dict)
+    except ValueError:
+        return False
+
+
 def read_result_log(spark: SparkSession, method: str, path: str, lines: bool | None = None) -> DataFrame:
     """Points of one method.
 
-    A path that ends in ``.json`` is one document per file. A folder written by
-    ``sinks.write_result_log`` holds one fragment per line and is split over tasks like any text.
+    ``lines``: one fragment per line, as ``sinks.write_result_log`` writes them, split over tasks like any text; else one document per
+    file. Left open, the first line of the log decides, whatever the path is called: a line that is a JSON object of its own means lines.
     """
     if lines is None:
-        lines = not path.endswith(".json")
+        first = spark.read.text(path).filter("trim(value) <> ''").first()
+        lines = first is not None and _is_object(first["value"])
     return parse_result_log(spark.read.text(path, wholetext=not lines), method)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,12 +12,33 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder path below the shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine tests) is a temporary folder used.
+    Without that setting a folder of this machine will do if the master is local, and only then: elsewhere every
+    executor would write to a disk of its own, so this raises.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="rdspark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        base = _local_base(spark.sparkContext.master)
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+_made: list[str] = []
+
+
+def _local_base(master: str) -> str:
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="rdspark-")
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove the intermediate folders this process has made; results read from them must be stored before. Returns their number."""
+    n = 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
