@@ -126,110 +126,133 @@ def eligible_pairs(rows: DataFrame, anchor: str, keys: Sequence[str]) -> DataFra
     """(tested method, curve) combinations that may be compared, with the shared quality range.
 
     The tested curve needs three points and a positive first quality, the anchor the same curve with a
-    positive first rate. "First" is the smallest rate key. Only aggregates are joined here.
+    positive first rate. "First" is the smallest rate key. The points are aggregated once; the anchor's aggregate meets the others
+    by a window over the aggregates of a curve.
     """
-    ends = rows.groupBy("method", *keys, *CURVE).agg(
+    shared = [*keys, *CURVE]
+    ends = rows.groupBy("method", *shared).agg(
         F.count(F.lit(1)).alias("n"), F.min_by("bpp", "rate_key").alias("first_bpp"),
         F.min_by("value", "rate_key").alias("first_value"),
         F.min("value").alias("low"), F.max("value").alias("high"))
-    base = (ends.filter((F.col("method") == anchor) & (F.col("first_bpp") > 0))
-            .select(*keys, *CURVE, F.col("low").alias("a_low"), F.col("high").alias("a_high")))
-    tested = ends.filter((F.col("method") != anchor) & (F.col("n") >= MIN_POINTS) & (F.col("first_value") > 0))
-    return (tested.join(base, [*keys, *CURVE])
-            .select("method", *keys, *CURVE, F.greatest("low", "a_low").alias("lo"),
-                    F.least("high", "a_high").alias("hi")))
+    usable = (F.col("method") == anchor) & (F.col("first_bpp") > 0)
+    base = F.first(F.when(usable, F.struct("low", "high")), ignorenulls=True).over(W.partitionBy(*shared))
+    tested = (ends.withColumn("a", base).filter(F.col("a").isNotNull() & (F.col("method") != anchor)
+                                                & (F.col("n") >= MIN_POINTS) & (F.col("first_value") > 0)))
+    return tested.select("method", *shared, F.greatest("low", "a.low").alias("lo"), F.least("high", "a.high").alias("hi"))
 
 
-def curve_segments(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Monotone piecewise-cubic pieces of ln(bpp) over quality, one row per piece.
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    Points with equal quality are averaged. Slopes inside are weighted harmonic means of the two
-    neighbouring secants, 0 at a turning point; the ends use the three-point rule with its limits.
-    """
-    curve = ["method", *keys, *CURVE]
-    safe_log = F.when(F.col("bpp") > 0, F.log("bpp"))
-    # A rate of zero has no logarithm: it makes the whole curve NULL rather than vanish from a mean.
-    pts = (rows.groupBy(*curve, F.col("value").alias("q"))
-           .agg(F.when(F.count(safe_log) == F.count(F.lit(1)), F.avg(safe_log)).alias("r")))
-    w = W.partitionBy(*curve).orderBy("q")
-
-    # lead/lag of differences are written out from lead/lag of the points: one window, one sort.
-    def at(c: str, k: int) -> Column:
-        return F.lead(c, k).over(w) if k > 0 else F.lag(c, -k).over(w)
-
-    pts = pts.select(*curve, "q", "r", *[at("q", k).alias(f"q{k}") for k in (-2, -1, 1, 2)],
-                     *[at("r", k).alias(f"r{k}") for k in (-2, -1, 1, 2)])
-    h = lambda a, b: F.col(b) - F.col(a)
-    step = {"hp": h("q", "q1"), "hm": h("q-1", "q"), "hpp": h("q1", "q2"), "hmm": h("q-2", "q-1")}
-    pts = pts.withColumns(step).withColumns({
-        "dp": h("r", "r1") / F.col("hp"), "dm": h("r-1", "r") / F.col("hm"),
-        "dpp": h("r1", "r2") / F.col("hpp"), "dmm": h("r-2", "r-1") / F.col("hmm")})
-    has_prev, has_next = F.col("q-1").isNotNull(), F.col("q1").isNotNull()
-    inner = _inner_slope("hm", "hp", "dm", "dp")
-    first = F.when(F.col("q2").isNull(), F.col("dp")).otherwise(_end_slope("hp", "hpp", "dp", "dpp"))
-    last = F.when(F.col("q-2").isNull(), F.col("dm")).otherwise(_end_slope("hm", "hmm", "dm", "dmm"))
-    pts = pts.withColumn("slope", F.when(has_prev & has_next, inner).when(has_next, first).when(has_prev, last))
-    return (pts.withColumn("slope1", F.lead("slope").over(w)).filter(F.col("q1").isNotNull())
-            .select(*curve, "q", "q1", "r", "r1", "slope", "slope1", F.col("q2").isNull().alias("is_last")))
-
-
-def _inner_slope(hm: str, hp: str, dm: str, dp: str) -> Column:
-    w1 = 2 * F.col(hp) + F.col(hm)
-    w2 = F.col(hp) + 2 * F.col(hm)
-    same = F.col(dm) * F.col(dp) > 0
-    harmonic = (w1 + w2) / (w1 / F.col(dm) + w2 / F.col(dp))
-    unknown = F.col(dm).isNull() | F.col(dp).isNull()
-    return F.when(unknown, F.lit(None)).when(same, harmonic).otherwise(F.lit(0.0))
-
-
-def _end_slope(h0: str, h1: str, d0: str, d1: str) -> Column:
-    a, b, s, t = F.col(h0), F.col(h1), F.col(d0), F.col(d1)
+
+def _knots(points: Column) -> Column:
+    """Points of a curve as (q, r), r = ln(bpp), in order of quality. Equal qualities are averaged; a rate of zero has no logarithm
+    and makes its knot NULL."""
+    logs = F.array_sort(F.transform(F.filter(points, lambda p: p["value"].isNotNull()), lambda p: F.struct(
+        p["value"].cast("double").alias("q"), F.when(p["bpp"] > 0, F.log(p["bpp"])).alias("r"))))
+    same = lambda q: F.filter(logs, lambda p: p["q"] == q)
+    mean = lambda q: F.aggregate(same(q), F.lit(0.0), lambda t, p: t + p["r"]) / F.size(same(q))
+    return F.transform(F.array_distinct(F.transform(logs, lambda p: p["q"])), lambda q: F.struct(q.alias("q"), mean(q).alias("r")))
+
+
+def _steps(knots: Column) -> Column:
+    """(h, d) of neighbouring knots: distance and slope of the chord."""
+    return F.transform(F.sequence(F.lit(1), F.size(knots) - 1), lambda k: _let(
+        F.struct(F.get(knots, k - 1).alias("a"), F.get(knots, k).alias("b")),
+        lambda s: F.struct((s["b"]["q"] - s["a"]["q"]).alias("h"), ((s["b"]["r"] - s["a"]["r"]) / (s["b"]["q"] - s["a"]["q"])).alias("d"))))
+
+
+def _slopes(steps: Column) -> Column:
+    """Slope at each knot: weighted harmonic means of the two chords inside, 0 at a turning point; the three-point rule with its limits at the ends."""
+    n = F.size(steps)
+
+    def slope(k):
+        before, after = F.get(steps, k - 1), F.get(steps, k)
+        inner = _inner_slope(before["h"], after["h"], before["d"], after["d"])
+        end = lambda x, y: F.when(n == 1, F.get(steps, F.lit(0))["d"]).otherwise(_end_slope(x["h"], y["h"], x["d"], y["d"]))
+        return (F.when(k == 0, end(F.get(steps, F.lit(0)), F.get(steps, F.lit(1))))
+                .when(k == n, end(F.get(steps, n - 1), F.get(steps, n - 2))).otherwise(inner))
+    return F.transform(F.sequence(F.lit(0), n), slope)
+
+
+def _inner_slope(hm: Column, hp: Column, dm: Column, dp: Column) -> Column:
+    w1, w2 = 2 * hp + hm, hp + 2 * hm
+    harmonic = (w1 + w2) / (w1 / dm + w2 / dp)
+    return F.when(dm.isNull() | dp.isNull(), F.lit(None)).when(dm * dp > 0, harmonic).otherwise(F.lit(0.0))
+
+
+def _end_slope(a: Column, b: Column, s: Column, t: Column) -> Column:
     raw = ((2 * a + b) * s - a * t) / (a + b)
     return (F.when(raw.isNull(), F.lit(None)).when(F.sign(raw) != F.sign(s), F.lit(0.0))
             .when((F.sign(s) != F.sign(t)) & (F.abs(raw) > 3 * F.abs(s)), 3 * s).otherwise(raw))
 
 
-def _signed_samples(targets: DataFrame, segments: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Weighted curve values of every target at the samples of its range; NULL rows where there are none.
+def _sample_sum(knots: Column, steps: Column, slopes: Column, lo: Column, hi: Column) -> Column:
+    """Trapezoid sum of a curve at the samples of [lo, hi]; NULL where the range is empty or a piece in it is unknown.
 
-    A piece meets only the sample numbers that can fall into it; the exact half-open test decides, so
-    every sample is used once and no piece-by-sample product is formed.
+    The samples in a piece are evenly spaced values of a cubic, so their sum is a formula: with y = p0 + p1 i + p2 i^2 + p3 i^3 for
+    the i-th of them, it takes the sums of powers of i. No sample becomes a row or an array entry.
     """
-    last = SAMPLES - 1
-    lo, hi, q, q1 = (F.col(n) for n in ("lo", "hi", "q", "q1"))
-    m = targets.join(segments, list(on), "left").withColumn("step", F.when(hi > lo, (hi - lo) / last))
-    lowest = F.greatest(F.floor((q - lo) / F.col("step")) - 1, F.lit(0))
-    highest = F.least(F.ceil((q1 - lo) / F.col("step")) + 1, F.lit(last))
-    numbers = F.when((hi > lo) & q.isNotNull() & (lowest <= highest), F.sequence(lowest.cast("int"), highest.cast("int")))
-    m = m.withColumn("j", F.explode_outer(numbers))
-    m = m.withColumn("x", F.when(F.col("j") == last, hi).otherwise(lo + F.col("j") * F.col("step")))
-    inside = (F.col("x") >= q) & (F.col("is_last") | (F.col("x") < q1))
-    h = q1 - q
-    t = (F.col("x") - q) / h
-    y = ((1 + 2 * t) * (1 - t) * (1 - t) * F.col("r") + t * (1 - t) * (1 - t) * h * F.col("slope")
-         + t * t * (3 - 2 * t) * F.col("r1") + t * t * (t - 1) * h * F.col("slope1"))
-    weight = F.when(F.col("j").isin(0, last), F.lit(0.5)).otherwise(F.lit(1.0)) * F.col("sign")
-    return m.withColumn("__y", F.when(inside, y * weight))
+    step = (hi - lo) / (SAMPLES - 1)
+    pieces = F.size(steps)
+
+    def first_sample(k):
+        """Samples before knot k; all of them before the last one, none before the first."""
+        inside = F.least(F.greatest(F.ceil((F.get(knots, k)["q"] - lo) / step), F.lit(0)), F.lit(SAMPLES)).cast("int")
+        return F.when(k == 0, 0).when(k == pieces, SAMPLES).otherwise(inside)
+
+    def piece(k):
+        given = F.struct(F.get(knots, k).alias("a"), F.get(knots, k + 1).alias("b"), F.get(steps, k)["h"].alias("h"), F.get(slopes, k).alias("m"),
+                         F.get(slopes, k + 1).alias("m1"), first_sample(k).alias("from"), first_sample(k + 1).alias("to"))
+
+        def cubic(g):
+            rise, gap = g["h"] * g["m"], g["b"]["r"] - g["a"]["r"]
+            return F.struct(g["a"]["r"].alias("c0"), rise.alias("c1"), (3 * gap - 2 * rise - g["h"] * g["m1"]).alias("c2"),
+                            (rise + g["h"] * g["m1"] - 2 * gap).alias("c3"), ((lo + g["from"] * step - g["a"]["q"]) / g["h"]).alias("t"),
+                            (step / g["h"]).alias("u"), (g["to"] - g["from"]).cast("double").alias("n"), g["from"].alias("from"), g["to"].alias("to"))
+
+        def powers(c):
+            t, u = c["t"], c["u"]
+            return F.struct((c["c0"] + t * (c["c1"] + t * (c["c2"] + t * c["c3"]))).alias("p0"),
+                            (u * (c["c1"] + t * (2 * c["c2"] + t * 3 * c["c3"]))).alias("p1"), (u * u * (c["c2"] + 3 * t * c["c3"])).alias("p2"),
+                            (u * u * u * c["c3"]).alias("p3"), c["n"].alias("n"), (c["n"] - 1).alias("e"), c["from"].alias("from"), c["to"].alias("to"))
+
+        def total(p):
+            n, e = p["n"], p["e"]
+            s1 = n * e / 2
+            whole = n * p["p0"] + s1 * p["p1"] + s1 * (2 * n - 1) / 3 * p["p2"] + s1 * s1 * p["p3"]
+            last = p["p0"] + e * (p["p1"] + e * (p["p2"] + e * p["p3"]))
+            return whole - F.when(p["from"] == 0, p["p0"] / 2).otherwise(0.0) - F.when(p["to"] == SAMPLES, last / 2).otherwise(0.0)
+        return _let(given, lambda g: F.when(g["to"] <= g["from"], F.lit(0.0)).otherwise(_let(_let(cubic(g), powers), total)))
+    return F.when((hi > lo) & (F.size(knots) > 1), F.aggregate(F.sequence(F.lit(0), pieces - 1), F.lit(0.0), lambda s, k: s + piece(k)))
 
 
 def bd_rate(rows: DataFrame, anchor: str, keys: Sequence[str] = ("dataset",)) -> DataFrame:
     """Average rate difference to the anchor at equal quality, in percent, per tested method and curve.
 
-    Trapezoid integrals of both curves over the shared quality range: the tested curve counts +1, its
-    anchor -1, in one aggregate. NULL where the ranges do not overlap or a rate is not positive.
-    ``rows`` is read twice, so pass a stored table when it is expensive.
+    Monotone piecewise-cubic ln(bpp) over quality; trapezoid integrals of both curves over the shared quality range. NULL where the
+    ranges do not overlap or a rate is not positive. ``rows`` is read once and shuffled once, by curve: a curve's points become one
+    array, no longer than its ladder, and the anchor's array meets those of the other methods by a window in the same partition.
     """
     shared = [*keys, *CURVE]
-    ident = ["method", *shared]
-    sides = F.array(F.struct(F.col("method").alias("curve"), F.lit(1.0).alias("sign")),
-                    F.struct(F.lit(anchor).alias("curve"), F.lit(-1.0).alias("sign")))
-    targets = eligible_pairs(rows, anchor, keys).select(*ident, "lo", "hi", F.inline(sides))
-    segments = curve_segments(rows, keys).withColumnRenamed("method", "curve")
-    sums = _signed_samples(targets, segments, ["curve", *shared]).groupBy(*ident).agg(
-        F.sum("__y").alias("__s"), F.count("__y").alias("__n"))
+    placed = rows.select("method", *shared, F.struct("rate_key", "bpp", "value").alias("p")).repartition(*shared)
+    curves = placed.groupBy("method", *shared).agg(F.collect_list("p").alias("c")).select(
+        "method", *shared, F.size("c").alias("n"), F.array_min("c").alias("first"), _knots(F.col("c")).alias("knots"))
+    usable = (F.col("method") == anchor) & (F.col("first.bpp") > 0)
+    base = F.first(F.when(usable, F.col("knots")), ignorenulls=True).over(W.partitionBy(*shared))
+    pairs = (curves.withColumn("base", base).filter(F.col("base").isNotNull() & (F.col("method") != anchor) & (F.col("n") >= MIN_POINTS)
+                                                    & (F.col("first.value") > 0)))
+    ends = lambda k, at: F.element_at(F.col(f"{k}.q"), at)
+    pairs = pairs.filter((F.size("knots") > 0) & (F.size("base") > 0)).withColumns({
+        "lo": F.greatest(ends("knots", 1), ends("base", 1)), "hi": F.least(ends("knots", -1), ends("base", -1))})
+    for side in ("knots", "base"):
+        pairs = pairs.withColumn(f"{side}_h", F.when(F.size(side) > 1, _steps(F.col(side))))
+        pairs = pairs.withColumn(f"{side}_m", F.when(F.size(side) > 1, _slopes(F.col(f"{side}_h"))))
+        pairs = pairs.withColumn(f"{side}_s", _sample_sum(F.col(side), F.col(f"{side}_h"), F.col(f"{side}_m"), F.col("lo"), F.col("hi")))
     # The mean difference is sum * step / (hi - lo), and step is the range over the number of intervals.
-    diff = F.when(F.col("__n") == 2 * SAMPLES, F.col("__s") / (SAMPLES - 1))
-    return sums.select(*ident, ((F.exp(diff) - 1) * 100).alias("bd_rate"))
+    diff = (F.col("knots_s") - F.col("base_s")) / (SAMPLES - 1)
+    return pairs.select("method", *shared, ((F.exp(diff) - 1) * 100).alias("bd_rate"))
 
 
 def bd_summary(class_bd: DataFrame, sequence_bd: DataFrame) -> DataFrame:
