@@ -120,7 +120,7 @@ def repeated_anchors(docs: DataFrame, window: int) -> tuple[np.ndarray, int]:
 
 
 PIECES = "kind int, shard int, doc_id long, row_key long, a binary, b binary, c binary, d binary"
-RANGES = "row_key long, ranges binary"
+RANGES = "bucket int, keys binary, ranges binary"
 
 
 def _pieces(h: np.ndarray, bitmap: np.ndarray, window: int):
@@ -135,10 +135,13 @@ def _pieces(h: np.ndarray, bitmap: np.ndarray, window: int):
 
 
 def repeated_ranges(docs: DataFrame, bitmap: np.ndarray, places: int, window: int) -> DataFrame:
-    """(row_key, ranges): starts and ends of repeated windows of a row, as pairs of 32-bit integers; several rows a document."""
+    """(row_key, ranges): starts and ends of the repeated stretches of a row, as pairs of 32-bit integers; one row a document that has any.
+
+    Shards hand on packed ranges by bucket of the row key, so their number of rows does not depend on how many shards a document is in.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(bitmap)      # BITS / 8 bytes
-    shards = buckets(spark, places * (window + 8) / SHARD_WORDS)
+    shards, n_buckets = buckets(spark, places * (window + 8) / SHARD_WORDS), buckets(spark)
 
     def cut(batches):
         """Pieces by shard, columns packed: words, piece ends, places, documents; and ranges that repeat within the task's stretch."""
@@ -180,25 +183,53 @@ def repeated_ranges(docs: DataFrame, bitmap: np.ndarray, places: int, window: in
 
     def search(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_numpy()
-        out_keys, out = [], []
+        found = [np.zeros((0, 3), np.int64)]
         done = table.filter(pa.array(kind == 1))
-        for key, ranges in zip(done.column("row_key").to_pylist(), done.column("a").to_pylist()):
-            out_keys.append(key)
-            out.append(ranges)
+        for key, ranges in zip(done.column("row_key").to_pylist(), done.column("a")):
+            r = np.frombuffer(ranges.as_buffer(), np.int32).reshape(-1, 2)
+            found.append(np.column_stack([np.full(len(r), key), r]))
         blobs = table.filter(pa.array(kind == 0))
         if blobs.num_rows:
             col = lambda name, t: np.concatenate([np.frombuffer(x.as_buffer(), t) for x in blobs.column(name)])
             words, lengths, doc, at = col("a", np.uint64), col("b", np.int32), col("c", np.int64).reshape(-1, 2), col("d", np.int32)
-            for key, ranges in _repeats(words, lengths.astype(np.int64), doc, at.astype(np.int64), window):
-                out_keys.append(key)
-                out.append(ranges)
-        return pa.table({"row_key": pa.array(out_keys, pa.int64()), "ranges": pa.array(out, pa.binary())})
+            found.append(_repeats(words, lengths.astype(np.int64), doc, at.astype(np.int64), window))
+        rows = _joined(np.concatenate(found))
+        bucket = np.mod(rows[:, 0], n_buckets)
+        order = np.argsort(bucket, kind="stable")
+        rows, bucket = rows[order], bucket[order]
+        cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(rows) else np.zeros(0, int)
+        parts = list(zip(cut, np.r_[cut[1:], len(rows)].astype(int)))
+        return pa.table({"bucket": pa.array(bucket[cut], pa.int32()), "keys": pa.array([rows[x:y, 0].tobytes() for x, y in parts], pa.binary()),
+                         "ranges": pa.array([rows[x:y, 1:].astype(np.int32).tobytes() for x, y in parts], pa.binary())})
+
+    def merge(table: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("keys")])
+        ranges = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in table.column("ranges")]).reshape(-1, 2)
+        rows = _joined(np.column_stack([keys, ranges]))
+        cut = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]]) if len(rows) else np.zeros(0, int)
+        return pa.table({"row_key": pa.array(rows[cut, 0], pa.int64()), "ranges": pa.array(
+            [rows[x:y, 1:].astype(np.int32).tobytes() for x, y in zip(cut, np.r_[cut[1:], len(rows)].astype(int))], pa.binary())})
     packed = texts(docs).mapInArrow(cut, PIECES)
-    return packed.groupBy("shard").applyInArrow(search, RANGES)
-
-
-def _repeats(words: np.ndarray, lengths: np.ndarray, doc: np.ndarray, at: np.ndarray, window: int):
-    """(row key, ranges) of the repeated windows among pieces."""
+    return packed.groupBy("shard").applyInArrow(search, RANGES).groupBy("bucket").applyInArrow(merge, "row_key long, ranges binary")
+
+
+def _joined(rows: np.ndarray) -> np.ndarray:
+    """(key, start, end) rows with the ranges of a key joined where they meet."""
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    if not len(rows):
+        return rows
+    first = np.r_[True, rows[1:, 0] != rows[:-1, 0]]
+    # Furthest end so far within a key: ends are shifted by the key's number, so that a running maximum starts anew with each key.
+    group = np.cumsum(first) - 1
+    wide = int(rows[:, 2].max()) + 1
+    reach = np.maximum.accumulate(rows[:, 2] + group * wide) - group * wide
+    start = np.flatnonzero(first | np.r_[True, rows[1:, 1] > reach[:-1]])
+    end = np.r_[start[1:], len(rows)] - 1
+    return np.column_stack([rows[start, 0], rows[start, 1], reach[end]])
+
+
+def _repeats(words: np.ndarray, lengths: np.ndarray, doc: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """(row key, start, end) of the repeated windows among pieces."""
     order = np.lexsort((at, doc[:, 1], doc[:, 0]))
     begin = np.r_[0, np.cumsum(lengths)[:-1]]
     # Equal pieces: by two hashes over all their words and the length; the first in order stays.
@@ -234,12 +265,7 @@ def _repeats(words: np.ndarray, lengths: np.ndarray, doc: np.ndarray, at: np.nda
     out_key.append(doc[chosen[piece], 1])
     out_from.append(place)
     out_to.append(place + window)
-    key, a, b = (np.concatenate(x) for x in (out_key, out_from, out_to))
-    order = np.lexsort((a, key))
-    key, ranges = key[order], np.stack([a[order], b[order]], 1).astype(np.int32)
-    cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
-    for x, y in zip(cut, np.r_[cut[1:], len(key)].astype(int)):
-        yield int(key[x]), ranges[x:y].tobytes()
+    return np.column_stack([np.concatenate(x) for x in (out_key, out_from, out_to)]).astype(np.int64)
 
 
 RESULT = "doc_id long, row_key long, n_words long, n_removed long, kept_sha256 string, kept string"
@@ -253,7 +279,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, text: bool = True) ->
     if window < ANCHOR or window > 32:
         raise ValueError(f"window must be {ANCHOR} to 32 words")
     bitmap, places = repeated_anchors(docs, window)
-    ranges = repeated_ranges(docs, bitmap, places, window).groupBy("row_key").agg(F.collect_list("ranges").alias("ranges"))
+    ranges = repeated_ranges(docs, bitmap, places, window)
     met = texts(docs).join(ranges, "row_key", "left").select("doc_id", "row_key", "text", "ranges")
 
     def cut(batches):
@@ -267,10 +293,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, text: bool = True) ->
                     n, keep = int(b - a), None
                     if found[k].is_valid:
                         step = np.zeros(n + 1, np.int64)
-                        for x in found[k].values:
-                            r = np.frombuffer(x.as_buffer(), np.int32).reshape(-1, 2)
-                            np.add.at(step, r[:, 0], 1)
-                            np.add.at(step, r[:, 1], -1)
+                        r = np.frombuffer(found[k].as_buffer(), np.int32).reshape(-1, 2)
+                        np.add.at(step, r[:, 0], 1)
+                        np.add.at(step, r[:, 1], -1)
                         keep = np.cumsum(step[:-1]) == 0
                     left = data[offs[k]:offs[k + 1]].tobytes().split()
                     if keep is not None:
