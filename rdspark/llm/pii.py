@@ -63,8 +63,8 @@ def _remainder97(code: Column) -> Column:
 
 def _valid(kind: str, match: Column) -> Column:
     if kind == "ip":
-        return ~F.exists(F.split(match, r"\."), lambda p: (F.length(F.regexp_replace(p, "^0+", "")) > 3)
-                         | (F.substring(F.regexp_replace(p, "^0+", ""), 1, 3).cast("int") > 255))
+        short = lambda p: F.concat(F.lit("0"), F.regexp_replace(p, "^0+", ""))
+        return ~F.exists(F.split(match, r"\."), lambda p: (F.length(short(p)) > 4) | (F.substring(short(p), 1, 4).cast("int") > 255))
     if kind == "card":
         d = _digits(match)
         return F.length(d).between(13, 19) & _luhn(F.substring(d, 1, 19))

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ from rdspark.sources.storage import open_store, scratch_path
 END_ID = 1
 SEQUENCE = 1024
 BATCH = 256
-#: Entries of a worker's memory of chunks; it starts anew beyond.
-MEMORY = 600_000
+#: Entries of each memory of a worker; it starts anew beyond. One text may add its own chunks to that.
+MEMORY = 500_000
 _encoders: dict = {}
 
 
@@ -37,13 +38,14 @@ class Encoder:
     """Ids of texts from a tokenizer file, as packed unsigned integers.
 
     The tokenizer never joins what a space parts, so the ids of a text are those of its chunks between spaces, and those are remembered.
-    Chunks end in punctuation or begin with a capital often: letters before ASCII punctuation are a piece of their own for this
-    tokenizer, and lower case is its normal form, so ``The,`` is looked up as ``the`` and ``,``.
-    Chunks not seen before are encoded together, parted by a mark whose ids are known.
+    Many chunks are letters with punctuation behind them, perhaps with capitals: letters before ASCII punctuation are a piece of their
+    own for this tokenizer, and lower case is its normal form, so ``The,`` is looked up as ``the`` and ``,``; such a word goes to the
+    library's model directly, without its rules for what is no word. All other chunks go through the whole tokenizer.
+    Whether these rules hold is tried on samples when a file is opened; else no chunk is taken apart.
     """
 
-    MARK = "☃"
     PUNCTUATION = ".,;:!?%&$#*()|=\"-"
+    SAMPLES = ("Ab", "word", "Été", "straßes", "año", "x", "Zzyzxqk", "ÀÿÖþ", "internationalisation")
 
     def __init__(self, path: str):
         import os
@@ -51,64 +53,54 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memory: dict[str, bytes] = {"": b""}
-        self.mark = self._ids(self.MARK)
-        # Whether the rules above hold for this tokenizer; else chunks are looked up as they are.
-        self.splits = all(self._ids(f"Ab{p}") == self._ids("ab") + self._ids(p) for p in self.PUNCTUATION)
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.code, self.model = "H" if self.dtype.itemsize == 2 else "I", self.tokenizer.model
+        self.chunks: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {"": b""}
+        # Latin-1 letters as the byte-level alphabet writes them: printable bytes stand for themselves, the others from 256 on.
+        other = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF)]
+        letter = {b: chr(256 + other.index(b)) if b in other else chr(b) for b in range(256)}
+        self.table = {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0x80, 0x100)}
+        self.plain = False
+        self.plain = all(self._whole(w + p) == self._word(w.lower()) + self._whole(p) for w in self.SAMPLES for p in ("", *self.PUNCTUATION))
 
     def _pack(self, ids) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return array(self.code, ids).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _word(self, word: str) -> bytes:
+        return self._pack([t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.table))])
 
-    def _simple(self, chunk: str) -> tuple[str, str]:
+    def _learn(self, chunk: str) -> bytes:
         core = chunk.rstrip(self.PUNCTUATION)
-        tail = chunk[len(core):]
-        if not core or not core.isalpha() or max(core) > "ÿ":
-            return chunk, ""
-        return core.lower(), tail
-
-    def learn(self, chunks: set[str]) -> None:
-        if len(self.memory) > MEMORY:
-            self.memory = {"": b""}
-        parts = {c: self._simple(c) if self.splits else (c, "") for c in chunks}
-        new = list({p for pair in parts.values() for p in pair} - self.memory.keys())
-        for k in range(0, len(new), 4096):
-            group = new[k:k + 4096]
-            easy = [c for c in group if self.MARK not in c and len(c) < 1000]
-            ids = np.array(self._ids(f" {self.MARK} ".join(easy)) if easy else [], self.dtype)
-            cut = np.flatnonzero(ids == self.mark[0]) if len(self.mark) == 1 else np.zeros(0, int)
-            if len(self.mark) > 1:      # the mark is several ids: find the whole sequence
-                m = np.array(self.mark, self.dtype)
-                hit = np.ones(max(0, len(ids) - len(m) + 1), bool)
-                for j, x in enumerate(m):
-                    hit &= ids[j:len(ids) - len(m) + 1 + j] == x
-                cut = np.flatnonzero(hit)
-            if len(cut) == len(easy) - 1:
-                begin = 0
-                for c, end in zip(easy, [*cut.tolist(), len(ids)]):
-                    self.memory[c] = ids[begin:end].tobytes()
-                    begin = end + len(self.mark)
-            else:
-                easy = []
-            done = set(easy)
-            for c in group:
-                if c not in done:
-                    self.memory[c] = self._pack(self._ids(c))
-        for c, (core, tail) in parts.items():
-            if tail or core != c:
-                self.memory[c] = self.memory[core] + self.memory[tail]
+        if not self.plain or not core or not core.isalpha() or max(core) > "ÿ" or "µ" in core:
+            return self._whole(chunk)
+        word, tail, pieces = core.lower(), chunk[len(core):], self.pieces
+        if word not in pieces:
+            if len(pieces) > MEMORY:
+                pieces.clear()
+            pieces[word] = self._word(word)
+        if not tail:
+            return pieces[word]
+        end = pieces.get(tail)
+        if end is None:
+            end = pieces[tail] = self._whole(tail)
+        return pieces[word] + end
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out, end = [], self._pack([END_ID])
         for text in texts:
-            chunks = text.split(" ")
+            chunks, known = text.split(" "), self.chunks
             try:
-                ids = b"".join([self.memory[c] for c in chunks])
+                ids = b"".join([known[c] for c in chunks])
             except KeyError:
-                self.learn({c for c in chunks if c not in self.memory})
-                ids = b"".join([self.memory[c] for c in chunks])
+                if len(known) > MEMORY:
+                    known.clear()
+                for c in chunks:
+                    if c not in known:
+                        known[c] = self._learn(c)
+                ids = b"".join([known[c] for c in chunks])
             out.append(ids + end)
         return out
 
