@@ -31,9 +31,10 @@ class Settings:
     widths: tuple = (1, 2, 3)
     filters: int = 8
     sample: int = 2000
-    rounds: int = 6
+    steps: int = 24_000      # texts seen in training, in 4 to 40 rounds
     batch: int = 64
     rate: float = 0.01
+    least_seen: int = 3      # texts of the sample that hold a word, else it is read as unknown
     stretch: int = 1 << 15
     seed: int = 7
 
@@ -80,11 +81,12 @@ class Model:
         self.out = r.normal(0, 0.3, len(s.widths) * s.filters).astype(np.float32)
         self.out_bias = 0.0
         self.shift = np.zeros(len(LANGUAGES) + 1)      # the last: no function words
+        self.place = np.arange(s.buckets, dtype=np.int32)      # bucket 0 stands for all words that training has hardly seen
         self._table = None
 
     def pooled(self, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Rows x filters: the largest answer of each filter in each text (0 where the text has fewer words than the filter)."""
-        s, rows = self.s, len(before) - 1
+        s, rows, ids = self.s, len(before) - 1, self.place[ids]
         if self._table is None:      # what each word adds at each place of each filter
             self._table = [np.concatenate([self.embedding @ f[j] for j in range(len(f))], 1) for f in self.filters]
         out = np.zeros((rows, len(self.bias)), np.float32)
@@ -154,8 +156,11 @@ def train(rows: list[np.ndarray], labels: np.ndarray, s: Settings = Settings())
         v[pick] = 0.999 * v[pick] + 0.001 * grad * grad
         value[pick] -= s.rate * (m[pick] / (1 - 0.9 ** step)) / (np.sqrt(v[pick] / (1 - 0.999 ** step)) + 1e-8)
 
+    seen = np.bincount(np.concatenate([np.unique(x) for x in rows]), minlength=s.buckets)
+    model.place[seen < s.least_seen] = 0
+    rows_in, rows = rows, [model.place[x] for x in rows]
     pad = max(s.widths)
-    for _ in range(s.rounds):
+    for _ in range(min(40, max(4, s.steps // max(1, n)))):
         order = r.permutation(np.flatnonzero(~held))
         for k in range(0, len(order), s.batch):
             step += 1
@@ -199,7 +204,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, s: Settings = Settings())
             adam(model.bias, g_bias, "bias")
             adam(model.out, g_out.astype(np.float32), "out")
             model.out_bias -= s.rate * g_b
-    _calibrate(model, [rows[i] for i in np.flatnonzero(held)], labels[held])
+    _calibrate(model, [rows_in[i] for i in np.flatnonzero(held)], labels[held])
     return model
 
 

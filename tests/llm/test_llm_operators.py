@@ -310,7 +310,7 @@ def test_pooling_in_stretches_equals_whole():
         assert np.allclose(whole.pooled(one, np.array([0, len(one)])), whole.pooled(ids, before)[k:k + 1])
 
 
-def labelled(spark, n=400):
+def labelled(spark, n=1000):
     r, rows, labels = random.Random(8), [], []
     for k in range(n):
         words, bad = prose(r.randint(5, 80), 1000 + k), k % 5 == 0
