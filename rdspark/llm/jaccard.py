@@ -16,7 +16,8 @@ D = (1 - t) / (1 + t) * (|A| + |B|); with m > D blocks at least m - D words are
 * Of the documents that share a word only pairs with one leader are checked, the same leader wherever it occurs. What is then not in one
   component is tried with other leaders, and at last in pairs across components, so a group of near copies costs about one pair a member.
 
-Candidates are verified by the sizes of the true intersections. Classes are named by a 64-bit hash of the set.
+Candidates must pass by their sizes and by the Hamming distance of longer sketches, of 2 to 4 bits a token; the rest are verified by the sizes of the true
+intersections. Classes are named by a 64-bit hash of the set.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; rows with equal sets are linked whatever their ids;
 rows without an id take part but name no component, unless none in it has an id (then null); an empty table gives no rows; other
@@ -40,6 +41,8 @@ SAMPLE, HEAVY, HEAVY_LIST = 4000, 8, 1 << 19
 BITS = 1 << 23
 #: Rounds of single leaders, after the first, while pairs across components are more than so many times the rows of the runs.
 STAR_ROUNDS, PAIRS_A_ROW = 4, 20
+#: Rounds of the nearest pair between two components before all that are left are verified.
+PAIR_ROUNDS = 4
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -90,6 +93,21 @@ def keys_of(s: np.ndarray, common: np.ndarray, similarity: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def parity_sketch(s: np.ndarray) -> np.ndarray:
+    """Bits of a set: bit k is the parity of the tokens whose hash is k modulo the number of bits, a power of two from 2 n to 4 n."""
+    bits = 1 << max(8, int(2 * len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little")
+
+
+def hamming(a: np.ndarray, b: np.ndarray) -> int:
+    """Distance of two sketches; the longer one is folded to the length of the shorter, which is its sketch of that length."""
+    while len(a) > len(b):
+        a = a[:len(a) // 2] ^ a[len(a) // 2:]
+    while len(b) > len(a):
+        b = b[:len(b) // 2] ^ b[len(b) // 2:]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def set_class(s: np.ndarray) -> int:
     """64-bit name of a set; 0 for the empty one."""
     if not len(s):
@@ -182,7 +200,7 @@ def candidates(docs: DataFrame, common: np.ndarray, similarity: int) -> DataFram
 
 
 def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(class, n, tokens) of the wanted classes, each from the row with the least key. A bitmap of fixed size spares other rows."""
+    """(class, n, sketch, tokens) of the wanted classes, each from the row with the least key. A bitmap of fixed size spares other rows."""
     chosen = rows.where("n > 0").groupBy("class").agg(F.min("row_key").alias("row_key")).join(wanted, "class")
     at = F.pmod(F.col("row_key"), F.lit(BITS))
     parts = chosen.groupBy(F.floor(at / 32768).alias("part")).agg(F.bitmap_construct_agg(at % 32768).alias("bits")).collect()
@@ -192,24 +210,42 @@ def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
 
     def run(batches):
+        seen = set()      # a task gives a class once; what several tasks give is equal
         for batch in batches:
             p = np.mod(batch.column("row_key").to_numpy(), BITS)
             batch = batch.filter(pa.array((shared.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1))
-            for part, sets in _sets(batch):
-                rows_ = [(set_class(s), len(s), s.tobytes()) for s in sets]
-                yield pa.record_batch([pa.array([r[k] for r in rows_], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))],
-                                      names=["class", "n", "tokens"])
-    return written(texts(docs).mapInArrow(run, "class long, n long, tokens binary").where("n > 0").dropDuplicates(["class"]), "sets")
+            for _, sets in _sets(batch):
+                rows_ = []
+                for s in sets:
+                    name = set_class(s)
+                    if len(s) and name not in seen:
+                        seen.add(name)
+                        rows_.append((name, len(s), parity_sketch(s).tobytes(), s.tobytes()))
+                yield pa.record_batch([pa.array([r[k] for r in rows_], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))],
+                                      names=["class", "n", "sketch", "tokens"])
+    return written(texts(docs).mapInArrow(run, "class long, n long, sketch binary, tokens binary"), "sets")
+
+
+def near_pairs(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """The pairs (a, b, ...) that sizes and the Hamming distance of the sketches leave possible, with that ``distance``."""
+    one = lambda k: sets.select(F.col("class").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")).dropDuplicates([k])
+    met = pairs.join(one("a"), "a").join(one("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * similarity)
+    keep = pairs.columns
+
+    def run(batches):
+        for batch in batches:
+            d = [hamming(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) for x, y in zip(batch.column("sa"), batch.column("sb"))]
+            most = [most_different(x + y, similarity) for x, y in zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist())]
+            out = batch.select(keep).append_column("distance", pa.array(d, pa.int64()))
+            yield out.filter(pa.array([x <= m for x, m in zip(d, most)], pa.bool_()))
+    return met.mapInArrow(run, pairs.withColumn("distance", F.lit(0).cast("long")).schema)
 
 
 def linked(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough."""
-    one = lambda k: sets.select(F.col("class").alias(k), F.col("n").alias(f"n{k}"), F.col("tokens").alias(f"t{k}"))
-    sizes = sets.select("class", "n")
-    pairs = pairs.join(sizes.select(F.col("class").alias("a"), F.col("n").alias("na")), "a").join(
-        sizes.select(F.col("class").alias("b"), F.col("n").alias("nb")), "b").where(
-        F.least("na", "nb") * 100 >= F.greatest("na", "nb") * similarity).select("a", "b")
-    met = pairs.join(one("a"), "a").join(one("b"), "b")
+    """The pairs (a, b) of classes whose sets are similar enough. Each pair carries one set to the other; of the classes ``a``, leaders, there are few."""
+    leaders = sets.join(pairs.select(F.col("a").alias("class")).distinct(), "class", "left_semi")
+    met = pairs.select("a", "b").join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("tb")), "b").join(
+        leaders.select(F.col("class").alias("a"), F.col("tokens").alias("ta")), "a")
 
     def run(batches):
         for batch in batches:
@@ -223,13 +259,48 @@ def linked(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return met.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _with_roots(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """``pairs`` of different components, with their roots ra and rb."""
+    side = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"r{k}"))
+    met = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return met.withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")}).where("ra <> rb")
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Roots after links (ra, rb) between components: a small graph."""
+    moved = components(links, "ra", "rb").select(F.col("node").alias("old"), F.col("root").alias("new"))
+    return written(roots.join(moved, roots["root"] == moved["old"], "full").select(
+        F.coalesce("node", "old").alias("node"), F.coalesce("new", "root").alias("root")), "roots")
+
+
+def settled(roots: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Components after all links among ``pairs`` (a, b, distance): of the pairs between two components the nearest is tried first."""
+    for turn in range(PAIR_ROUNDS + 1):
+        pairs = written(_with_roots(pairs.select("a", "b", "distance"), roots), "pairs")
+        if pairs.isEmpty():
+            return roots
+        last = turn == PAIR_ROUNDS
+        tried = pairs if last else pairs.groupBy(F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y")).agg(
+            F.min(F.struct("distance", "a", "b", "ra", "rb")).alias("p")).select("p.*")
+        found = linked(tried, sets, similarity).distinct().join(tried.select("a", "b", "ra", "rb").distinct(), ["a", "b"])
+        roots = _merged(roots, found.select("ra", "rb"))
+        if last:
+            return roots
+        pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    return roots
+
+
 def class_links(docs: DataFrame, rows: DataFrame, similarity: int) -> DataFrame:
     """(node, root): components of the classes that have links."""
     found = candidates(docs, common_shingles(rows), similarity)
-    pairs = written(found.where("kind = 0").select("a", "b").distinct(), "pairs")
+    pairs = found.where("kind = 0").select("a", "b").distinct()
     runs = found.where("kind = 1").select(F.col("a").alias("run"), F.col("b").alias("class")).distinct()
     sets = sets_of(docs, rows, pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct())
-    roots = components(linked(pairs, sets, similarity), "a", "b")
+    near = written(near_pairs(pairs, sets, similarity), "near")
+    # One leader for each member first, the nearest; what that leaves apart is tried after.
+    first = near.groupBy("b").agg(F.min(F.struct("distance", F.xxhash64("a").alias("h"), "a"))["a"].alias("a"))
+    roots = written(components(linked(first, sets, similarity), "a", "b"), "roots")
+    roots = settled(roots, near, sets, similarity)
     for turn in range(STAR_ROUNDS + 1):
         # Runs that are not in one component yet.
         named = runs.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
@@ -246,14 +317,8 @@ def class_links(docs: DataFrame, rows: DataFrame, similarity: int) -> DataFrame:
             new = runs.select("run", F.col("class").alias("a"), F.col("root").alias("ra")).join(other, "run").where("ra < rb")
         else:
             lead = runs.groupBy("run").agg(F.min(F.struct(F.xxhash64("class", F.lit(turn)).alias("h"), "class", "root")).alias("l"))
-            new = runs.join(lead, "run").where(F.col("root") != F.col("l.root")).select(
-                F.col("l.class").alias("a"), F.col("l.root").alias("ra"), F.col("class").alias("b"), F.col("root").alias("rb"))
-        new = new.select("a", "b", "ra", "rb").distinct()
-        found = linked(new.select("a", "b"), sets, similarity)
-        # The new links join components: a small graph of roots.
-        moved = components(found.join(new, ["a", "b"]).select("ra", "rb"), "ra", "rb").select(F.col("node").alias("old"), F.col("root").alias("new"))
-        roots = written(roots.join(moved, roots["root"] == moved["old"], "full").select(
-            F.coalesce("node", "old").alias("node"), F.coalesce("new", "root").alias("root")), "roots")
+            new = runs.join(lead, "run").where(F.col("root") != F.col("l.root")).select(F.col("l.class").alias("a"), F.col("class").alias("b"))
+        roots = settled(roots, near_pairs(new.select("a", "b").distinct(), sets, similarity), sets, similarity)
         if last:
             return roots
         runs = runs.select("run", "class")
