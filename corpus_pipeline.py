@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rdspark.llm import cnn, decontaminate, jaccard, mixing, tokens
 from rdspark.llm.queries import tokenizer_path
-from rdspark.llm.tables import table, written
+from rdspark.llm.tables import fresh, table, written
+from rdspark.shipping import ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose score is below 0.5. The classifier learns from the labelled rows among ``docs``."""
     model = cnn.fit(docs, table(spark, sf_dir, "labels"), "toxic")
-    return cnn.score(docs, model, *docs.columns).where("score < 0.5").drop("score")
+    name = fresh(docs, "score")
+    return cnn.score(docs, model, *docs.columns, out=name).where(F.col(name) < 0.5).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,15 @@ def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return tokens.encoded_documents(docs, tokenizer_path())
 
 
-STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_benchmark), ("mixing", mix), ("token_ids", write_ids)]
+def _shipped(stage):
+    """The stage with the package sent to the Python workers first."""
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+    return run_stage
+
+
+STAGES = [(name, _shipped(stage)) for name, stage in [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_benchmark), ("mixing", mix), ("token_ids", write_ids)]]
 #: The first stage is a trained network, so SQL cannot give the rows; the stages are tested one by one against plain versions.
 ORACLE_SQL = None
 

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rdspark.llm.tables import texts
+from rdspark.llm.tables import fresh
 from rdspark.llm.words import NOT_ALNUM, hashes, slabs, spans, LOWER
 
 
@@ -34,6 +34,7 @@ class Settings:
     steps: int = 24_000      # texts seen in training, in 4 to 40 rounds
     batch: int = 64
     rate: float = 0.01
+    least_held: int = 20     # rows of label 1 among those held for the thresholds
     least_seen: int = 3      # texts of the sample that hold a word, else it is read as unknown
     stretch: int = 1 << 15
     seed: int = 7
@@ -204,7 +205,9 @@ def train(rows: list[np.ndarray], labels: np.ndarray, s: Settings = Settings())
             adam(model.bias, g_bias, "bias")
             adam(model.out, g_out.astype(np.float32), "out")
             model.out_bias -= s.rate * g_b
-    _calibrate(model, [rows_in[i] for i in np.flatnonzero(held)], labels[held])
+    # Few held rows say little about a threshold: then all rows set it.
+    use = held if labels[held].sum() >= s.least_held else np.ones(n, bool)
+    _calibrate(model, [rows_in[i] for i in np.flatnonzero(use)], labels[use])
     return model
 
 
@@ -258,15 +261,16 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", allowed=None,
     return train(ids, np.array(got.column("label").to_pylist(), int), s)
 
 
-def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """``keep`` columns and ``score`` for each row. The model, of fixed size, travels with the function."""
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce("text", F.lit("")).alias("_scored_text"))
+def score(docs: DataFrame, model: Model, *keep: str, out: str = "score") -> DataFrame:
+    """``keep`` columns and the score, named ``out``, for each row. The model, of fixed size, travels with the function."""
+    text = fresh(docs, "_scored_text")
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce("text", F.lit("")).alias(text))
     model.packed()
 
     def run(batches):
         for batch in batches:
-            for _, part, data, offs in slabs(batch, "_scored_text"):
+            for _, part, data, offs in slabs(batch, text):
                 ids, before = word_ids(data, offs, model.s.buckets)
-                yield pa.record_batch([*[part.column(c) for c in keep], pa.array(model.scores(ids, before))], names=[*keep, "score"])
+                yield pa.record_batch([*[part.column(c) for c in keep], pa.array(model.scores(ids, before))], names=[*keep, out])
     kept = source.select(*[F.col(f"`{c}`") for c in keep])
-    return source.mapInArrow(run, kept.withColumn("score", F.lit(0.0)).schema)
+    return source.mapInArrow(run, kept.withColumn(out, F.lit(0.0)).schema)

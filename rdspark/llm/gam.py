@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from rdspark.llm.cnn import MARKERS, _hash_words, labelled_sample
+from rdspark.llm.tables import fresh
 from rdspark.llm.words import grams, hashes, slabs, spans, LOWER
 
 SAMPLE = 6000
@@ -196,13 +197,14 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", allowed=Non
     return train(x, np.array(got.column("label").to_pylist(), int))
 
 
-def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """``keep`` columns and ``score`` for each row. The model, of fixed size, travels with the function."""
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce("text", F.lit("")).alias("_scored_text"))
+def score(docs: DataFrame, model: Model, *keep: str, out: str = "score") -> DataFrame:
+    """``keep`` columns and the score, named ``out``, for each row. The model, of fixed size, travels with the function."""
+    text = fresh(docs, "_scored_text")
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce("text", F.lit("")).alias(text))
 
     def run(batches):
         for batch in batches:
-            for _, part, data, offs in slabs(batch, "_scored_text"):
-                yield pa.record_batch([*[part.column(c) for c in keep], pa.array(model.scores(features(data, offs)))], names=[*keep, "score"])
+            for _, part, data, offs in slabs(batch, text):
+                yield pa.record_batch([*[part.column(c) for c in keep], pa.array(model.scores(features(data, offs)))], names=[*keep, out])
     kept = source.select(*[F.col(f"`{c}`") for c in keep])
-    return source.mapInArrow(run, kept.withColumn("score", F.lit(0.0)).schema)
+    return source.mapInArrow(run, kept.withColumn(out, F.lit(0.0)).schema)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from rdspark.llm.components import components
 from rdspark.llm.keys import BLOB, Packer, unpacked
-from rdspark.llm.tables import buckets, texts, written
+from rdspark.llm.tables import buckets, columns, fresh, texts, written
 from rdspark.llm.words import mix, shingle_sets, slabs, word_hashes
 
 SIMILARITY, SHINGLE = 80, 5
@@ -171,9 +171,9 @@ def candidates(docs: DataFrame, common: np.ndarray, similarity: int) -> DataFram
                         if name not in seen:
                             seen.add(name)
                             packer.add(name & 0xFFFFFFFFFFFFFFFF, keys_of(s, shared.value, similarity))
-                if packer.full:
-                    yield packer.blobs()
-                    seen = set()
+                            if packer.full:
+                                yield packer.blobs()
+                                seen = set()
         yield packer.blobs()
 
     def meet(table: pa.Table) -> pa.Table:
@@ -347,7 +347,7 @@ def kept_documents(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     # A component without ids has no name; its rows then share a null, and each stays.
     first = found.where("n_shingles > 0").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("row_key"))).agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))["row_key"].alias("row_key"))
-    keep = single.union(first.select("row_key")).distinct().withColumnRenamed("row_key", "_row_key")
+    name = fresh(docs, "_row_key")
+    keep = single.union(first.select("row_key")).distinct().withColumnRenamed("row_key", name)
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").isNull(), F.coalesce("text", F.lit("")))
-    out = docs.select(*[F.col(f"`{c}`") for c in docs.columns], key.alias("_row_key")).join(keep, "_row_key").dropDuplicates(["_row_key"])
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(*columns(docs), key.alias(name)).join(keep, name).dropDuplicates([name]).select(*columns(docs))

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rdspark.llm.tables import WORD, written
+from rdspark.llm.tables import WORD, columns, fresh, written
 
 #: Weights by position of the source, repeated.
 WEIGHTS = (3, 1, 2)
@@ -109,8 +109,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     The document at the end of a selection comes once more if half of it or more was taken. Equal rows come equally often.
     """
-    plan = mix_sources(docs, **options).where("size > 0").groupBy(F.col("row_key").alias("_mix_key")).agg(
-        F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("_mix_times")).where("_mix_times > 0")
-    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], row_key().alias("_mix_key"))
-    return keyed.join(plan, "_mix_key").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    key, times = fresh(docs, "_mix_key"), fresh(docs, "_mix_times")
+    plan = mix_sources(docs, **options).where("size > 0").groupBy(F.col("row_key").alias(key)).agg(
+        F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias(times)).where(F.col(times) > 0)
+    keyed = docs.select(*columns(docs), row_key().alias(key))
+    return keyed.join(plan, key).withColumn(fresh(docs, "_mix_copy"), F.explode(F.sequence(F.lit(1), F.col(times)))).select(*columns(docs))

@@ -20,6 +20,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have yet, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def columns(df: DataFrame) -> list:
+    """All columns by their literal names."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id, row_key, text): null texts as empty ones. Rows with equal ids and texts share their row_key."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
