@@ -40,9 +40,9 @@ SIMILARITY, SHINGLE = 80, 5
 SAMPLE, HEAVY, HEAVY_LIST = 4000, 8, 1 << 19
 BITS = 1 << 23
 #: Rounds of single leaders, after the first, while pairs across components are more than so many times the rows of the runs.
-STAR_ROUNDS, PAIRS_A_ROW = 4, 20
+STAR_ROUNDS, PAIRS_A_ROW = 3, 20
 #: Rounds of the nearest pair between two components before all that are left are verified.
-PAIR_ROUNDS = 4
+PAIR_ROUNDS = 1
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -156,7 +156,10 @@ def common_shingles(rows: DataFrame) -> np.ndarray:
 
 
 def candidates(docs: DataFrame, common: np.ndarray, similarity: int) -> DataFrame:
-    """(kind, a, b): kind 0: a class and the leader of some run; kind 1: a run of three or more classes, and a class in it."""
+    """(a, b, members): either a pair of a run's leader and another class of it, or the packed classes, leader first, of a run of three or more.
+
+    A run stays one row: it is looked at again only if what its leader's pairs say leaves it in several components.
+    """
     spark = docs.sparkSession
     n_buckets = buckets(spark)
     shared = spark.sparkContext.broadcast(common)      # bounded by HEAVY_LIST
@@ -188,47 +191,59 @@ def candidates(docs: DataFrame, common: np.ndarray, similarity: int) -> DataFram
         leader = np.repeat(first, size)
         pair = np.flatnonzero(np.arange(len(key)) != leader)
         pairs = np.unique(np.stack([name[leader[pair]], name[pair]], 1), axis=0) if len(pair) else np.zeros((0, 2), np.uint64)
+        pairs = np.ascontiguousarray(pairs)
         run = np.add.reduceat(mix(rank), first) if len(first) else np.zeros(0, np.uint64)      # runs of the same classes are one
         _, keep = np.unique(run, return_index=True)
         keep = keep[size[keep] >= 3]
-        rows = np.concatenate([np.arange(first[k], first[k] + size[k]) for k in keep]) if len(keep) else np.zeros(0, int)
-        return pa.table({"kind": pa.array(np.r_[np.zeros(len(pairs)), np.ones(len(rows))], pa.int32()),
-                         "a": np.r_[pairs[:, 0], np.repeat(run[keep], size[keep])].astype(np.uint64).view(np.int64),
-                         "b": np.r_[pairs[:, 1], name[rows]].astype(np.uint64).view(np.int64)})
+        packed = [name[first[k]:first[k] + size[k]].tobytes() for k in keep]
+        none = [None] * len(packed)
+        return pa.table({"a": pa.array([*pairs[:, 0].view(np.int64).tolist(), *none], pa.int64()), "b": pa.array([*pairs[:, 1].view(np.int64).tolist(), *none], pa.int64()),
+                         "members": pa.array([*[None] * len(pairs), *packed], pa.binary())})
     blobs = texts(docs).mapInArrow(pack, BLOB)
-    return written(blobs.groupBy("bucket").applyInArrow(meet, "kind int, a long, b long"), "candidates")
+    return written(blobs.groupBy("bucket").applyInArrow(meet, "a long, b long, members binary"), "candidates")
 
 
-def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(class, n, sketch, tokens) of the wanted classes, each from the row with the least key. A bitmap of fixed size spares other rows."""
-    chosen = rows.where("n > 0").groupBy("class").agg(F.min("row_key").alias("row_key")).join(wanted, "class")
-    at = F.pmod(F.col("row_key"), F.lit(BITS))
-    parts = chosen.groupBy(F.floor(at / 32768).alias("part")).agg(F.bitmap_construct_agg(at % 32768).alias("bits")).collect()
-    bits = np.zeros(BITS, bool)
+def _bitmap(positions: DataFrame) -> np.ndarray:
+    """BITS packed bits, those at the values of the one column set: a table of fixed size."""
+    at = F.col(positions.columns[0])
+    parts = positions.groupBy(F.floor(at / 32768).alias("part")).agg(F.bitmap_construct_agg(at % 32768).alias("bits")).collect()
+    bits = np.zeros(BITS >> 3, np.uint8)
     for p in parts:
-        bits[p["part"] * 32768:(p["part"] + 1) * 32768] = np.unpackbits(np.frombuffer(p["bits"], np.uint8), bitorder="little")
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
+        bits[p["part"] << 12:(p["part"] + 1) << 12] = np.frombuffer(p["bits"], np.uint8)
+    return bits
+
+
+def _is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, sketch: bool) -> DataFrame:
+    """(class, n, value) of the wanted classes, each from the row with the least key: the sketch of its set, or the set. A bitmap spares other rows."""
+    chosen = rows.where("n > 0").groupBy("class").agg(F.min("row_key").alias("row_key")).join(wanted, "class")
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(chosen.select(F.pmod("row_key", F.lit(BITS)).alias("at"))))
 
     def run(batches):
         seen = set()      # a task gives a class once; what several tasks give is equal
         for batch in batches:
-            p = np.mod(batch.column("row_key").to_numpy(), BITS)
-            batch = batch.filter(pa.array((shared.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1))
+            batch = batch.filter(pa.array(_is_set(shared.value, np.mod(batch.column("row_key").to_numpy(), BITS))))
             for _, sets in _sets(batch):
                 rows_ = []
                 for s in sets:
                     name = set_class(s)
                     if len(s) and name not in seen:
                         seen.add(name)
-                        rows_.append((name, len(s), parity_sketch(s).tobytes(), s.tobytes()))
-                yield pa.record_batch([pa.array([r[k] for r in rows_], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))],
-                                      names=["class", "n", "sketch", "tokens"])
-    return written(texts(docs).mapInArrow(run, "class long, n long, sketch binary, tokens binary"), "sets")
+                        rows_.append((name, len(s), parity_sketch(s).tobytes() if sketch else s.tobytes()))
+                yield pa.record_batch([pa.array([r[k] for r in rows_], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["class", "n", "value"])
+    return written(texts(docs).mapInArrow(run, "class long, n long, value binary"), "sets")
 
 
-def near_pairs(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+def _classes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+
+
+def near_pairs(pairs: DataFrame, sketches: DataFrame, similarity: int) -> DataFrame:
     """The pairs (a, b, ...) that sizes and the Hamming distance of the sketches leave possible, with that ``distance``."""
-    one = lambda k: sets.select(F.col("class").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")).dropDuplicates([k])
+    one = lambda k: sketches.select(F.col("class").alias(k), F.col("n").alias(f"n{k}"), F.col("value").alias(f"s{k}")).dropDuplicates([k])
     met = pairs.join(one("a"), "a").join(one("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * similarity)
     keep = pairs.columns
 
@@ -241,11 +256,11 @@ def near_pairs(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return met.mapInArrow(run, pairs.withColumn("distance", F.lit(0).cast("long")).schema)
 
 
-def linked(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough. Each pair carries one set to the other; of the classes ``a``, leaders, there are few."""
-    leaders = sets.join(pairs.select(F.col("a").alias("class")).distinct(), "class", "left_semi")
-    met = pairs.select("a", "b").join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("tb")), "b").join(
-        leaders.select(F.col("class").alias("a"), F.col("tokens").alias("ta")), "a")
+def linked(docs: DataFrame, rows: DataFrame, pairs: DataFrame, similarity: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar enough. Only the sets of these pairs are made and moved."""
+    sets = sets_of(docs, rows, _classes_of(pairs), sketch=False)
+    met = pairs.select("a", "b").join(sets.select(F.col("class").alias("b"), F.col("value").alias("tb")), "b").join(
+        sets.select(F.col("class").alias("a"), F.col("value").alias("ta")), "a")
 
     def run(batches):
         for batch in batches:
@@ -273,7 +288,7 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
         F.coalesce("node", "old").alias("node"), F.coalesce("new", "root").alias("root")), "roots")
 
 
-def settled(roots: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+def settled(docs: DataFrame, rows: DataFrame, roots: DataFrame, pairs: DataFrame, similarity: int) -> DataFrame:
     """Components after all links among ``pairs`` (a, b, distance): of the pairs between two components the nearest is tried first."""
     for turn in range(PAIR_ROUNDS + 1):
         pairs = written(_with_roots(pairs.select("a", "b", "distance"), roots), "pairs")
@@ -282,7 +297,8 @@ def settled(roots: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: int
         last = turn == PAIR_ROUNDS
         tried = pairs if last else pairs.groupBy(F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y")).agg(
             F.min(F.struct("distance", "a", "b", "ra", "rb")).alias("p")).select("p.*")
-        found = linked(tried, sets, similarity).distinct().join(tried.select("a", "b", "ra", "rb").distinct(), ["a", "b"])
+        tried = written(tried, "tried")
+        found = linked(docs, rows, tried, similarity).distinct().join(tried.select("a", "b", "ra", "rb").distinct(), ["a", "b"])
         roots = _merged(roots, found.select("ra", "rb"))
         if last:
             return roots
@@ -290,17 +306,33 @@ def settled(roots: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: int
     return roots
 
 
+def open_runs(found: DataFrame, roots: DataFrame) -> DataFrame:
+    """(run, class) of the runs that lie in several components: some pair with the leader does. A bitmap of such pairs finds them where they stand."""
+    apart = _with_roots(found.where("a is not null").select("a", "b").distinct(), roots)
+    bits = _bitmap(apart.select((F.col("a").bitwiseXOR(F.col("b"))).alias("x")).select(F.pmod("x", F.lit(BITS)).alias("at")))
+    shared = found.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        for batch in batches:
+            for x in batch.column("members"):
+                m = np.frombuffer(x.as_buffer(), np.int64)
+                if _is_set(shared.value, np.mod(m[1:] ^ m[0], BITS)).any():
+                    name = mix(mix(m.view(np.uint64)) ^ _GOLD).sum(dtype=np.uint64).view(np.int64)      # runs of the same classes are one
+                    yield pa.record_batch([pa.array(np.full(len(m), name)), pa.array(m)], names=["run", "class"])
+    return found.where("members is not null").select("members").mapInArrow(run, "run long, class long").distinct()
+
+
 def class_links(docs: DataFrame, rows: DataFrame, similarity: int) -> DataFrame:
     """(node, root): components of the classes that have links."""
     found = candidates(docs, common_shingles(rows), similarity)
-    pairs = found.where("kind = 0").select("a", "b").distinct()
-    runs = found.where("kind = 1").select(F.col("a").alias("run"), F.col("b").alias("class")).distinct()
-    sets = sets_of(docs, rows, pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct())
-    near = written(near_pairs(pairs, sets, similarity), "near")
+    pairs = written(found.where("a is not null").select("a", "b").distinct(), "star-pairs")
+    sketches = sets_of(docs, rows, _classes_of(pairs), sketch=True)
+    near = written(near_pairs(pairs, sketches, similarity), "near")
     # One leader for each member first, the nearest; what that leaves apart is tried after.
     first = near.groupBy("b").agg(F.min(F.struct("distance", F.xxhash64("a").alias("h"), "a"))["a"].alias("a"))
-    roots = written(components(linked(first, sets, similarity), "a", "b"), "roots")
-    roots = settled(roots, near, sets, similarity)
+    roots = written(components(linked(docs, rows, written(first, "first"), similarity), "a", "b"), "roots")
+    roots = settled(docs, rows, roots, near, similarity)
+    runs = written(open_runs(found, roots), "runs")
     for turn in range(STAR_ROUNDS + 1):
         # Runs that are not in one component yet.
         named = runs.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
@@ -318,7 +350,7 @@ def class_links(docs: DataFrame, rows: DataFrame, similarity: int) -> DataFrame:
         else:
             lead = runs.groupBy("run").agg(F.min(F.struct(F.xxhash64("class", F.lit(turn)).alias("h"), "class", "root")).alias("l"))
             new = runs.join(lead, "run").where(F.col("root") != F.col("l.root")).select(F.col("l.class").alias("a"), F.col("class").alias("b"))
-        roots = settled(roots, near_pairs(new.select("a", "b").distinct(), sets, similarity), sets, similarity)
+        roots = settled(docs, rows, roots, near_pairs(new.select("a", "b").distinct(), sketches, similarity), similarity)
         if last:
             return roots
         runs = runs.select("run", "class")

@@ -351,3 +351,16 @@ def test_secrets_are_found_and_false_ones_removed(spark, odd, empty):
     assert all((x["score"] >= 0.5) == bool(x["doc_id"] % 2 and len(x["value"]) == 40) for x in got)
     assert secrets.findings(empty).count() == 0 and secrets.findings(odd).count() >= 0
     assert secrets.train(secrets.labelled_by_rule(secrets.findings(empty))) == 0.5
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_graphs(spark, seed):
+    from rdspark.llm.components import components
+    r = random.Random(seed)
+    edges = [(r.randrange(60) - 30, r.randrange(60) - 30) for _ in range(r.choice([0, 25, 50]))] + [(k, k + 1) for k in range(100, 140)]
+    root = {x: x for e in edges for x in e}
+    for _ in range(len(root)):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {x["node"]: x["root"] for x in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    assert got == {x: v for x, v in root.items() if x in {y for e in edges if e[0] != e[1] for y in e}}
