@@ -4,7 +4,10 @@ Patterns propose spans; the checksum of Luhn (cards) and the remainder by 97 (ac
 raise or lower its score. Base kinds email, ip, card and phone are kept whatever their score. The method adds ``iban`` spans, and ``local``
 spans: phone numbers without country code, which only count where a word nearby says so.
 
-Every pattern starts at a place where no earlier start could have matched and never gives characters back, so the time is linear in
+An account number has the length of its country (``IBAN_LENGTHS``); one of another country ends at the last place, within 34 characters, where
+no letter or digit follows.
+
+Every pattern starts at a place where no earlier start could have matched and gives no characters back, or 19 at most, so the time is linear in
 the text. Positions are code points: the gaps between matches are measured.
 
 Defined results: null and empty texts have no spans; a null id stays null; repeated rows are repeated; other columns are not looked at; an
@@ -20,7 +23,14 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}+"
 CARD = r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+#: Lengths of account numbers by country: words and numbers behind a number are not part of it.
+IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+                22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+                27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+_BY_LENGTH = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}+" for n, c in IBAN_LENGTHS.items())
+_KNOWN = "(?:" + "|".join(IBAN_LENGTHS.values()).replace(" ", "|") + ")[0-9]{2}"
+#: Other countries: as far as the characters go, up to 34, but not into a word that does not fit or another number.
+IBAN = (rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_BY_LENGTH}|(?!{_KNOWN})[A-Z]{{2}}[0-9]{{2}}(?:(?:\x20(?!{_KNOWN}))?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])")
 LOCAL = r"(?<![0-9+().-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9-])"
 #: Kind, pattern, a cheap test whether the text can hold one, score without context, words that raise it.
 KINDS = (
