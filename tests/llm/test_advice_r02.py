@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
-from rdspark.llm import pii, secrets
+from rdspark.llm import decontaminate, pii, secrets
 
 
 @pytest.mark.parametrize("text, want", [
@@ -63,3 +65,28 @@ def test_assignments_take_linear_time(spark):
     start = time.time()
     assert secrets.findings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() > 0
     assert time.time() - start < 30
+
+
+def prose(n: int, seed: int) -> list[str]:
+    r = random.Random(seed)
+    return ["".join(r.choice("aeioubcdlmnrst") for _ in range(r.randint(2, 8))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("answers", [False, True])
+def test_short_items_are_found_word_for_word(spark, answers):
+    sizes = [1, 1, 2, 3, 4, 5, 6, 7, 7, 8, 9, 12, 15, 5]
+    items = [(k, " ".join(w + "q" for w in prose(n, 200 + k))) for k, n in enumerate(sizes)]
+    items[-1] = (len(items) - 1, items[5][1].upper())      # the same words again
+    rows, want = [(k, " ".join(prose(150, 300 + k))) for k in range(40)], set()
+    for k, text in items:
+        for j, at in enumerate((0, 3, 7, 64, 141)):
+            rows.append((1000 + 10 * k + j, " ".join(prose(at, 400 + k + j) + [text] + ["ANSWER"] * answers + prose(70 * (j % 2), 900 + k + j))))
+            want |= {(rows[-1][0], i) for i, t in items if t.lower() == text.lower()}
+        words = text.split()
+        if 2 <= len(words) <= 3:      # the first words at the end of a row and the others at the start of the next: no match
+            rows += [(2000 + k, " ".join(prose(20, k) + words[:1])), (2001 + k, " ".join(words[1:] + prose(20, k + 1)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(*i, "answer") for i in items], "item_id long, text string, answer string")
+    bench = bench if answers else bench.drop("answer")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == want
