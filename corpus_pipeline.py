@@ -14,8 +14,11 @@ from rdspark.shipping import ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose score is below 0.5. The classifier learns from the labelled rows among ``docs``."""
+    """Rows whose score is below 0.5. The classifier learns from the labelled rows among ``docs``; without labels of both classes
+    among them there is nothing to tell rows apart by, and all rows stay."""
     model = cnn.fit(docs, table(spark, sf_dir, "labels"), "toxic")
+    if model.constant is not None:
+        return docs
     name = fresh(docs, "score")
     return cnn.score(docs, model, *docs.columns, out=name).where(F.col(name) < 0.5).drop(name)
 

@@ -235,9 +235,9 @@ def _calibrate(model: Model, rows: list[np.ndarray], labels: np.ndarray) -> None
     model.packed()
 
 
-def labelled_sample(labels: DataFrame, column: str, allowed, per_class: int) -> DataFrame:
-    """(doc_id, label): at most ``per_class`` ids of each class, by the smallest hash of the id."""
-    good = labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1) & allowed).groupBy("doc_id").agg(
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, allowed, per_class: int) -> DataFrame:
+    """(doc_id, label): at most ``per_class`` ids of each class, by the smallest hash of the id. Only labels that meet a row of ``docs`` count."""
+    good = labels.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1) & allowed).groupBy("doc_id").agg(
         F.round(F.avg(column)).cast("int").alias("label"))
     parts = [good.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     return parts[0].unionByName(parts[1])
@@ -245,7 +245,7 @@ def labelled_sample(labels: DataFrame, column: str, allowed, per_class: int) ->
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", allowed=None, s: Settings = Settings()) -> Model:
     """Train on the bounded sample. Word ids are made by the executors; a text of the sample comes as its ids, whole."""
-    sample = labelled_sample(labels, column, F.lit(True) if allowed is None else allowed, s.sample)
+    sample = labelled_sample(docs, labels, column, F.lit(True) if allowed is None else allowed, s.sample)
     # Two classes of ``sample`` rows of 12 bytes: a bounded broadcast.
     rows = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(sample), "doc_id").select(
         "doc_id", "label", F.coalesce("text", F.lit("")).alias("text"))

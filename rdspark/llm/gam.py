@@ -182,7 +182,7 @@ def train(x: np.ndarray, y: np.ndarray) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", allowed=None, sample: int = SAMPLE) -> Model:
     """Train on the bounded sample; only features reach the driver."""
-    picked = labelled_sample(labels, column, F.lit(True) if allowed is None else allowed, sample)
+    picked = labelled_sample(docs, labels, column, F.lit(True) if allowed is None else allowed, sample)
     # Two classes of ``sample`` rows of 12 bytes: a bounded broadcast.
     rows = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(picked), "doc_id").select(
         "doc_id", "label", F.coalesce("text", F.lit("")).alias("text"))

@@ -6,7 +6,8 @@ import random
 
 import pytest
 
-from rdspark.llm import decontaminate, pii, secrets
+import corpus_pipeline
+from rdspark.llm import cnn, decontaminate, pii, secrets
 
 
 @pytest.mark.parametrize("text, want", [
@@ -90,3 +91,18 @@ def test_short_items_are_found_word_for_word(spark, answers):
     bench = bench if answers else bench.drop("answer")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 0, None), (2, 0, 7)], [(1, 1, 1), (2, 1, 1)], [(1, 1, 0)], [(900, 1, 1), (901, 1, 0)]])
+def test_documents_stay_without_two_classes_of_labels(spark, tmp_path, labels):
+    docs = spark.createDataFrame([(k, " ".join(prose(20, k))) for k in range(8)] + [(None, None), (1, "again")], "doc_id long, text string")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert sorted(map(str, got.collect())) == sorted(map(str, docs.collect()))
+
+
+def test_the_sample_is_drawn_from_labels_with_a_document(spark):
+    docs = spark.createDataFrame([(k, "x") for k in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 0, k % 2) for k in range(3000)], "doc_id long, quality int, toxic int")
+    got = cnn.labelled_sample(docs, labels, "toxic", labels.doc_id >= 0, 30).collect()
+    assert len(got) == 60 and all(r["doc_id"] < 100 for r in got)
