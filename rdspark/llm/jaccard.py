@@ -356,8 +356,8 @@ def class_links(docs: DataFrame, rows: DataFrame, similarity: int) -> DataFrame:
         runs = runs.select("run", "class")
 
 
-def similar_documents(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """(doc_id, row_key, n_shingles, component_id), one row per row of ``docs`` (doc_id, text)."""
+def _members(docs: DataFrame, similarity: int) -> DataFrame:
+    """(doc_id, row_key, n_shingles, component_id, root), one row per row of ``docs``. The root names the component whether its rows have ids or not."""
     if not 50 <= similarity <= 100:
         raise ValueError("similarity must be 50 to 100 percent")
     rows = classes(docs)
@@ -366,18 +366,22 @@ def similar_documents(docs: DataFrame, similarity: int = SIMILARITY) -> DataFram
     per_class = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     named = per_class.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select("class", "component_id")
+    named = named.join(least, "root").select("class", "component_id", "root")
     return rows.join(named, "class", "left").select(
         "doc_id", "row_key", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root")
+
+
+def similar_documents(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """(doc_id, row_key, n_shingles, component_id), one row per row of ``docs`` (doc_id, text)."""
+    return _members(docs, similarity).drop("root")
 
 
 def kept_documents(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest id (then row key). Rows without words stay; repeated rows come once."""
-    found = similar_documents(docs, similarity)
+    found = _members(docs, similarity)
     single = found.where("n_shingles = 0").select("row_key")
-    # A component without ids has no name; its rows then share a null, and each stays.
-    first = found.where("n_shingles > 0").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("row_key"))).agg(
+    first = found.where("n_shingles > 0").groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))["row_key"].alias("row_key"))
     name = fresh(docs, "_row_key")
     keep = single.union(first.select("row_key")).distinct().withColumnRenamed("row_key", name)

@@ -7,7 +7,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from rdspark.llm import cnn, decontaminate, pii, secrets
+from rdspark.llm import cnn, decontaminate, gam, jaccard, mixing, pii, secrets
 
 
 @pytest.mark.parametrize("text, want", [
@@ -106,3 +106,10 @@ def test_the_sample_is_drawn_from_labels_with_a_document(spark):
     labels = spark.createDataFrame([(k, 0, k % 2) for k in range(3000)], "doc_id long, quality int, toxic int")
     got = cnn.labelled_sample(docs, labels, "toxic", labels.doc_id >= 0, 30).collect()
     assert len(got) == 60 and all(r["doc_id"] < 100 for r in got)
+
+
+def test_one_of_each_group_without_ids_stays(spark):
+    base = prose(100, 1)
+    rows = [(None, " ".join(base)), (None, " ".join(base[:-1])), (None, " ".join(base[1:])), (None, " ".join(prose(50, 2))), (None, None), (7, " ".join(prose(50, 3)))]
+    got = jaccard.kept_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 4 and sum(r["text"] is not None and r["doc_id"] is None for r in got) == 2
