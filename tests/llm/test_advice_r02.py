@@ -113,3 +113,19 @@ def test_one_of_each_group_without_ids_stays(spark):
     rows = [(None, " ".join(base)), (None, " ".join(base[:-1])), (None, " ".join(base[1:])), (None, " ".join(prose(50, 2))), (None, None), (7, " ".join(prose(50, 3)))]
     got = jaccard.kept_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 4 and sum(r["text"] is not None and r["doc_id"] is None for r in got) == 2
+
+
+def test_items_without_id_and_whole_answers(spark):
+    words, other, answer = " ".join(prose(20, 1)), " ".join(prose(25, 2)), prose(120, 3)
+    docs = spark.createDataFrame([(k, f"{' '.join(prose(40, 10 + k))} {t} {' '.join(prose(40, 50 + k))}") for k, t in enumerate([words, other, "", words + " " + other])],
+                                 "doc_id long, text string")
+    bench = spark.createDataFrame([(None, words), (None, other), (5, words), (None, None)], "item_id long, text string")
+    got = sorted((r["doc_id"], str(r["item_id"])) for r in decontaminate.contaminated(docs, bench).collect())
+    assert got == [(0, "5"), (0, "None"), (1, "None"), (3, "5"), (3, "None"), (3, "None")]
+    assert [r["doc_id"] for r in decontaminate.clean_documents(docs, bench).collect()] == [2]
+    near = spark.createDataFrame([(k, f"{words} {' '.join(answer[:n])}") for k, n in enumerate([45, 120])], "doc_id long, text string")
+    long = spark.createDataFrame([(1, words, " ".join(answer[:12] + prose(48, 4)))], "item_id long, text string, answer string")
+    # 12 of 60 answer words stand there: fewer than half, though they are most of a first part.
+    assert decontaminate.contaminated(near, long).count() == 0
+    twice = spark.createDataFrame([(1, words, answer[0]), (1, other, "missing")], "item_id long, text string, answer string")
+    assert {r["doc_id"] for r in decontaminate.contaminated(near, twice).collect()} == {0, 1}
