@@ -107,10 +107,12 @@ def mix_sources(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, share: floa
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself with the columns of ``docs``: a row for each time a document is taken, whole ones only.
 
-    The document at the end of a selection comes once more if half of it or more was taken. Equal rows come equally often.
+    The document at the end of a selection comes once more if half of it or more was taken. Equal rows come equally often. Rows without words
+    come as often as their source is taken whole, and once if no row of the source has words.
     """
     key, times = fresh(docs, "_mix_key"), fresh(docs, "_mix_times")
-    plan = mix_sources(docs, **options).where("size > 0").groupBy(F.col("row_key").alias(key)).agg(
-        F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias(times)).where(F.col(times) > 0)
+    plan = mix_sources(docs, **options).groupBy(F.col("row_key").alias(key)).agg(
+        F.round(F.avg(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
+                      .otherwise(1))).cast("int").alias(times)).where(F.col(times) > 0)
     keyed = docs.select(*columns(docs), row_key().alias(key))
     return keyed.join(plan, key).withColumn(fresh(docs, "_mix_copy"), F.explode(F.sequence(F.lit(1), F.col(times)))).select(*columns(docs))

@@ -129,3 +129,10 @@ def test_items_without_id_and_whole_answers(spark):
     assert decontaminate.contaminated(near, long).count() == 0
     twice = spark.createDataFrame([(1, words, answer[0]), (1, other, "missing")], "item_id long, text string, answer string")
     assert {r["doc_id"] for r in decontaminate.contaminated(near, twice).collect()} == {0, 1}
+
+
+def test_rows_without_words_stay_in_the_mix(spark):
+    rows = [(k, "a b c", "s") for k in range(4)] + [(10, "", "s"), (11, None, "s"), (12, " ", "s"), (20, None, "none"), (21, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [r["doc_id"] for r in mixing.mixed_documents(docs).collect()]
+    assert [got.count(k) for k in (10, 11, 12, 20, 21)] == [1, 1, 1, 1, 1] and all(got.count(k) in (1, 2) for k in range(4))
