@@ -235,6 +235,10 @@ def _calibrate(model: Model, rows: list[np.ndarray], labels: np.ndarray) -> None
     model.packed()
 
 
+#: Training rows of one id, at most.
+ROWS_PER_ID = 4
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, allowed, per_class: int) -> DataFrame:
     """(doc_id, label): at most ``per_class`` ids of each class, by the smallest hash of the id. Only labels that meet a row of ``docs`` count."""
     good = labels.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1) & allowed).groupBy("doc_id").agg(
@@ -243,20 +247,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, allowed, pe
     return parts[0].unionByName(parts[1])
 
 
+def labelled_rows(docs: DataFrame, labels: DataFrame, column: str, allowed, per_class: int) -> DataFrame:
+    """(doc_id, label, at, text) of the sample: equal rows once, and of an id with many texts one of each of ROWS_PER_ID parts by hash, so the rows are
+    bounded as the ids are. Partial minima come first, so no id's rows meet in one task."""
+    picked = labelled_sample(docs, labels, column, allowed, per_class)
+    # Two classes of ``per_class`` rows of 12 bytes: a bounded broadcast.
+    rows = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(picked), "doc_id").select(
+        "doc_id", "label", F.coalesce("text", F.lit("")).alias("text")).withColumn("at", F.xxhash64("text"))
+    return rows.groupBy("doc_id", "label", F.pmod("at", F.lit(ROWS_PER_ID)).alias("part")).agg(F.min(F.struct("at", "text")).alias("row")).select(
+        "doc_id", "label", "row.at", "row.text")
+
+
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", allowed=None, s: Settings = Settings()) -> Model:
     """Train on the bounded sample. Word ids are made by the executors; a text of the sample comes as its ids, whole."""
-    sample = labelled_sample(docs, labels, column, F.lit(True) if allowed is None else allowed, s.sample)
-    # Two classes of ``sample`` rows of 12 bytes: a bounded broadcast.
-    rows = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(sample), "doc_id").select(
-        "doc_id", "label", F.coalesce("text", F.lit("")).alias("text"))
+    rows = labelled_rows(docs, labels, column, F.lit(True) if allowed is None else allowed, s.sample)
 
     def code(batches):
         for batch in batches:
             for _, part, data, offs in slabs(batch):
                 ids, before = word_ids(data, offs, s.buckets)
-                yield pa.record_batch([part.column("doc_id"), part.column("label"), pa.array(
-                    [ids[a:b].astype("<i4").tobytes() for a, b in zip(before[:-1], before[1:])], pa.binary())], names=["doc_id", "label", "ids"])
-    got = rows.mapInArrow(code, "doc_id long, label int, ids binary").toArrow().sort_by("doc_id")
+                yield pa.record_batch([part.column("doc_id"), part.column("label"), part.column("at"), pa.array(
+                    [ids[a:b].astype("<i4").tobytes() for a, b in zip(before[:-1], before[1:])], pa.binary())], names=["doc_id", "label", "at", "ids"])
+    got = rows.mapInArrow(code, "doc_id long, label int, at long, ids binary").toArrow().sort_by([("doc_id", "ascending"), ("at", "ascending")])
     ids = [np.frombuffer(x, "<i4") for x in got.column("ids").to_pylist()]
     return train(ids, np.array(got.column("label").to_pylist(), int), s)
 

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rdspark.llm.cnn import MARKERS, _hash_words, labelled_sample
+from rdspark.llm.cnn import MARKERS, _hash_words, labelled_rows
 from rdspark.llm.tables import fresh
 from rdspark.llm.words import grams, hashes, slabs, spans, LOWER
 
@@ -182,17 +182,15 @@ def train(x: np.ndarray, y: np.ndarray) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", allowed=None, sample: int = SAMPLE) -> Model:
     """Train on the bounded sample; only features reach the driver."""
-    picked = labelled_sample(docs, labels, column, F.lit(True) if allowed is None else allowed, sample)
-    # Two classes of ``sample`` rows of 12 bytes: a bounded broadcast.
-    rows = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(picked), "doc_id").select(
-        "doc_id", "label", F.coalesce("text", F.lit("")).alias("text"))
+    rows = labelled_rows(docs, labels, column, F.lit(True) if allowed is None else allowed, sample)
 
     def run(batches):
         for batch in batches:
             for _, part, data, offs in slabs(batch):
                 x = features(data, offs)
-                yield pa.record_batch([part.column("doc_id"), part.column("label"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
-    got = rows.mapInArrow(run, "doc_id long, label int, x array<double>").toArrow().sort_by("doc_id")
+                yield pa.record_batch([part.column("doc_id"), part.column("label"), part.column("at"), pa.array(list(x), pa.list_(pa.float64()))],
+                                      names=["doc_id", "label", "at", "x"])
+    got = rows.mapInArrow(run, "doc_id long, label int, at long, x array<double>").toArrow().sort_by([("doc_id", "ascending"), ("at", "ascending")])
     x = np.array(got.column("x").to_pylist()).reshape(-1, len(NAMES))
     return train(x, np.array(got.column("label").to_pylist(), int))
 

@@ -83,7 +83,7 @@ def findings(docs: DataFrame, path: str = "source") -> DataFrame:
 def train(labelled: DataFrame, sample: int = SAMPLE, seed: int = 11):
     """A forest from (features, value, label), or the share of label 1 where there is one class or none."""
     good = labelled.where(F.col("label").isin(0, 1)).select("features", F.col("label").cast("double").alias("label"),
-                                                           F.xxhash64("value", "features").alias("_at"))
+                                                           F.xxhash64("value", "features").alias("_at")).dropDuplicates(["_at", "label"])      # equal findings count once
     picked = [good.where(F.col("label") == k).orderBy("_at").limit(sample) for k in (0, 1)]
     rows = picked[0].unionByName(picked[1]).select(array_to_vector("features").alias("features"), "label").coalesce(1)      # 2 x sample rows
     n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}

@@ -136,3 +136,22 @@ def test_rows_without_words_stay_in_the_mix(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = [r["doc_id"] for r in mixing.mixed_documents(docs).collect()]
     assert [got.count(k) for k in (10, 11, 12, 20, 21)] == [1, 1, 1, 1, 1] and all(got.count(k) in (1, 2) for k in range(4))
+
+
+def test_samples_are_bounded_by_rows(spark):
+    rows = [(1, "same text")] * 50 + [(1, f"text {k}") for k in range(50)] + [(2, "b"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    got = [r["doc_id"] for r in cnn.labelled_rows(docs, labels, "toxic", labels.doc_id > 0, 10).collect()]
+    assert got.count(1) == cnn.ROWS_PER_ID and got.count(2) == got.count(3) == 1
+    assert cnn.fit(docs, labels, "toxic").constant is None and 0 <= gam.score(docs, gam.fit(docs, labels, "quality"), "doc_id").first()["score"] <= 1
+
+
+def test_equal_findings_count_once(spark):
+    found = [([1.0, 0.0], "copy", 1)] * 200 + [([1.0, float(k % 2)], f"v{k}", 1) for k in range(30)] + [([0.0, float(k % 2)], f"n{k}", 0) for k in range(30)]
+    df = spark.createDataFrame(found, "features array<double>, value string, label int")
+    forest = secrets.train(df, sample=20)
+    assert not isinstance(forest, float) and forest.transform is not None
+    kept = df.dropDuplicates(["value"])
+    same = secrets.train(kept, sample=20)
+    assert forest.toDebugString.split("\n", 1)[1] == same.toDebugString.split("\n", 1)[1]
