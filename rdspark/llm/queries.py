@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rdspark.llm import cnn, decontaminate, gam, jaccard, mixing, pii, secrets, substrings, tokens, topk
+from rdspark.llm import cnn, decontaminate, dialogue, gam, jaccard, mixing, packing, pii, secrets, spelling, substrings, tokens, topk
 from rdspark.llm.oracles import ORACLE_SQL  # noqa: F401  with QUERIES: what the entry registers
 from rdspark.llm.tables import fold, table
 
@@ -75,5 +75,24 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
                                                    (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def byte_tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.packed_pieces(table(spark, folder, "documents"), byte_tokenizer_path())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations")
+    return dialogue.repaired_conversations(dialogue.damaged(rows), ids=rows)
+
+
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, folder, "documents"), damage=199))
+
+
 QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_decontamination, op4_secrets, op5_top_k, op6_tokens, op7_jaccard_join, op8_substring_dedup,
-                                   op9_mixing, op10_quality)}
+                                   op9_mixing, op10_quality, op11_packing, op12_conversation_repair, op13_spelling)}
