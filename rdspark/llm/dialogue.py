@@ -214,7 +214,9 @@ def _cell(costs: list, audits: list) -> tuple:
 def parsed(own: DataFrame, block: int = BLOCK, fan: int = FAN) -> DataFrame:
     """(conv, cost, audit, illegal): the least edits of each conversation of ``turns``."""
     parts = spans(own, block)
-    places = parts.select("conv", "no").withColumn("place", F.row_number().over(Window.partitionBy("conv").orderBy("no")).cast("long") - 1)
+    ordered = Window.partitionBy("conv").orderBy("no")
+    places = parts.select("conv", "no", (F.row_number().over(ordered).cast("long") - 1).alias("place"), F.count(F.lit(1)).over(Window.partitionBy("conv")).alias("spans"))
+    places = written(places.where("spans > 1").drop("spans"), "places")      # of the conversations that lie in several spans
     last = places.agg(F.max("place")).first()[0] or 0
 
     def meet(table: pa.Table) -> pa.Table:
@@ -222,11 +224,12 @@ def parsed(own: DataFrame, block: int = BLOCK, fan: int = FAN) -> DataFrame:
         for r in rows:
             chart.add(_cell(r["costs"], r["audits"]), r["turns"], r["first"], r["last"], r["illegal"])
         return pa.Table.from_batches([_span_batch([(rows[0]["conv"], rows[0]["part"], chart, chart.cell())])])
-    if last:
-        parts = parts.join(places, ["conv", "no"]).withColumn("no", F.col("place")).drop("place")
-        while last:
-            parts = written(parts.withColumn("part", F.call_function("div", "no", F.lit(fan).cast("long"))).groupBy("conv", "part").applyInArrow(meet, SPAN), "spans")
-            last //= fan
+    several = parts.join(places, ["conv", "no"]).withColumn("no", F.col("place")).drop("place")
+    parts = parts.join(places.select("conv").distinct(), "conv", "left_anti")
+    while last:
+        several = written(several.withColumn("part", F.call_function("div", "no", F.lit(fan).cast("long"))).groupBy("conv", "part").applyInArrow(meet, SPAN), "spans")
+        last //= fan
+    parts = parts.unionByName(several)
 
     def close(batches):
         for batch in batches:

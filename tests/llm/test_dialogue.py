@@ -73,7 +73,7 @@ def test_cells_do_not_depend_on_the_split():
                 left = dialogue.combined(left, c)
             for c in cells[k:]:
                 right = dialogue.combined(right, c)
-            assert dialogue.combined(left, right) == dialogue.combined(whole, dialogue.NOTHING)
+            assert dialogue.combined(dialogue.combined(left, right), dialogue.NOTHING) == dialogue.combined(whole, dialogue.NOTHING)
 
 
 def test_equal_turns_ties_and_texts(spark):
