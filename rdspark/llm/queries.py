@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rdspark.llm import cnn, decontaminate, dialogue, gam, jaccard, mixing, packing, pii, secrets, spelling, substrings, tokens, topk
 from rdspark.llm.oracles import ORACLE_SQL  # noqa: F401  with QUERIES: what the entry registers
-from rdspark.llm.tables import fold, table
+from rdspark.llm.tables import fold, table, written
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 
@@ -37,7 +37,7 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    found = secrets.findings(docs)
+    found = written(secrets.findings(docs), "findings")      # read by each pass of the forest
     forest = secrets.train(secrets.labelled_by_rule(found))
     return secrets.scored(found, forest).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"),
                                                 F.sha2("value", 256).alias("value_sha256"), "score", (F.col("score") >= 0.5).cast("int").alias("is_secret"))

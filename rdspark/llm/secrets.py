@@ -17,6 +17,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rdspark.llm.pii import spans_of
+from rdspark.llm.tables import written
 
 #: Formats of issuers.
 ISSUER = r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[0-9a-zA-Z]{20,}|xox[abp]-[0-9A-Za-z-]{10,})"
@@ -85,7 +86,8 @@ def train(labelled: DataFrame, sample: int = SAMPLE, seed: int = 11):
     good = labelled.where(F.col("label").isin(0, 1)).select("features", F.col("label").cast("double").alias("label"),
                                                            F.xxhash64("value", "features").alias("_at")).dropDuplicates(["_at", "label"])      # equal findings count once
     picked = [good.where(F.col("label") == k).orderBy("_at").limit(sample) for k in (0, 1)]
-    rows = picked[0].unionByName(picked[1]).select(array_to_vector("features").alias("features"), "label").coalesce(1)      # 2 x sample rows
+    few = written(picked[0].unionByName(picked[1]).select("features", "label").coalesce(1), "labelled")      # 2 x sample rows
+    rows = few.select(array_to_vector("features").alias("features"), "label")
     n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(n) < 2:
         return 0.5 if not n else float(next(iter(n)))
