@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from rdspark.functions import draws, ladders
 from rdspark.functions.results import col
@@ -17,78 +17,83 @@ from rdspark.operators.numbering import number_within, spread_join, unfold
 USE_START, USE_FLIP, USE_X, USE_Y, USE_QP, USE_ORDER = 1, 2, 3, 4, 5, 6
 
 SHUFFLE_BUCKETS = 65536
+ROUNDS = 4     # of the permutation of places; each mixes columns and rows of a square of all places once
 
-# Fixed training plans: (model structure, stage) -> runs of (epochs, nominal first epoch, learning rate,
-# frames, cascaded, patch width, patch height). The last run holds for all later epochs.
-# Structure "image" has no frames. Frames given as text count units: "1+2u" is one frame and two units.
-PLANS = {
-    ("ld", "stage0"): [(5, 0, 1e-4, 2, False, 256, 256), (5, 5, 1e-4, 3, False, 256, 256),
-                       (45, 10, 1e-4, 6, False, 256, 256), (1, 55, 1e-4, 6, False, 256, 256)],
-    ("ld", "stage1"): [(5, 0, 5e-5, 8, True, 256, 256), (5, 5, 5e-5, 16, True, 256, 256),
-                       (5, 10, 5e-5, 24, True, 256, 256), (15, 15, 5e-5, 32, True, 256, 256),
-                       (7, 30, 5e-6, 32, True, 256, 256), (1, 37, 5e-6, 32, True, 256, 256)],
-    ("ld", "stage2"): [(14, 0, 5e-5, 33, True, 512, 512), (4, 14, 5e-6, 33, True, 512, 512),
-                       (7, 18, 2e-5, 49, True, 512, 512), (2, 25, 2e-6, 49, True, 512, 512),
-                       (7, 27, 5e-6, 65, True, 512, 512), (6, 34, 2e-6, 65, True, 512, 512),
-                       (1, 40, 2e-6, 65, True, 512, 512)],
-    ("ld", "stage3"): [(2, 0, 2e-6, 97, True, 512, 512), (2, 2, 5e-7, 129, True, 512, 512),
-                       (1, 4, 5e-7, 129, True, 512, 512)],
-    ("ht", "stage0"): [(5, 0, 1e-4, "1+1u", False, 256, 256), (5, 5, 1e-4, "1+2u", False, 256, 256),
-                       (35, 10, 1e-4, "1+4u", False, 256, 256), (1, 45, 1e-4, "1+4u", False, 256, 256)],
-    ("ht", "stage1"): [(2, 0, 5e-5, 17, True, 256, 256), (1, 2, 5e-5, 25, True, 256, 256),
-                       (3, 3, 5e-5, 33, True, 256, 256), (4, 6, 5e-6, 33, True, 256, 256),
-                       (1, 10, 5e-6, 33, True, 256, 256)],
-    ("ht", "stage2"): [(10, 0, 5e-5, 33, True, 512, 512), (10, 10, 5e-5, 49, True, 512, 512),
-                       (12, 20, 1e-5, 65, True, 512, 512), (8, 32, 2e-6, 65, True, 512, 512),
-                       (1, 40, 2e-6, 65, True, 512, 512)],
-    ("ht", "stage3"): [(2, 0, 1e-5, 97, True, 512, 512), (2, 2, 2e-6, 129, True, 512, 512),
-                       (1, 4, 2e-6, 129, True, 512, 512)],
-    ("image", "stage0"): [(45, 0, 2e-4, None, None, 256, 256), (25, 49, 5e-5, None, None, 256, 256),
-                          (20, 69, 1e-5, None, None, 256, 256), (5, 90, 2e-4, None, None, 512, 512),
-                          (4, 95, 5e-5, None, None, 512, 512), (4, 99, 1e-5, None, None, 512, 512),
-                          (2, 103, 1e-6, None, None, 512, 512), (1, 105, 1e-6, None, None, 512, 512)],
-}
-UNIT_FRAMES = {"ld": 1, "ht": 8, "image": 1}   # fixed frames per coding unit of each structure
-
-PLAN_SCHEMA = ("structure string, stage string, epoch int, nominal_epoch int, lr double, frame_num int, "
-               "cascade boolean, patch_w int, patch_h int")
-
-
-def plan_rows(unit_frames: dict[str, int] | None = None) -> list[tuple]:
-    units = {**UNIT_FRAMES, **(unit_frames or {})}
+
+# --------------------------------------------------------------------------- schedules
+
+
+def standard_schedules(unit_frames: int = 8) -> list[tuple]:
+    """Stretches (structure, stage, first_epoch, lr, frame_num, cascade, patch_w, patch_h) of the fixed training plans.
+
+    ``unit_frames`` is the number of frames in a coding unit of structure "ht".
+    """
+    unit = unit_frames
+    # Epochs, learning rate, frames, cascaded, patch width, patch height. The last stretch holds for all later epochs.
+    plans = {
+        ("ld", "stage0"): [(5, 1e-4, 2, False, 256, 256), (5, 1e-4, 3, False, 256, 256), (45, 1e-4, 6, False, 256, 256), (1, 1e-4, 6, False, 256, 256)],
+        ("ld", "stage1"): [(5, 5e-5, 8, True, 256, 256), (5, 5e-5, 16, True, 256, 256), (5, 5e-5, 24, True, 256, 256), (15, 5e-5, 32, True, 256, 256),
+                           (7, 5e-6, 32, True, 256, 256), (1, 5e-6, 32, True, 256, 256)],
+        ("ld", "stage2"): [(14, 5e-5, 33, True, 512, 512), (4, 5e-6, 33, True, 512, 512), (7, 2e-5, 49, True, 512, 512), (2, 2e-6, 49, True, 512, 512),
+                           (7, 5e-6, 65, True, 512, 512), (6, 2e-6, 65, True, 512, 512), (1, 2e-6, 65, True, 512, 512)],
+        ("ld", "stage3"): [(2, 2e-6, 97, True, 512, 512), (2, 5e-7, 129, True, 512, 512), (1, 5e-7, 129, True, 512, 512)],
+        ("ht", "stage0"): [(5, 1e-4, 1 + 1 * unit, False, 256, 256), (5, 1e-4, 1 + 2 * unit, False, 256, 256), (35, 1e-4, 1 + 4 * unit, False, 256, 256),
+                           (1, 1e-4, 1 + 4 * unit, False, 256, 256)],
+        ("ht", "stage1"): [(2, 5e-5, 17, True, 256, 256), (1, 5e-5, 25, True, 256, 256), (3, 5e-5, 33, True, 256, 256), (4, 5e-6, 33, True, 256, 256),
+                           (1, 5e-6, 33, True, 256, 256)],
+        ("ht", "stage2"): [(10, 5e-5, 33, True, 512, 512), (10, 5e-5, 49, True, 512, 512), (12, 1e-5, 65, True, 512, 512), (8, 2e-6, 65, True, 512, 512),
+                           (1, 2e-6, 65, True, 512, 512)],
+        ("ht", "stage3"): [(2, 1e-5, 97, True, 512, 512), (2, 2e-6, 129, True, 512, 512), (1, 2e-6, 129, True, 512, 512)],
+        ("image", "stage0"): [(45, 2e-4, None, None, 256, 256), (25, 5e-5, None, None, 256, 256), (20, 1e-5, None, None, 256, 256), (5, 2e-4, None, None, 512, 512),
+                              (4, 5e-5, None, None, 512, 512), (4, 1e-5, None, None, 512, 512), (2, 1e-6, None, None, 512, 512), (1, 1e-6, None, None, 512, 512)],
+    }
     rows = []
-    for (structure, stage), runs in PLANS.items():
-        epoch = 0
-        for count, nominal, lr, frames, cascade, w, h in runs:
-            if isinstance(frames, str):
-                base, per = frames[:-1].split("+")
-                frames = int(base) + int(per) * units[structure]
-            for _ in range(count):
-                rows.append((structure, stage, epoch, nominal, lr, frames, cascade, w, h))
-                epoch += 1
+    for (structure, stage), stretches in plans.items():
+        first = 0
+        for epochs, *settings in stretches:
+            rows.append((structure, stage, first, *settings))
+            first += epochs
     return rows
 
 
-def epoch_plan(spark: SparkSession, unit_frames: dict[str, int] | None = None) -> DataFrame:
-    """Dimension table of all plans, one row per structure, stage and epoch (a few hundred rows)."""
-    return spark.createDataFrame(plan_rows(unit_frames), PLAN_SCHEMA)
+SCHEDULE = "structure string, stage string, first_epoch int, lr double, frame_num int, cascade boolean, patch_w int, patch_h int"
+
 
+def standard_schedule(spark: SparkSession, unit_frames: int = 8) -> DataFrame:
+    """The fixed plans as a schedule table (a few dozen rows)."""
+    return spark.createDataFrame(standard_schedules(unit_frames), SCHEDULE)
 
-def with_epoch_plan(df: DataFrame, structure: str, stage: str, epoch: str = "epoch",
-                    unit_frames: dict[str, int] | None = None) -> DataFrame:
-    """Plan row of each epoch; epochs past the end use the last row.
 
-    The plan of one stage has at most 106 fixed rows. It enters as a literal array and is looked up by
-    position, so nothing is joined.
+def with_schedule(df: DataFrame, schedule: DataFrame, by: Sequence[str] = (), epoch: str = "epoch", first: str = "first_epoch") -> DataFrame:
+    """``df`` with the settings of the stretch that each epoch lies in, from the caller's table of stretches.
+
+    ``schedule`` has the columns ``by``, the first epoch of each stretch, and settings; a stretch ends where the next one begins, and the last one never does.
+    Stretches may come in any order and be as uneven as they like. An epoch before the first stretch, or a plan that is not in the table, is an error; two
+    stretches of a plan that begin together are one too. The stretches of a plan become one sorted array, a scalar of the query where there is
+    one plan, else a few facts joined over a salt; so ``df`` does not move for one plan, and no plan's rows meet in one task for several.
     """
-    rows = [r for r in plan_rows(unit_frames) if r[0] == structure and r[1] == stage]
-    if not rows:
+    settings = [c for c in schedule.columns if c not in (*by, first)]
+    entry = F.struct(F.col(first).alias("first"), F.struct(*settings).alias("settings"))
+    sorted_ = F.sort_array(F.collect_list(entry))
+    twice = F.size(F.array_distinct(F.transform("__s", lambda s: s["first"]))) < F.size("__s")
+    plans = schedule.groupBy(*by).agg(sorted_.alias("__s")).withColumn(
+        "__s", F.when(twice, F.raise_error(F.lit("two stretches begin at one epoch"))).otherwise(F.col("__s")))
+    if by:
+        met = spread_join(df, plans, by, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if c not in by] or [F.lit(0)]))
+    else:
+        met = df.withColumn("__s", plans.select("__s").scalar())
+    found = F.element_at(F.filter("__s", lambda s: s["first"] <= F.col(epoch)), -1)
+    lost = F.raise_error(F.concat(F.lit("no stretch of the schedule for epoch "), F.coalesce(F.col(epoch).cast("string"), F.lit("null"))))
+    begun = F.coalesce(F.exists("__s", lambda s: s["first"] <= F.col(epoch)), F.lit(False))
+    return met.withColumn("__p", F.when(begun, found["settings"]).otherwise(lost)).select(*[F.col(f"`{c}`") for c in df.columns if c not in settings], "__p.*")
+
+
+def with_epoch_plan(df: DataFrame, structure: str, stage: str, epoch: str = "epoch", unit_frames: int = 8) -> DataFrame:
+    """Settings of each epoch in one of the fixed plans; epochs past the end use the last row."""
+    plan = standard_schedule(df.sparkSession, unit_frames).where((F.col("structure") == structure) & (F.col("stage") == stage)).drop("structure", "stage")
+    if plan.isEmpty():
         raise ValueError(f"no plan for {structure} {stage}")
-    entries = F.array(*[F.struct(F.lit(r[4]).alias("lr"), F.lit(r[5]).cast("int").alias("frame_num"),
-                                 F.lit(r[6]).cast("boolean").alias("cascade"), F.lit(r[7]).alias("patch_w"),
-                                 F.lit(r[8]).alias("patch_h")) for r in rows])
-    at = (F.least(col(epoch), F.lit(len(rows) - 1)) + 1).cast("int")
-    return df.withColumn("__p", F.element_at(entries, at)).select("*", "__p.*").drop("__p")
+    return with_schedule(df, plan, epoch=epoch)
 
 
 def multiplier_table(spark: SparkSession, low: float, high: float, qp_count: int = ladders.QP_COUNT) -> DataFrame:
@@ -221,6 +226,45 @@ def shuffle_order(samples: DataFrame, id_: str, epoch, seed: int, buckets: int =
                          span=draws.PRIME // buckets + 1, total="total").drop("__draw")
 
 
+def file_index(rows: DataFrame) -> DataFrame:
+    """``rows``, as read from files, with ``index`` 0, 1, 2 ... in the order of files and rows, and the row count ``total``.
+
+    The position of a row in its file is known to the reader, so only the counts of the files are put in order (a row a file); no sample moves.
+    """
+    placed = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    counts = placed.groupBy("__file").agg((F.max("__row") + 1).alias("__n"))
+    files = W.orderBy("__file").rowsBetween(W.unboundedPreceding, -1)      # one row a file
+    ahead = counts.select("__file", F.coalesce(F.sum("__n").over(files), F.lit(0)).alias("__ahead"), F.sum("__n").over(W.partitionBy(F.lit(0))).alias("total"))
+    # One row a file: no more than Spark's driver has in its own listing of the files.
+    return placed.join(F.broadcast(ahead), "__file").withColumn("index", F.col("__ahead") + F.col("__row")).drop("__file", "__row", "__ahead")
+
+
+def permuted(samples: DataFrame, epoch, seed: int, index: str = "index", total: str = "total") -> DataFrame:
+    """Random order of an epoch as ``rn``, a permutation of 0 .. total - 1 that each row works out by itself: nothing is sorted or moved.
+
+    The places form a square, row by row, whose last row may be short. A round turns every column by a number drawn for the column, then every row by
+    one drawn for the row; columns and rows turn within their own length, so every place has one source whatever the count.
+    """
+    out = samples.withColumns({"__x": F.col(index).cast("long"), "__b": F.greatest(F.ceil(F.sqrt(F.col(total).cast("double"))), F.lit(1)).cast("long")})
+    div = lambda a, b: F.call_function("div", a, b)
+    x, b, n = F.col("__x"), F.col("__b"), F.col(total).cast("long")
+    for k in range(ROUNDS):
+        column, high = F.pmod(x, b), div(n - F.pmod(x, b) + b - 1, b)
+        out = out.withColumn("__x", F.pmod(div(x, b) + draws.mix(column, epoch, seed, USE_ORDER + 10 + 2 * k), high) * b + column)
+        row, wide = div(x, b), F.least(b, n - div(x, b) * b)
+        out = out.withColumn("__x", row * b + F.pmod(F.pmod(x, b) + draws.mix(row, epoch, seed, USE_ORDER + 11 + 2 * k), wide))
+    return out.withColumn("rn", x).drop("__x", "__b")
+
+
+def permuted_sql(epoch: str, seed: int, source: str) -> str:
+    """The same as common table expressions over ``source`` (index, total), the last one called ``permuted``."""
+    steps = [f"x0 AS (SELECT *, index AS x, greatest(CAST(ceil(sqrt(CAST(total AS DOUBLE))) AS BIGINT), 1) AS b FROM {source})"]
+    for k in range(ROUNDS):
+        steps.append(f"y{k} AS (SELECT * REPLACE ((x // b + {draws.mix_sql('(x % b)', epoch, seed, USE_ORDER + 10 + 2 * k)}) % ((total - x % b + b - 1) // b) * b + x % b AS x) FROM x{k})")
+        steps.append(f"x{k + 1} AS (SELECT * REPLACE (x // b * b + (x % b + {draws.mix_sql('(x // b)', epoch, seed, USE_ORDER + 11 + 2 * k)}) % least(b, total - x // b * b) AS x) FROM y{k})")
+    return ", ".join([*steps, f"permuted AS (SELECT * EXCLUDE (x, b), x AS rn FROM x{ROUNDS})"])
+
+
 def shard(ordered: DataFrame, world: int) -> DataFrame:
     """Rows dealt out to ``world`` ranks; leading rows repeat so that every rank gets the same number."""
     if world < 1:

@@ -1,8 +1,6 @@
-"""Order-dependent building blocks that never hold a whole group in one task.
+"""Building blocks for groups that may own a third of all rows: numbers of evenly spread positions, salted joins, unfolding.
 
-A group (one sequence, one stream) may own a third of all rows. Each operator here therefore works in
-two levels: windows run inside (group, bucket), where a bucket is a fixed span of the position, and
-only one small row per bucket takes part in the running totals of the group.
+Numbers and carried values in any order are in ``ordered``.
 """
 
 from __future__ import annotations
@@ -23,9 +21,9 @@ def bucket_of(position, span: int = SPAN) -> Column:
 
 def number_within(df: DataFrame, keys: Sequence[str], order: Sequence, position, out: str = "row_no",
                   span: int = SPAN, total: str | None = None) -> DataFrame:
-    """Exact 0-based row number per group.
+    """Exact 0-based row number per group, for positions that are spread evenly (random draws).
 
-    ``order`` must begin with (or be monotone in) ``position``, an integer. Rows that share a bucket
+    ``order`` must begin with (or be monotone in) ``position``, an integer. A bucket is a fixed span of it. Rows that share a bucket
     are numbered by a window, buckets are offset by the running count of the buckets before them.
     """
     b = "__bucket"
@@ -46,36 +44,6 @@ def number_within(df: DataFrame, keys: Sequence[str], order: Sequence, position,
     return joined.withColumn(out, F.col(out) + F.coalesce(F.col("__offset"), F.lit(0))).drop(b, "__offset")
 
 
-def carry_forward(df: DataFrame, keys: Sequence[str], position, value, out: str,
-                  span: int = SPAN) -> DataFrame:
-    """Latest non-null ``value`` at or before each row of its group (an as-of lookup on one table).
-
-    ``position`` is unique in a group. One row per bucket carries the last value into later buckets.
-    """
-    b = "__bucket"
-    keys = list(keys)
-    spread = df.withColumn(b, bucket_of(position, span)).withColumn("__v", col(value))
-    local = (W.partitionBy(*keys, b).orderBy(col(position))
-             .rowsBetween(W.unboundedPreceding, W.currentRow))
-    filled = spread.withColumn(out, F.last("__v", ignorenulls=True).over(local))
-    before = W.partitionBy(*keys).orderBy(b).rowsBetween(W.unboundedPreceding, -1)
-    # Structs aggregate by sorting, so only rows with a value go there; the list of buckets is hashed.
-    buckets = spread.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("__n"))
-    ends = spread.filter(F.col("__v").isNotNull()).groupBy(*keys, b).agg(F.max_by("__v", col(position)).alias("__end"))
-    ends = (buckets.join(ends, [*keys, b], "left")
-            .withColumn("__carried", F.last("__end", ignorenulls=True).over(before)))
-    joined = filled.join(ends.select(*keys, b, "__carried"), [*keys, b], "left")
-    return joined.withColumn(out, F.coalesce(F.col(out), F.col("__carried"))).drop(b, "__v", "__carried")
-
-
-def contiguous_prefix(frames: DataFrame, keys: Sequence[str], number: str, start: int = 1,
-                      span: int = SPAN) -> DataFrame:
-    """Frames ``start``, ``start + 1`` ... of each group up to the first missing number."""
-    usable = frames.filter(F.col(number) >= start)
-    ranked = number_within(usable, keys, [number], number, out="__seen", span=span)
-    return ranked.filter(F.col(number) == F.col("__seen") + start).drop("__seen")
-
-
 def spread_join(big: DataFrame, facts: DataFrame, keys: Sequence[str], salt, how: str = "left",
                 copies: int = SALT_COPIES) -> DataFrame:
     """Join a few facts per key onto a table where one key may own a third of the rows.

@@ -6,21 +6,22 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from rdspark.operators.numbering import SPAN, carry_forward, spread_join
+from rdspark.operators.numbering import spread_join
+from rdspark.operators.ordered import ordered_scan
 
 SPS_TYPE = 0
 MAX_SPS = 16   # fixed: an id has four bits
 
 
 def active_parameter_set(packets: DataFrame, fields: Sequence[str] = ("height", "width"), stream: str = "stream",
-                         unit_no: str = "unit_no", span: int = SPAN) -> DataFrame:
+                         unit_no: str = "unit_no") -> DataFrame:
     """Slices with the latest parameter set of their id that came before them in the stream.
 
     A later set with the same id replaces the earlier one. ``valid`` is false for a slice without one.
     """
     is_sps = F.col("nal_type") == SPS_TYPE
     found = F.when(is_sps, F.struct(F.col(unit_no).alias("sps_unit"), *[F.col(f) for f in fields]))
-    filled = carry_forward(packets, [stream, "sps_id"], unit_no, found, "__sps", span)
+    filled = ordered_scan(packets, [stream, "sps_id"], [unit_no], carry={"__sps": found})
     keep = [c for c in packets.columns if c not in fields]
     return (filled.filter(~is_sps)
             .select(*keep, F.col("__sps.sps_unit").alias("sps_unit"), *[F.col(f"__sps.{f}").alias(f) for f in fields],

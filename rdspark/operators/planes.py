@@ -66,15 +66,15 @@ def convert_frames(frames: DataFrame, src_layout: str, dst_layout: str, order: i
             .withColumns({"layout": F.lit(dst_layout), "bit_depth": depth}).drop("__c"))
 
 
-def plane_rows(frames: DataFrame, layout: str) -> DataFrame:
-    """One row per plane in the canonical ``planes`` schema."""
-    names = "rgb" if layout == "rgb" else "yuv"
-    half = lambda c: (F.col(c) / 2).cast("int") if layout == "420" else F.col(c)
+def plane_rows(frames: DataFrame, layout: str | None = None, carry: list[str] | None = None) -> DataFrame:
+    """One row per plane in the canonical ``planes`` schema. The layout is that of each row unless one is given; ``carry`` names columns that stay."""
+    kind = F.lit(layout) if layout else F.col("layout")
+    half = lambda c: F.when(kind == "420", (F.col(c) / 2).cast("int")).otherwise(F.col(c))
     entry = lambda i: F.struct(
-        F.lit(names[i]).alias("plane"), (F.col("width") if i == 0 else half("width")).alias("width"),
+        F.when(kind == "rgb", "rgb"[i]).otherwise("yuv"[i]).alias("plane"), (F.col("width") if i == 0 else half("width")).alias("width"),
         (F.col("height") if i == 0 else half("height")).alias("height"),
         F.col("bit_depth").alias("bit_depth"), F.col(f"p{i}").alias("data"))
-    return frames.select("sequence", "frame_idx", F.inline(F.array(entry(0), entry(1), entry(2))))
+    return frames.select("sequence", "frame_idx", *(carry or []), F.inline(F.array(entry(0), entry(1), entry(2))))
 
 
 def sample_rows(planes: DataFrame, keys: list[str], bit_depth: int = 8) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from rdspark.functions import ladders
-from rdspark.operators.numbering import number_within, spread_join
+from rdspark.operators.numbering import spread_join
+from rdspark.operators.ordered import ordered_scan
 
 
 def enabled_only(sequences: DataFrame) -> DataFrame:
@@ -114,6 +115,6 @@ def latest_runs(files: DataFrame, keys: Sequence[str] = (), keep: int = 2) -> Da
     return files.withColumn("__r", F.row_number().over(rank)).filter(F.col("__r") <= keep).drop("__r")
 
 
-def number_jobs(jobs: DataFrame, position: str, order: Sequence[str]) -> DataFrame:
+def number_jobs(jobs: DataFrame, order: Sequence[str]) -> DataFrame:
     """Global 0-based submission number."""
-    return number_within(jobs, [], order, position, out="job_no")
+    return ordered_scan(jobs, [], order, number="job_no")

@@ -7,14 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rdspark.functions.results import col
-from rdspark.operators.numbering import number_within, unfold
+from rdspark.operators.numbering import unfold
+from rdspark.operators.ordered import ordered_scan
 
 FRAME_I, FRAME_P = 0, 1
 
 
-def number_frames(df: DataFrame, keys: Sequence[str], order: Sequence, position, out: str = "frame_idx") -> DataFrame:
+def number_frames(df: DataFrame, keys: Sequence[str], order: Sequence, out: str = "frame_idx") -> DataFrame:
     """0-based position of every row in its sequence."""
-    return number_within(df, keys, order, position, out)
+    return ordered_scan(df, keys, order, number=out)
 
 
 def expand_frames(jobs: DataFrame, frame_num: str = "frame_num", out: str = "frame_idx") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql.functions import pandas_udf
 
 from rdspark.functions import pixels
 from rdspark.operators import planes
-from rdspark.operators.numbering import number_within
+from rdspark.operators.ordered import ordered_scan
 
 LOG_FRAMES = {
     "method": "l_returnflag",
@@ -213,8 +213,7 @@ def write_files(df: DataFrame, root: str, name: str = "name", content: str = "co
 
 def numbered(frames: DataFrame) -> DataFrame:
     """Frames with their position in the sequence as ``frame_idx``."""
-    ranked = number_within(frames, ["sequence"], ["frame_idx"], "frame_idx", out="__pos", span=256)
-    return ranked.withColumn("frame_idx", F.col("__pos")).drop("__pos")
+    return ordered_scan(frames, ["sequence"], ["frame_idx"], number="__pos").withColumn("frame_idx", F.col("__pos")).drop("__pos")
 
 
 def png_files(frames: DataFrame) -> DataFrame:

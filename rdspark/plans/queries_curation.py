@@ -135,20 +135,42 @@ WORLD, BATCH = 7, 56
 
 
 def _shards(spark, sf):
-    order = cu.shuffle_order(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", EPOCH, SEED)
+    """Orders in the random order of an epoch, dealt out to ranks; the order is worked out row by row."""
+    order = cu.permuted(cu.file_index(table(spark, sf, "orders")), EPOCH, SEED)
     return cu.shard(order, WORLD).select("o_orderkey", "rank", "rank_pos", "rank_total")
 
 
+def _drawn_shards(spark, sf):
+    """The same for samples without a place of their own: parts in the order of a draw."""
+    order = cu.shuffle_order(table(spark, sf, "part").select("p_partkey"), "p_partkey", EPOCH, SEED)
+    return cu.shard(order, WORLD).select("p_partkey", "rank", "rank_pos", "rank_total")
+
+
 def _batches(spark, sf):
-    order = cu.shuffle_order(table(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), "l_quantity", "l_partkey")
-                             .groupBy("id").agg(F.sum("l_quantity").alias("q")), "id", EPOCH, SEED)
-    b = cu.batches(cu.shard(order, WORLD), BATCH, WORLD)
-    return b.groupBy("rank", "batch_no").agg(F.count(F.lit(1)).alias("size"), F.sum("id").alias("ids"), F.sum("q").alias("quantity"))
+    b = cu.batches(cu.shard(cu.permuted(cu.file_index(table(spark, sf, "orders")), EPOCH, SEED), WORLD), BATCH, WORLD)
+    return b.groupBy("rank", "batch_no").agg(F.count(F.lit(1)).alias("size"), F.sum("o_orderkey").alias("ids"), F.sum("rn").alias("places"))
+
+
+# The given orders lie in their file in the order of their keys.
+_INDEXED = "i AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) - 1 AS index, count(*) OVER () AS total FROM orders), "
+_DEALT = (f"d AS (SELECT r.*, rn + c.c * total AS place, CAST(ceil(total / {WORLD}) AS BIGINT) AS rank_total FROM {{0}} r, range(2) c(c) "
+          f"WHERE rn + c.c * total < ceil(total / {WORLD}) * {WORLD})")
+_PLACES = f"{_INDEXED}{cu.permuted_sql(str(EPOCH), SEED, 'i')}, {_DEALT.format('permuted')}"
+
+
+STAGED = "CAST(n_regionkey AS INT) AS stage, CAST((n_nationkey - n_regionkey) // 5 * (3 + n_regionkey) AS INT) AS first_epoch, 1e-4 / (1 + n_nationkey) AS lr, CAST(2 + n_nationkey AS INT) AS frame_num"
+
+
+def _schedules(spark, sf):
+    """Orders as training steps of five stages, with the settings of a schedule that is a table of its own."""
+    schedule = table(spark, sf, "nation").selectExpr("CAST(n_regionkey AS INT) AS stage", "CAST((n_nationkey - n_regionkey) div 5 * (3 + n_regionkey) AS INT) AS first_epoch",
+                                                     "1e-4D / (1 + n_nationkey) AS lr", "CAST(2 + n_nationkey AS INT) AS frame_num")
+    o = table(spark, sf, "orders").selectExpr("o_orderkey", "CAST(o_custkey % 5 AS INT) AS stage", "CAST(o_orderkey % 60 AS INT) AS epoch")
+    return cu.with_schedule(o, schedule, ["stage"]).select("o_orderkey", "stage", "epoch", rd(F.col("lr") * 1e6, 6).alias("lr"), "frame_num")
 
 
-SHARD_SQL = ("{src}, r AS (SELECT *, row_number() OVER (ORDER BY draw, id) - 1 AS rn, count(*) OVER () AS total FROM s), "
-             f"d AS (SELECT r.*, rn + c.c * total AS place, CAST(ceil(total / {WORLD}) AS BIGINT) AS rank_total FROM r, range(2) c(c) "
-             f"WHERE rn + c.c * total < ceil(total / {WORLD}) * {WORLD})")
+_SCHEDULES_SQL = f"""WITH s AS (SELECT {STAGED} FROM nation), o AS (SELECT o_orderkey, CAST(o_custkey % 5 AS INT) AS stage, CAST(o_orderkey % 60 AS INT) AS epoch FROM orders)
+SELECT o_orderkey, o.stage, epoch, round(lr * 1e6, 6) AS lr, frame_num FROM o ASOF JOIN s ON o.stage = s.stage AND o.epoch >= s.first_epoch"""
 
 
 def _patches(spark, sf):
@@ -182,11 +204,14 @@ FROM part, range(64) t(k) WHERE k < p_size"""),
     "image_manifest": Query(_image_manifest, """SELECT 0 AS image_id, '/root/images/' || source || '/img_' || doc_id || '.png' AS path FROM documents
 UNION ALL SELECT 1, '/abs/' || source || '/img_' || doc_id || '.png' FROM documents"""),
     "image_samples": Query(_image_samples, _IMAGE_SQL),
-    "shards": Query(_shards, "WITH s AS (SELECT o_orderkey AS id, " + draw(6, "o_orderkey") + " AS draw FROM orders)" + SHARD_SQL.format(src="") + f"""
+    "schedules": Query(_schedules, _SCHEDULES_SQL),
+    "shards": Query(_shards, f"""WITH {_PLACES}
 SELECT id AS o_orderkey, CAST(place % {WORLD} AS INT) AS rank, CAST(place // {WORLD} AS BIGINT) AS rank_pos, rank_total FROM d"""),
-    "batches": Query(_batches, "WITH g AS (SELECT l_orderkey * 8 + l_linenumber AS id, sum(l_quantity) AS q FROM lineitem GROUP BY ALL), s AS (SELECT id, q, "
-                     + draw(6, "id") + " AS draw FROM g)" + SHARD_SQL.format(src="") + f"""
+    "drawn_shards": Query(_drawn_shards, "WITH s AS (SELECT p_partkey AS id, " + draw(6, "p_partkey") + f""" AS draw FROM part),
+r AS (SELECT *, row_number() OVER (ORDER BY draw, id) - 1 AS rn, count(*) OVER () AS total FROM s), {_DEALT.format('r')}
+SELECT id AS p_partkey, CAST(place % {WORLD} AS INT) AS rank, CAST(place // {WORLD} AS BIGINT) AS rank_pos, rank_total FROM d"""),
+    "batches": Query(_batches, f"""WITH {_PLACES}
 SELECT CAST(place % {WORLD} AS INT) AS rank, CAST(place // {WORLD} // {BATCH // WORLD} AS BIGINT) AS batch_no, count(*) AS size,
-  CAST(sum(id) AS BIGINT) AS ids, sum(q) AS quantity FROM d WHERE place // {WORLD} // {BATCH // WORLD} < rank_total // {BATCH // WORLD} GROUP BY 1, 2"""),
+  CAST(sum(id) AS BIGINT) AS ids, CAST(sum(rn) AS BIGINT) AS places FROM d WHERE place // {WORLD} // {BATCH // WORLD} < rank_total // {BATCH // WORLD} GROUP BY 1, 2"""),
     "patches": Query(_patches, _PATCH_SQL),
 }

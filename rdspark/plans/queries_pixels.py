@@ -245,7 +245,7 @@ _FIXED_SQL = " UNION ALL ".join(
 
 
 def _active_sets(spark, sf):
-    return pk.active_parameter_set(view(spark, sf, "units"), span=512)
+    return pk.active_parameter_set(view(spark, sf, "units"))
 
 
 ACTIVE_SQL = f"""WITH {UNITS}, f AS (SELECT *, last_value(CASE WHEN nal_type = 0 THEN unit_no END IGNORE NULLS) OVER

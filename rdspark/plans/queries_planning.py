@@ -176,7 +176,7 @@ def _latest(spark, sf):
 
 def _numbered_jobs(spark, sf):
     jobs = planning.job_matrix(seqs(spark, sf), 4).withColumn("at", F.col("seq_no") * 4 + F.col("rate_idx"))
-    return planning.number_jobs(jobs, "at", ["at"]).select("sequence", "rate_idx", "job_no")
+    return planning.number_jobs(jobs, ["at"]).select("sequence", "rate_idx", "job_no")
 
 
 QUERIES = {

@@ -21,7 +21,7 @@ def frames(spark, sf):
 
 
 def numbered(spark, sf):
-    return structure.number_frames(frames(spark, sf), POINT, ORDER, "frame_idx", out="pos")
+    return structure.number_frames(frames(spark, sf), POINT, ORDER, out="pos")
 
 
 def _summary(spark, sf):

@@ -48,7 +48,7 @@ def _live(spark, sf, window, slide=None):
 
 def _stateful(spark, sf):
     base = scratch_path(spark, "state")
-    sp.stateful_packets(view_stream(spark, sf, "units"), base, f"{base}/checkpoint", span=512).awaitTermination()
+    sp.stateful_packets(view_stream(spark, sf, "units"), base, f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/slices").drop("batch_id")
 
 

@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from rdspark.operators.numbering import contiguous_prefix, spread_join
+from rdspark.operators.numbering import spread_join
+from rdspark.operators.ordered import contiguous_prefix
 
 
 def list_images(spark: SparkSession, folder: str, suffix: str) -> DataFrame:

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from rdspark.operators.numbering import carry_forward
+from rdspark.operators.ordered import ordered_scan
 from rdspark.sources.result_logs import POINT_DDL
 from rdspark.sources.storage import open_store
 
@@ -146,7 +146,7 @@ def read_indented_log(spark: SparkSession, method: str, path: str, split_bytes:
     """Points of one large log: a file, or a folder of parts. Same columns as ``result_logs.read_result_log``."""
     spark.dataSource.register(IndentedLog)
     rows = spark.read.format("indentedlog").option("split_bytes", split_bytes).load(path)
-    for level, name in ((0, "dataset"), (1, "sequence")):
-        rows = carry_forward(rows, ["file"], "pos", F.when(F.col("level") == level, F.col("key")), name, span=split_bytes)
+    said = {name: F.when(F.col("level") == level, F.col("key")) for level, name in ((0, "dataset"), (1, "sequence"))}
+    rows = ordered_scan(rows, [], ["pos"], carry=said)      # positions go on over the parts of a folder
     points = rows.filter("level = 2").withColumn("p", F.from_json("body", POINT_DDL))
     return points.select(F.lit(method).alias("method"), "dataset", "sequence", F.col("key").alias("rate_key"), "p.*")

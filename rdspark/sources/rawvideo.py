@@ -9,7 +9,8 @@
 ``skip_frame``      frames to leave out at the start of each sequence
 ``max_frames``      frames to keep after that (default all)
 
-A read is cut into frame ranges of about 64 MB, so one long sequence is read by many tasks. On the way
+A read is cut into frame ranges of about 64 MB, so one long sequence is read by many tasks, and ranges of small files share
+a task. Sequences of different sizes are read together by ``source_frames``. On the way
 out a sequence becomes a folder of segments of ``segment_frames`` frames; put end to end in name order
 they are the raw file. The reader accepts plain files and such folders.
 """
@@ -30,6 +31,7 @@ SCHEMA = ("sequence string, frame_idx bigint, layout string, width int, height i
           "p0 binary, p1 binary, p2 binary")
 SPLIT_BYTES = 64 << 20
 BATCH_BYTES = 8 << 20
+OPEN_BYTES = 1 << 18     # what opening a file costs, as bytes read
 SEGMENT_FRAMES = 256
 _SEGMENT = re.compile(r"seg-(\d+)\.yuv$")
 
@@ -54,13 +56,51 @@ def whole_frames(size: int, sizes: list[int]) -> int:
     return size // frame
 
 
+def video_files(path: str):
+    """(path, sequence, first frame number of the file, bytes) of a file, a name without ending or a folder. Only the listing is read."""
+    from pyarrow import fs
+    store, inner = open_store(path)
+    info = store.get_file_info(inner)
+    if info.type == fs.FileType.NotFound:
+        info = store.get_file_info(inner + ".yuv")
+    if info.type == fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    files = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(inner, recursive=True))
+    prefix = path[:len(path) - len(inner)] if path.endswith(inner) else ""
+    for f in files:
+        if f.type != fs.FileType.File or not f.path.endswith(".yuv"):
+            continue
+        segment = _SEGMENT.search(f.path)
+        parts = f.path.split("/")
+        name = parts[-2] if segment else parts[-1][:-len(".yuv")]
+        yield prefix + f.path, name, int(segment.group(1)) if segment else 0, f.size
+
+
+def frame_batches(path: str, sequence: str, at: int, first_idx: int, count: int, width: int, height: int, layout: str, depth: int, batch_bytes: int) -> Iterator:
+    """Frames of a file from frame ``at`` on, in batches of about ``batch_bytes``."""
+    import pyarrow as pa
+    store, inner = open_store(path)
+    sizes = plane_sizes(width, height, layout, depth)
+    frame = sum(sizes)
+    per = max(1, batch_bytes // frame)
+    a, b = sizes[0], sizes[0] + sizes[1]
+    with store.open_input_file(inner) as handle:
+        handle.seek(at * frame)
+        for k in range(0, count, per):
+            n = min(per, count - k)
+            data = handle.read(n * frame)
+            views = [data[j * frame:(j + 1) * frame] for j in range(n)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([sequence] * n), pa.array([first_idx + k + j for j in range(n)], pa.int64()), pa.array([layout] * n),
+                 pa.array([width] * n, pa.int32()), pa.array([height] * n, pa.int32()), pa.array([depth] * n, pa.int32()),
+                 pa.array([v[:a] for v in views], pa.binary()), pa.array([v[a:b] for v in views], pa.binary()), pa.array([v[b:] for v in views], pa.binary())],
+                names=["sequence", "frame_idx", "layout", "width", "height", "bit_depth", "p0", "p1", "p2"])
+
+
 @dataclass
-class FrameRange(InputPartition):
-    path: str
-    sequence: str
-    first_in_file: int
-    first_idx: int
-    count: int
+class FrameRanges(InputPartition):
+    """(path, sequence, first frame in the file, first frame number, frames) of the ranges that one task reads."""
+    ranges: list
 
     def __post_init__(self):
         super().__init__(None)
@@ -105,59 +145,29 @@ class _Reader(DataSourceReader):
         self.limit = int(options.get("max_frames", -1))
         self.sizes = plane_sizes(self.width, self.height, self.layout, self.depth)
 
-    def _files(self):
-        """(path, sequence, first frame number of the file, bytes). Only the listing is read here."""
-        from pyarrow import fs
-        store, inner = open_store(self.path)
-        info = store.get_file_info(inner)
-        if info.type == fs.FileType.NotFound:
-            info = store.get_file_info(inner + ".yuv")
-        if info.type == fs.FileType.NotFound:
-            raise FileNotFoundError(self.path)
-        files = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(inner, recursive=True))
-        prefix = self.path[:len(self.path) - len(inner)] if self.path.endswith(inner) else ""
-        for f in files:
-            if f.type != fs.FileType.File or not f.path.endswith(".yuv"):
-                continue
-            segment = _SEGMENT.search(f.path)
-            parts = f.path.split("/")
-            name = parts[-2] if segment else parts[-1][:-len(".yuv")]
-            yield prefix + f.path, name, int(segment.group(1)) if segment else 0, f.size
-
     def partitions(self):
-        per = max(1, SPLIT_BYTES // sum(self.sizes))
+        frame = sum(self.sizes)
+        per = max(1, SPLIT_BYTES // frame)
         end = None if self.limit < 0 else self.skip + self.limit
-        ranges = []
-        for path, sequence, first, size in self._files():
+        splits, room = [FrameRanges([])], SPLIT_BYTES
+        for path, sequence, first, size in video_files(self.path):
             count = whole_frames(size, self.sizes)
             low = max(0, self.skip - first)
             high = count if end is None else min(count, end - first)
             for at in range(low, high, per):
+                n = min(per, high - at)
+                cost = n * frame + OPEN_BYTES
+                if cost > room and splits[-1].ranges:
+                    splits.append(FrameRanges([]))
+                    room = SPLIT_BYTES
                 # Numbers start at 0 after the skipped frames, like a reader that opened the file there.
-                ranges.append(FrameRange(path, sequence, at, first + at - self.skip, min(per, high - at)))
-        return ranges or [FrameRange("", "", 0, 0, 0)]
-
-    def read(self, part: FrameRange) -> Iterator:
-        import pyarrow as pa
-        if part.count == 0:
-            return
-        store, inner = open_store(part.path)
-        frame = sum(self.sizes)
-        per = max(1, BATCH_BYTES // frame)
-        a, b = self.sizes[0], self.sizes[0] + self.sizes[1]
-        with store.open_input_file(inner) as handle:
-            handle.seek(part.first_in_file * frame)
-            for at in range(0, part.count, per):
-                n = min(per, part.count - at)
-                data = handle.read(n * frame)
-                views = [data[k * frame:(k + 1) * frame] for k in range(n)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.sequence] * n), pa.array([part.first_idx + at + k for k in range(n)], pa.int64()),
-                     pa.array([self.layout] * n), pa.array([self.width] * n, pa.int32()),
-                     pa.array([self.height] * n, pa.int32()), pa.array([self.depth] * n, pa.int32()),
-                     pa.array([v[:a] for v in views], pa.binary()), pa.array([v[a:b] for v in views], pa.binary()),
-                     pa.array([v[b:] for v in views], pa.binary())],
-                    names=["sequence", "frame_idx", "layout", "width", "height", "bit_depth", "p0", "p1", "p2"])
+                splits[-1].ranges.append((path, sequence, at, first + at - self.skip, n))
+                room -= cost
+        return splits
+
+    def read(self, part: FrameRanges) -> Iterator:
+        for path, sequence, at, first_idx, count in part.ranges:
+            yield from frame_batches(path, sequence, at, first_idx, count, self.width, self.height, self.layout, self.depth, BATCH_BYTES)
 
 
 @dataclass

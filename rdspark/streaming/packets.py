@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from rdspark.operators.numbering import SPAN
 from rdspark.operators.packets import SPS_TYPE, active_parameter_set
 
 UNIT_COLUMNS = ["stream", "unit_no", "nal_type", "sps_id", "height", "width"]
@@ -29,16 +28,16 @@ def latest_sets(units: DataFrame) -> DataFrame:
                     F.col("s.height").alias("height"), F.col("s.width").alias("width")))
 
 
-def resolve_batch(batch: DataFrame, before: DataFrame | None, span: int = SPAN) -> DataFrame:
+def resolve_batch(batch: DataFrame, before: DataFrame | None) -> DataFrame:
     """Slices of a batch with their sets. ``before`` holds earlier sets as unit rows, older ones may be among them."""
     rows = batch.select(*UNIT_COLUMNS)
     if before is not None:
         mine = before.join(rows.select("stream").distinct(), "stream", "left_semi")
         rows = rows.unionByName(mine.select(*UNIT_COLUMNS))
-    return active_parameter_set(rows, span=span)
+    return active_parameter_set(rows)
 
 
-def stateful_packets(units: DataFrame, folder: str, checkpoint: str, span: int = SPAN, once: bool = True,
+def stateful_packets(units: DataFrame, folder: str, checkpoint: str, once: bool = True,
                      snapshot_every: int = SNAPSHOT_EVERY) -> StreamingQuery:
     """Resolve the slices of a stream of units, batch by batch.
 
@@ -54,7 +53,7 @@ def stateful_packets(units: DataFrame, folder: str, checkpoint: str, span: int =
 
     def step(batch: DataFrame, batch_id: int) -> None:
         before = state_before(batch.sparkSession, batch_id)
-        resolve_batch(batch, before, span).write.mode("overwrite").parquet(f"{folder}/slices/batch_id={batch_id}")
+        resolve_batch(batch, before).write.mode("overwrite").parquet(f"{folder}/slices/batch_id={batch_id}")
         changed = batch.select(*UNIT_COLUMNS)
         if before is not None and batch_id % snapshot_every == 0:
             changed = changed.unionByName(before.select(*UNIT_COLUMNS))

@@ -64,15 +64,45 @@ def test_batches(spark):
         cu.batches(cu.shard(cu.shuffle_order(spark.range(10), "id", 1, 3), 3), 20, 3)
 
 
+@pytest.mark.parametrize("n,world", [(1, 3), (2, 2), (5, 2), (99, 7), (100, 7), (101, 8), (1000, 1)])
+def test_permutations_are_exact(spark, n, world):
+    rows = lambda e: [r["rn"] for r in cu.permuted(spark.range(n).select(F.col("id").alias("index"), F.lit(n).cast("long").alias("total")), e, 3).orderBy("index").collect()]
+    assert sorted(rows(1)) == list(range(n)) and rows(1) == rows(1)
+    if n > 50:
+        a, b = rows(1), rows(2)
+        assert a != b and sum(x == k for k, x in enumerate(a)) < 8 and sum(abs(x - y) == 1 for x, y in zip(a, a[1:])) < n / 5
+
+
+def test_file_index_counts_over_files_and_moves_nothing(spark, tmp_path):
+    spark.range(0, 5000, numPartitions=4).write.option("maxRecordsPerFile", 700).parquet(f"{tmp_path}/s")
+    got = cu.permuted(cu.file_index(spark.read.parquet(f"{tmp_path}/s")), 1, 3)
+    rows = got.collect()
+    assert sorted(r["index"] for r in rows) == list(range(5000)) == sorted(r["rn"] for r in rows) and {r["total"] for r in rows} == {5000}
+    assert {r["id"]: r["index"] for r in rows} == {r["id"]: r["index"] for r in cu.file_index(spark.read.parquet(f"{tmp_path}/s")).collect()}
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1      # counts of the files only
+
+
+def test_schedules(spark):
+    stretches = [("a", 10, 0.5), ("a", 0, 1.0), ("b", 3, 0.1), ("a", 12, 0.25)]
+    table = spark.createDataFrame(stretches, "plan string, first_epoch int, lr double")
+    df = spark.createDataFrame([("a", e) for e in (0, 9, 10, 11, 12, 900)] + [("b", 3), ("b", 4)], "plan string, epoch int").withColumn("lr", F.lit("old"))
+    got = {(r["plan"], r["epoch"]): r["lr"] for r in cu.with_schedule(df, table, ["plan"]).collect()}
+    assert got == {("a", 0): 1.0, ("a", 9): 1.0, ("a", 10): 0.5, ("a", 11): 0.5, ("a", 12): 0.25, ("a", 900): 0.25, ("b", 3): 0.1, ("b", 4): 0.1}
+    one = cu.with_schedule(df.where("plan = 'a'"), table.where("plan = 'a'").drop("plan"))
+    assert {r["epoch"]: r["lr"] for r in one.collect()} == {e: v for (p, e), v in got.items() if p == "a"}
+    for rows, schedule in (([("b", 2)], stretches), ([("c", 2)], stretches), ([("a", None)], stretches), ([("a", 1)], [*stretches, ("a", 10, 3.0)])):
+        with pytest.raises(Exception, match="stretch"):
+            cu.with_schedule(spark.createDataFrame(rows, "plan string, epoch int"), spark.createDataFrame(schedule, "plan string, first_epoch int, lr double"), ["plan"]).collect()
+
+
 def test_plans(spark):
-    rows = cu.plan_rows()
-    count = {}
-    for r in rows:
-        count[r[:2]] = count.get(r[:2], 0) + 1
-    assert count[("ld", "stage0")] == 56 and count[("ht", "stage0")] == 46 and count[("image", "stage0")] == 106
+    rows = cu.standard_schedules()
+    last = {r[:2]: r[2] for r in rows}
+    assert last["ld", "stage0"] == 55 and last["ht", "stage0"] == 45 and last["image", "stage0"] == 105
     df = spark.createDataFrame([(e,) for e in (0, 9, 14, 500)], "epoch int")
-    got = cu.with_epoch_plan(df, "ht", "stage0").orderBy("epoch").collect()
-    assert [r["frame_num"] for r in got] == [9, 17, 33, 33]
-    assert cu.epoch_plan(spark).count() == len(rows)
+    for unit in (8, 4):
+        got = cu.with_epoch_plan(df, "ht", "stage0", unit_frames=unit).orderBy("epoch").collect()
+        assert [r["frame_num"] for r in got] == [1 + unit, 1 + 2 * unit, 1 + 4 * unit, 1 + 4 * unit]
     with pytest.raises(ValueError):
         cu.with_epoch_plan(df, "ht", "stage9")

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rdspark.operators import numbering as nb, packets as pk, structure as st
+from rdspark.operators import numbering as nb, ordered, packets as pk, structure as st
 
 
 @pytest.fixture(scope="module")
@@ -30,23 +30,10 @@ def test_number_within_whole_table(hot):
     assert [r["n"] for r in got] == list(range(len(rows)))
 
 
-@pytest.mark.parametrize("span", [1, 7, 64])
-def test_carry_forward(spark, span):
-    rng = random.Random(5)
-    rows = [(rng.choice(["x", "x", "x", "y"]), i, rng.randrange(100) if rng.random() < 0.05 else None) for i in range(800)]
-    df = spark.createDataFrame(rows, "k string, pos int, v int")
-    last, want = {}, {}
-    for k, i, v in rows:
-        last[k] = v if v is not None else last.get(k)
-        want[i] = last.get(k)
-    got = {r["pos"]: r["f"] for r in nb.carry_forward(df, ["k"], "pos", "v", "f", span).collect()}
-    assert got == want
-
-
 def test_contiguous_prefix(spark):
     rows = [("a", i) for i in (1, 2, 3, 5, 6)] + [("b", i) for i in (2, 3)] + [("c", i) for i in range(0, 200)]
     df = spark.createDataFrame(rows, "s string, n int")
-    got = nb.contiguous_prefix(df, ["s"], "n", start=1, span=16).groupBy("s").agg(F.max("n").alias("m"), F.count("*").alias("c")).collect()
+    got = ordered.contiguous_prefix(df, ["s"], "n", start=1).groupBy("s").agg(F.max("n").alias("m"), F.count("*").alias("c")).collect()
     assert {(r["s"], r["m"], r["c"]) for r in got} == {("a", 3, 3), ("c", 199, 199)}
 
 
@@ -100,7 +87,7 @@ def test_coding_units_reject_a_misfit_period(spark):
 def test_active_sets_and_ids(spark):
     rows = [("s", 0, 0, 0, 64, 64), ("s", 1, 1, 0, None, None), ("s", 2, 2, 1, None, None), ("s", 3, 0, 0, 80, 96), ("s", 4, 2, 0, None, None)]
     df = spark.createDataFrame(rows, "stream string, unit_no int, nal_type int, sps_id int, height int, width int")
-    got = {r["unit_no"]: (r["sps_unit"], r["height"], r["width"], r["valid"]) for r in pk.active_parameter_set(df, span=2).collect()}
+    got = {r["unit_no"]: (r["sps_unit"], r["height"], r["width"], r["valid"]) for r in pk.active_parameter_set(df).collect()}
     assert got == {1: (0, 64, 64, True), 2: (None, None, None, False), 4: (3, 80, 96, True)}
     many = spark.createDataFrame([("s", i, 16 * (i % 17), 16) for i in range(40)], "stream string, unit_no int, height int, width int")
     ids = {r["unit_no"]: (r["sps_id"], r["sps_new"]) for r in pk.allocate_ids(many, strict=False).collect()}

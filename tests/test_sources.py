@@ -39,7 +39,7 @@ def test_long_video_is_split(spark, tmp_path, monkeypatch):
     rv.write_raw_video(df, str(tmp_path / "v"), segment_frames=16)
     assert sorted(p.name for p in (tmp_path / "v" / "s").iterdir()) == [f"seg-{i:012d}.yuv" for i in (0, 16, 32)]
     parts = reader.partitions()
-    assert len(parts) == 8 and sum(p.count for p in parts) == 40
+    assert len(parts) == 8 and sum(r[-1] for p in parts for r in p.ranges) == 40
     joined = b"".join(p.read_bytes() for p in sorted((tmp_path / "v" / "s").iterdir()))
     assert joined == b"".join(p.tobytes() for f in data for p in f)
     back = rv.read_raw_video(spark, str(tmp_path / "v"), 8, 4).orderBy("frame_idx").collect()

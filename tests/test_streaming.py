@@ -15,7 +15,7 @@ def test_parameter_sets_live_on_between_batches(spark):
     for turn in range(6):
         df.filter(F.col("unit_no").between(turn * 50, turn * 50 + 49)).coalesce(1).write.mode("append").parquet(f"{base}/in")
         stream = spark.readStream.schema(schema).parquet(f"{base}/in")
-        sp.stateful_packets(stream, f"{base}/out", f"{base}/cp", span=16, snapshot_every=2).awaitTermination()
+        sp.stateful_packets(stream, f"{base}/out", f"{base}/cp", snapshot_every=2).awaitTermination()
     assert spark.read.parquet(f"{base}/out/sets").select("batch_id").distinct().count() == 6
     cols = ["stream", "unit_no", "sps_id", "sps_unit", "height", "width", "valid"]
     got = {tuple(r) for r in spark.read.parquet(f"{base}/out/slices").select(*cols).collect()}
