@@ -78,6 +78,20 @@ def frame_arrays(frames: DataFrame, keys: Sequence[str] = POINT_KEYS, include_pl
                         F.col("f.frame_type").alias("frame_type"))
 
 
+def whole_lists(points: DataFrame, chunks: DataFrame, keys: Sequence[str] = POINT_KEYS) -> DataFrame:
+    """``points`` with the whole per-frame lists put together from the chunks of ``frame_arrays``, in chunk order.
+
+    A point's lists become cells of its row, so a point is bounded by what a cell holds (2 GB); longer ones are written by chunks
+    (``sinks.results.write_result_document``). A point without chunks is an error.
+    """
+    names = [c for c in chunks.columns if c not in (*keys, "chunk_no", "first_frame")]
+    packed = chunks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("chunk_no", *names))).alias("__c"))
+    met = points.join(packed, list(keys), "left")
+    lost = F.raise_error(F.concat_ws(" ", F.lit("no frames for point"), *[F.col(k).cast("string") for k in keys]))
+    checked = met.withColumn("__c", F.when(F.col("__c").isNull(), lost).otherwise(F.col("__c")))
+    return checked.select(*points.columns, *[F.flatten(F.transform("__c", lambda c, n=n: c[n])).alias(n) for n in names])
+
+
 def component_summary(frames: DataFrame, keys: Sequence[str] = POINT_KEYS) -> DataFrame:
     """Mean bits per pixel of each stream component over the P frames; 0 where there are none."""
     p = ~_is_intra()

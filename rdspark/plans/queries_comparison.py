@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rdspark.operators import comparison as c
+from rdspark.operators.ordered import ordered_scan
+from rdspark.operators.summary import frame_arrays
 from rdspark.plans.catalog import POINTS_SQL, Query, points, rounded, stored_points
 from rdspark.plans.compare import compare
-from rdspark.plans.derived import view, view_sql
+from rdspark.plans.derived import LOG_FRAMES, view, view_sql
 from rdspark.sinks import results as sinks
 from rdspark.sources.indented_logs import read_indented_log
-from rdspark.sources.result_logs import read_points, read_result_logs
+from rdspark.sources.result_logs import parse_rd_tables, read_points, read_result_logs, read_split_log
 from rdspark.sources.storage import scratch_path, stored
 
 ANCHOR = "A"
 ALL_METRICS = c.ALL_METRICS
 GROUPS = ("i", "p", "all")
+# By number, then by what frames of one number have: they are told apart whatever the engine.
+FRAME_ORDER = ["frame_idx", *[k for k in LOG_FRAMES if k not in ("method", "dataset", "sequence", "rate_idx", "frame_idx")]]
 
 
 def values_of(df, column: str) -> list[str]:
@@ -221,6 +225,40 @@ def _document_round_trip(spark, sf):
                                      "ave_i_frame_bpp", "ave_p_frame_psnr_u", "ave_all_frame_msssim")
 
 
+def _compact_round_trip(spark, sf):
+    """One document per method on a single line, written in parts and read by byte ranges that begin anywhere in it."""
+    base = scratch_path(spark, "compact")
+    p = stored_points(spark, sf)
+    back = []
+    for m in values_of(p, "method"):
+        sinks.write_result_document(p.filter(F.col("method") == m).drop("method"), f"{base}/{m}", compact=True)
+        back.append(read_split_log(spark, m, f"{base}/{m}", joined=True, split_bytes=1 << 17))
+    return c.unify_logs(back).select("method", "dataset", "sequence", "rate_key", "i_frame_num", "p_frame_num",
+                                     "ave_i_frame_bpp", "ave_p_frame_psnr_u", "ave_all_frame_msssim")
+
+
+def _stored_lists(spark, sf):
+    """Points with their whole per-frame lists, written as a document list by list and read back."""
+    base = scratch_path(spark, "lists")
+    f = ordered_scan(view(spark, sf, "frames").where("method = 'A'"), ["method", "dataset", "sequence", "rate_idx"], FRAME_ORDER, number="pos")
+    f = stored(f.withColumn("rate_key", F.format_string("%03d", "rate_idx")), "numbered")
+    keys = ["dataset", "sequence", "rate_key"]
+    p = f.groupBy(*keys).agg(F.count_if(F.col("frame_type") == 0).alias("i_frame_num"), F.count_if(F.col("frame_type") != 0).alias("p_frame_num"))
+    sinks.write_result_document(p, base, lists=frame_arrays(f, keys, chunk=4, frame_idx="pos"))
+    back = read_split_log(spark, "A", base, joined=True, split_bytes=1 << 17)
+    lists = F.arrays_zip("frame_bpp", "frame_psnr", "frame_msssim", "frame_type")
+    return back.select(*keys, "i_frame_num", "p_frame_num", F.posexplode(lists).alias("at", "f")).select(
+        *keys, "i_frame_num", "p_frame_num", "at", "f.frame_bpp", "f.frame_psnr", "f.frame_msssim", "f.frame_type")
+
+
+def _rd_table(spark, sf):
+    """Curves of every class as literal lists, read as a table of rate points."""
+    curves = c.class_mean(points(spark, sf), ["psnr"]).where("frame_group = 'all'").groupBy("method", "dataset").agg(
+        F.sort_array(F.collect_list(F.struct("bpp", "value"))).alias("c"))
+    texts = curves.select("method", F.col("dataset").alias("d"), F.to_json(F.struct(F.col("c.bpp").alias("bpp"), F.col("c.value").alias("PSNR"))).alias("value"))
+    return rounded(parse_rd_tables(texts.withColumnRenamed("d", "dataset")).select("method", "dataset", "rate_key", "metric", "bpp", "value"), 6)
+
+
 def _point_files(spark, sf):
     """Per-point files, one folder per dataset, sequence and quality index."""
     out = scratch_path(spark, "points")
@@ -298,6 +336,15 @@ SELECT dataset, CAST(row_number() OVER (PARTITION BY dataset ORDER BY rate) - 1
   round(psnr, 4) AS psnr FROM m"""),
     "result_log_round_trip": Query(_log_round_trip, _LOG_SQL),
     "result_document": Query(_document_round_trip, _LOG_SQL),
+    "rd_table": Query(_rd_table, f"""WITH {POINTS_SQL}, {class_sql(["psnr"])}
+SELECT method, dataset, printf('%03d', row_number() OVER (PARTITION BY method, dataset ORDER BY bpp, value) - 1) AS rate_key, metric, round(bpp, 6) AS bpp, round(value, 6) AS value
+FROM crows WHERE frame_group = 'all'"""),
+    "compact_log": Query(_compact_round_trip, _LOG_SQL),
+    "stored_lists": Query(_stored_lists, f"""WITH {view_sql('frames')}, n AS (SELECT *, row_number() OVER (PARTITION BY dataset, sequence, rate_idx ORDER BY {', '.join(FRAME_ORDER)}) - 1 AS pos
+  FROM frames WHERE method = 'A')
+SELECT dataset, sequence, printf('%03d', rate_idx) AS rate_key, count(*) FILTER (frame_type = 0) OVER w AS i_frame_num, count(*) FILTER (frame_type <> 0) OVER w AS p_frame_num,
+  CAST(pos AS INT) AS at, CAST(printf('%.6f', CAST(bits AS DOUBLE) / pixel_num) AS DOUBLE) AS frame_bpp, CAST(printf('%.6f', psnr) AS DOUBLE) AS frame_psnr,
+  CAST(printf('%.6f', msssim) AS DOUBLE) AS frame_msssim, frame_type FROM n WINDOW w AS (PARTITION BY dataset, sequence, rate_idx)"""),
     "point_files": Query(_point_files, f"""WITH {POINTS_SQL} SELECT method, dataset, sequence, rate_key, rate_idx * 10 AS qp_i,
   i_frame_num, round(ave_all_frame_bpp, 6) AS ave_all_frame_bpp FROM points"""),
 }

@@ -11,7 +11,9 @@ from rdspark.plans.catalog import Query, rd, rounded
 from rdspark.plans.derived import SAMPLES_SQL, table, view, view_sql
 from rdspark.sources.images import list_images, read_png_frames, split_bgr
 from rdspark.sources.packets import parse_packets, read_packets
+from rdspark.sinks.planes import write_rgb_planes
 from rdspark.sources.rawvideo import read_raw_video, write_raw_video
+from rdspark.sources.source_frames import read_source_frames
 from rdspark.sources.storage import scratch_path, stored
 
 UNITS = view_sql("units")
@@ -133,6 +135,18 @@ SELECT sequence, frame_idx, n AS plane, x, y, CAST(round_even(least(greatest(v,
 FROM (SELECT sequence, frame_idx, x, y, unnest(['r', 'g', 'b']) AS n, unnest([r, g, b]) AS v FROM d)"""
 
 
+def _file_to_rgb(spark, sf):
+    """Raw 4:2:0 files read by their configuration, converted and written as a table of RGB planes."""
+    root = scratch_path(spark, "files")
+    write_raw_video(frames420(spark, sf), root, segment_frames=16)
+    rows = table(spark, sf, "embeddings").select(F.concat(F.lit("label_"), F.col("label").cast("string")).alias("sequence")).distinct().withColumns({
+        "path": F.concat(F.lit(f"{root}/"), F.col("sequence")), "width": F.lit(8), "height": F.lit(8), "layout": F.lit("420"), "bit_depth": F.lit(8),
+        "first_frame": F.lit(None).cast("long"), "frame_num": F.lit(None).cast("long")})
+    out = scratch_path(spark, "rgb")
+    write_rgb_planes(read_source_frames(rows), out)
+    return planes.sample_rows(spark.read.parquet(out), ["sequence", "frame_idx", "plane"])
+
+
 def _hex_planes(df):
     return df.select("sequence", "frame_idx", *[F.hex(p).alias(p) for p in ("p0", "p1", "p2")])
 
@@ -278,6 +292,8 @@ SELECT frame_idx, CAST(k AS INT) AS k, round(least(greatest(r2, 0e0), 1e0), 7) A
   round(least(greatest(b2, 0e0), 1e0), 7) AS b, round(g2, 7) AS open_g FROM o"""),
     "chroma_up": Query(_to_444, _TO_444_SQL),
     "chroma_down": Query(_rgb_to_420, _RGB_420_SQL),
+    "file_to_rgb": Query(_file_to_rgb, f"""WITH {NUMBERED_SQL}, q AS ({_420_RGB_SQL})
+SELECT q.sequence, pos.frame_idx, plane, x, y, value FROM q JOIN pos ON pos.id = q.frame_idx"""),
     "video_to_rgb": Query(_420_to_rgb, _420_RGB_SQL),
     "raw_video_round_trip": Query(_raw_round_trip, _RAW_SQL),
     "raw_video_range": Query(_raw_range, f"WITH r AS ({_RAW_SQL}) SELECT sequence, frame_idx - 5 AS frame_idx, p0, p1, p2 FROM r WHERE frame_idx >= 5 AND frame_idx < 25"),

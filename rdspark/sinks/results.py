@@ -56,10 +56,31 @@ def write_result_log(points: DataFrame, path: str, digits: int = LOG_DIGITS) ->
     log_fragments(points, digits).write.mode("error").text(path)
 
 
-def document_lines(points: DataFrame, digits: int = LOG_DIGITS) -> DataFrame:
-    """Lines that, read in (dataset, sequence, rate_key) order, are one JSON document in the nested form.
+_LISTS = ("frame_bpp", "frame_psnr", "frame_msssim", *[f"frame_{m}_{p}" for m in ("psnr", "msssim") for p in "yuv"], "frame_type")
 
-    Where a dataset or a sequence opens and closes is found from the smallest and largest key of each
+
+def list_lines(chunks: DataFrame, keys: Sequence[str], digits: int = LOG_DIGITS) -> DataFrame:
+    """Per-frame lists of points as pieces of JSON text: one row for each list and chunk (keys, part, chunk_no, value).
+
+    In (part, chunk_no) order the pieces of a point are its lists, each with a comma before it. A list of any length is written chunk by chunk.
+    """
+    ends = chunks.groupBy(*keys).agg(F.min("chunk_no").alias("__a"), F.max("chunk_no").alias("__b"))
+    rows = spread_join(chunks, ends, keys, "chunk_no", how="inner")
+    first, last = F.col("chunk_no") == F.col("__a"), F.col("chunk_no") == F.col("__b")
+    pieces = []
+    for k, name in enumerate(n for n in _LISTS if n in chunks.columns):
+        values = F.col(name) if name == "frame_type" else F.transform(F.col(name), lambda v: round_exact(v, digits))
+        text = F.to_json(F.struct(F.coalesce(values, F.array()).alias("k")))      # {"k":[...]}
+        inner = text.substr(F.lit(7), F.length(text) - 8)
+        pieces.append(F.struct(F.lit(k + 1).alias("part"), F.concat(F.when(first, f',"{name}":[').otherwise(F.lit(",")), inner, F.when(last, "]").otherwise("")).alias("value")))
+    return rows.select(*keys, F.col("chunk_no").cast("long").alias("chunk_no"), F.inline(F.array(*pieces)))
+
+
+def document_lines(points: DataFrame, digits: int = LOG_DIGITS, lists: DataFrame | None = None) -> DataFrame:
+    """Lines that, read in (dataset, sequence, rate_key, part, chunk_no) order, are one JSON document in the nested form.
+
+    ``lists`` has the per-frame lists of the points in chunks (``summary.frame_arrays`` with the key ``rate_key``); they become lines of their own
+    inside their point, so no cell holds a whole list. Where a dataset or a sequence opens and closes is found from the smallest and largest key of each
     level, so the document is assembled without gathering it anywhere.
     """
     keys = ["dataset", "sequence", "rate_key"]
@@ -78,17 +99,24 @@ def document_lines(points: DataFrame, digits: int = LOG_DIGITS) -> DataFrame:
                        F.when(r_first, F.concat(F.lit("    "), _quoted("sequence"), F.lit(": {\n"))).otherwise(""))
     closing = (F.when(last, "\n    }\n  }\n}").when(s_last, "\n    }\n  },").when(r_last, "\n    },").otherwise(","))
     text = F.concat(opening, F.lit("      "), _quoted("rate_key"), F.lit(": "), "j", closing)
-    return rows.select(*keys, text.alias("value"))
+    if lists is None:
+        return rows.select(*keys, F.lit(0).alias("part"), F.lit(0).cast("long").alias("chunk_no"), text.alias("value"))
+    head = F.concat(opening, F.lit("      "), _quoted("rate_key"), F.lit(": "), F.col("j").substr(F.lit(1), F.length("j") - 1))
+    pieces = F.array(F.struct(F.lit(0).alias("part"), head.alias("value")), F.struct(F.lit(len(_LISTS) + 1).alias("part"), F.concat(F.lit("}"), closing).alias("value")))
+    outer = rows.select(*keys, F.lit(0).cast("long").alias("chunk_no"), F.inline(pieces))
+    return outer.unionByName(list_lines(lists, keys, digits))
 
 
-def write_result_document(points: DataFrame, path: str, digits: int = LOG_DIGITS) -> None:
-    """Text parts that, put end to end in name order, are one nested JSON document.
+def write_result_document(points: DataFrame, path: str, digits: int = LOG_DIGITS, lists: DataFrame | None = None, compact: bool = False) -> None:
+    """Text parts that, put end to end in name order, are one nested JSON document, on one line if ``compact``.
 
-    ``sources.indented_logs`` reads the folder, or the joined file, with many tasks.
+    ``result_logs.read_split_log`` reads the folder, or the joined file, with many tasks; so does ``indented_logs`` where no lists are in it.
     """
-    keys = ["dataset", "sequence", "rate_key"]
-    lines = document_lines(points, digits)
-    lines.repartitionByRange(*keys).sortWithinPartitions(*keys).select("value").write.mode("error").text(path)
+    order = ["dataset", "sequence", "rate_key", "part", "chunk_no"]
+    lines = document_lines(points, digits, lists)
+    value = F.regexp_replace("value", r"\n *", "") if compact else F.col("value")
+    sorted_ = lines.repartitionByRange(*order).sortWithinPartitions(*order)
+    sorted_.select(value.alias("value")).write.mode("error").option("lineSep", " " if compact else "\n").text(path)
 
 
 def write_point(points: DataFrame, path: str) -> None:

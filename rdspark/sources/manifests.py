@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rdspark.functions.ladders import join_path
+from rdspark.operators.ordered import ordered_scan
+from rdspark.sources.split_json import SPLIT_BYTES, enclosed, json_elements
+from rdspark.sources.storage import stored
 
 _SEQS = "ARRAY<STRUCT<path STRING, width INT, height INT, seq_length INT>>"
 VIDEO_TYPE = f"seqs {_SEQS}, frames ARRAY<STRING>"
@@ -31,13 +34,28 @@ def parse_video_manifest(texts: DataFrame, text: str = "value") -> tuple[DataFra
     return seqs, names
 
 
-def _documents(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).withColumn("manifest", F.input_file_name())
+def _listed(spark: SparkSession, path: str, lists: list[str], split_bytes: int) -> DataFrame:
+    """(manifest, name, place, text): the items of the lists of description documents, with their number in the list."""
+    if lists:
+        items = enclosed(json_elements(spark, path, 2, strict=False, split_bytes=split_bytes), ["name"]).where(F.col("name").isin(lists) & F.col("key").isNull())
+    else:
+        items = enclosed(json_elements(spark, path, 1, split_bytes=split_bytes), []).withColumn("name", F.lit("")).where(F.col("key").isNull())
+    return ordered_scan(items, ["doc", "name"], ["pos"], number="place").select(F.col("doc").alias("manifest"), "name", F.col("place").cast("int").alias("place"), "text")
 
 
-def read_image_manifest(spark: SparkSession, root: str, name: str = "description.json") -> DataFrame:
-    return parse_image_manifest(_documents(spark, f"{root}/{name}"), root)
+def _string(text: str):
+    return F.from_json(F.concat(F.lit("["), text, F.lit("]")), "ARRAY<STRING>", STRICT)[0]
 
 
-def read_video_manifest(spark: SparkSession, root: str, name: str = "description.json") -> tuple[DataFrame, DataFrame]:
-    return parse_video_manifest(_documents(spark, f"{root}/{name}"))
+def read_image_manifest(spark: SparkSession, root: str, name: str = "description.json", split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Images of a description below ``root``, a JSON array of relative paths; read by byte ranges, whatever its size."""
+    items = _listed(spark, f"{root}/{name}", [], split_bytes)
+    return items.select("manifest", F.col("place").alias("image_id"), _string("text").alias("name")).withColumn("path", join_path(F.lit(root), "name"))
+
+
+def read_video_manifest(spark: SparkSession, root: str, name: str = "description.json", split_bytes: int = SPLIT_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(sequences, shared frame names) of a description below ``root``, read by byte ranges."""
+    items = stored(_listed(spark, f"{root}/{name}", ["seqs", "frames"], split_bytes), "manifest")
+    seqs = items.where("name = 'seqs'").select("manifest", F.col("place").alias("seq_id"), F.from_json("text", "path STRING, width INT, height INT, seq_length INT", STRICT).alias("s"))
+    names = items.where("name = 'frames'").select("manifest", F.col("place").alias("frame_no"), _string("text").alias("frame_name"))
+    return seqs.select("manifest", "seq_id", "s.*"), names

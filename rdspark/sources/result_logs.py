@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rdspark.operators.comparison import unify_logs
+from rdspark.sources.split_json import SPLIT_BYTES, enclosed, json_elements
 
 PLANES = ("y", "u", "v")
 _AVERAGES = [f"ave_{g}_frame_{m}" for g in ("i", "p", "all")
@@ -45,12 +46,21 @@ def read_result_log(spark: SparkSession, method: str, path: str, lines: bool | N
     """Points of one method.
 
     ``lines``: one fragment per line, as ``sinks.write_result_log`` writes them, split over tasks like any text; else one document per
-    file. Left open, the first line of the log decides, whatever the path is called: a line that is a JSON object of its own means lines.
+    file, read by byte ranges whatever its form and size (``split_json``). Left open, the first line of the log decides, whatever the path is called: a line that is a JSON object of its own means lines.
     """
     if lines is None:
         first = spark.read.text(path).filter("trim(value) <> ''").first()
         lines = first is not None and _is_object(first["value"])
-    return parse_result_log(spark.read.text(path, wholetext=not lines), method)
+    if lines:
+        return parse_result_log(spark.read.text(path), method)
+    return read_split_log(spark, method, path)
+
+
+def read_split_log(spark: SparkSession, method: str, path: str, joined: bool = False, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Points of nested documents of any size, read by many tasks. ``joined``: the files of a folder, end to end, are one document."""
+    rows = enclosed(json_elements(spark, path, 3, joined, split_bytes=split_bytes), ["dataset", "sequence"])
+    points = rows.withColumn("p", F.from_json("text", POINT_DDL, {"mode": "FAILFAST"}))
+    return points.select(F.lit(method).alias("method"), "dataset", "sequence", F.col("key").alias("rate_key"), "p.*")
 
 
 def read_result_logs(spark: SparkSession, logs: Mapping[str, str] | Sequence[str], anchor: str | None = None,
@@ -71,6 +81,17 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def parse_rd_tables(texts: DataFrame, metric: str = "psnr", text: str = "value") -> DataFrame:
+    """RD tables held as text: rows (method, dataset, {"bpp": [...], "PSNR": [...]}) become rows in curve form. Lists of different length are an error."""
+    lists = F.from_json(text, "MAP<STRING, ARRAY<DOUBLE>>", {"mode": "FAILFAST"})
+    named = texts.select("method", "dataset", F.transform_keys(lists, lambda k, _: F.lower(k)).alias("__t"))
+    bpp, value = F.col("__t")["bpp"], F.col("__t")[metric]
+    wrong = F.raise_error(F.concat(F.lit("the lists differ in length or are missing: "), F.col("method")))
+    points = named.select("method", "dataset", F.posexplode(F.when(F.size(bpp) == F.size(value), F.arrays_zip(bpp.alias("bpp"), value.alias("value"))).otherwise(wrong)).alias("rate_idx", "p"))
+    return points.select("method", "dataset", F.format_string("%03d", "rate_idx").alias("rate_key"), F.lit("all").alias("frame_group"), F.lit(metric).alias("metric"),
+                         F.col("p")["bpp"].alias("bpp"), F.col("p")["value"].alias("value"))
+
+
 def read_rd_table(spark: SparkSession, tables: Mapping[str, Mapping[str, Sequence[float]]], dataset: str,
                   metric: str = "psnr") -> DataFrame:
     """Literal RD tables: method -> parallel lists ``bpp`` and ``PSNR``. Rows in curve form.
