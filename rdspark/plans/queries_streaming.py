@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rdspark.plans.catalog import points, POINTS_SQL, Query, rd
-from rdspark.plans.derived import VIEWS, view_sql
+from rdspark.plans.derived import VIEWS, view, view_sql
 from rdspark.plans.queries_pixels import ACTIVE_SQL
 from rdspark.sources.storage import scratch_path
 from rdspark.streaming import packets as sp, results as sr
@@ -23,15 +23,15 @@ def view_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _ingest(spark, sf):
-    """Point files that land twice, some of them incomplete, end up in the store once."""
+    """Point files that land twice, some of them incomplete, end up in the store once. Three runs of several micro-batches; buckets are compacted on the way."""
     base = scratch_path(spark, "ingest")
     p = points(spark, sf).select("method", "dataset", "sequence", "rate_idx", "i_frame_num", "p_frame_num", "ave_all_frame_bpp",
                                  (F.col("i_frame_num") + F.col("p_frame_num") + F.when(F.col("i_frame_num") == 0, 1).otherwise(0)).alias("frame_num"))
-    for turn in range(2):
-        p.write.mode("append").json(f"{base}/landing")
-        sr.ingest_results(sr.point_stream(spark, f"{base}/landing", files_per_batch=4), f"{base}/store", f"{base}/checkpoint").awaitTermination()
-    stored = spark.read.parquet(f"{base}/store")
-    return stored.select("method", "dataset", "sequence", "rate_idx", "i_frame_num", "p_frame_num", rd("ave_all_frame_bpp", 9).alias("ave_all_frame_bpp"))
+    part = F.pmod(F.xxhash64("sequence"), F.lit(2))
+    for rows in (p.where(part == 0), p, p.where(part == 1)):
+        rows.coalesce(2).write.mode("append").json(f"{base}/landing")
+        sr.ingest_results(sr.point_stream(spark, f"{base}/landing", files_per_batch=1), f"{base}/store", f"{base}/checkpoint", buckets=8, every=3).awaitTermination()
+    return sr.read_store(spark, f"{base}/store", every=3).select("method", "dataset", "sequence", "rate_idx", "i_frame_num", "p_frame_num", rd("ave_all_frame_bpp", 9).alias("ave_all_frame_bpp"))
 
 
 def _live(spark, sf, window, slide=None):
@@ -47,8 +47,13 @@ def _live(spark, sf, window, slide=None):
 
 
 def _stateful(spark, sf):
-    base = scratch_path(spark, "state")
-    sp.stateful_packets(view_stream(spark, sf, "units"), base, f"{base}/checkpoint").awaitTermination()
+    """Units that land in three parts, by their number; sets of an earlier part hold for slices of a later one."""
+    base, units = scratch_path(spark, "state"), view(spark, sf, "units")
+    most = units.agg(F.max("unit_no")).first()[0] or 0
+    for k in range(3):
+        units.where((F.col("unit_no") * 3 >= k * (most + 1)) & (F.col("unit_no") * 3 < (k + 1) * (most + 1))).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(units.schema).parquet(f"{base}/in")
+        sp.stateful_packets(stream, base, f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/slices").drop("batch_id")
 
 

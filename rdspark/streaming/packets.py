@@ -1,63 +1,118 @@
-"""Active parameter sets on a stream of units.
+"""Active parameter sets on a stream of units, with keyed state.
 
-Spark does not keep the order of rows inside a key of a micro-batch, and one stream may own much of a
-batch. So each micro-batch goes through the same bucketed as-of lookup as a table, together with the
-sets of its streams that were active before it. That state (at most 16 rows per stream) is a table of
-small changes, one per batch, with a full snapshot every so many batches.
+The state of a (stream, set id) is the sets of that id that a slice still to come may need, and the slices that wait. A slice is settled when no earlier unit can come any
+more: a unit arrives before any unit of its stream whose number is larger by more than ``disorder``. So the state is bounded by what lies within ``disorder`` units,
+plus one set before it. Each micro-batch is evaluated once: of its slices a task holds two numbers each while the sets of the same batch come in, in any order.
+In a query that keeps running, slices that still wait when no unit of their id has come for ``patience_ms`` are settled by a timer with what is known; a query that
+ends with the files at hand leaves them in the state for its next run.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from collections.abc import Iterator
 
-from rdspark.operators.packets import SPS_TYPE, active_parameter_set
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-UNIT_COLUMNS = ["stream", "unit_no", "nal_type", "sps_id", "height", "width"]
-
-
-SNAPSHOT_EVERY = 32
-
-
-def latest_sets(units: DataFrame) -> DataFrame:
-    """The last parameter set of each stream and id, as unit rows."""
-    rest = [c for c in UNIT_COLUMNS if c not in ("stream", "sps_id")]
-    sets = units.filter(F.col("nal_type") == SPS_TYPE).select(*UNIT_COLUMNS)
-    return (sets.groupBy("stream", "sps_id").agg(F.max_by(F.struct(*rest), "unit_no").alias("s"))
-            .select("stream", F.col("s.unit_no").alias("unit_no"), F.col("s.nal_type").alias("nal_type"), "sps_id",
-                    F.col("s.height").alias("height"), F.col("s.width").alias("width")))
+from rdspark.operators.packets import SPS_TYPE
 
-
-def resolve_batch(batch: DataFrame, before: DataFrame | None) -> DataFrame:
-    """Slices of a batch with their sets. ``before`` holds earlier sets as unit rows, older ones may be among them."""
-    rows = batch.select(*UNIT_COLUMNS)
-    if before is not None:
-        mine = before.join(rows.select("stream").distinct(), "stream", "left_semi")
-        rows = rows.unionByName(mine.select(*UNIT_COLUMNS))
-    return active_parameter_set(rows)
-
-
-def stateful_packets(units: DataFrame, folder: str, checkpoint: str, once: bool = True,
-                     snapshot_every: int = SNAPSHOT_EVERY) -> StreamingQuery:
-    """Resolve the slices of a stream of units, batch by batch.
-
-    ``folder/slices`` gets the resolved slices and ``folder/sets`` the state, both under the batch
-    number, so a replayed batch overwrites its own output and starts from the state before it. Units
-    of one stream must arrive in order across micro-batches; inside one they may come in any order.
+UNIT_COLUMNS = ["stream", "unit_no", "nal_type", "sps_id", "height", "width"]
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def settled_slices(units: np.ndarray, set_units: np.ndarray, heights: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each slice the unit of the latest set before it, its height and width, and whether there is one. Sets ascend."""
+    at = np.searchsorted(set_units, units, "left") - 1
+    valid = at >= 0
+    safe = np.maximum(at, 0)
+    pick = lambda x: x[safe] if len(x) else np.zeros(len(units), np.int64)
+    return pick(set_units), pick(heights), pick(widths), valid
+
+
+class _ActiveSets(StatefulProcessor):
+    def __init__(self, disorder: int, patience_ms: int | None):
+        self.disorder, self.patience = disorder, patience_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sets = handle.getMapState("sets", "unit long", "height int, width int")
+        self.waiting = handle.getListState("waiting", "unit long, nal_type int")
+        self.newest = handle.getValueState("newest", "unit long")
+
+    def _out(self, key, units, kinds, known) -> pd.DataFrame:
+        of = lambda k, kind: np.array([x[k] for x in known], kind)
+        sets, height, width, valid = settled_slices(units, of(0, np.int64), of(1, np.int64), of(2, np.int64))
+        one = lambda x, kind: pd.Series(x).astype(kind).where(pd.Series(valid))
+        return pd.DataFrame({"stream": [key[0]] * len(units), "unit_no": units, "nal_type": kinds.astype(np.int32), "sps_id": np.full(len(units), key[1], np.int32),
+                             "sps_unit": one(sets, "Int64"), "height": one(height, "Int32"), "width": one(width, "Int32"), "valid": valid})
+
+    def _known(self) -> list[tuple]:
+        return sorted((k[0], v[0], v[1]) for k, v in self.sets.iterator())
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        units, kinds, newest = [], [], int(self.newest.get()[0]) if self.newest.exists() else -1
+        for pdf in rows:
+            newest = max(newest, int(pdf["unit_no"].max()))
+            is_set = (pdf["nal_type"] == SPS_TYPE).to_numpy()
+            for u, h, w in pdf.loc[is_set, ["unit_no", "height", "width"]].itertuples(index=False):
+                self.sets.updateValue((int(u),), (int(h), int(w)))
+            units.append(pdf.loc[~is_set, "unit_no"].to_numpy(np.int64))
+            kinds.append(pdf.loc[~is_set, "nal_type"].to_numpy(np.int64))
+        if self.waiting.exists():
+            held = list(self.waiting.get())
+            units.append(np.array([r[0] for r in held], np.int64))
+            kinds.append(np.array([r[1] for r in held], np.int64))
+        units, kinds = np.concatenate(units), np.concatenate(kinds)
+        known, safe = self._known(), newest - self.disorder      # units up to ``safe`` have all come
+        done = units <= safe
+        yield self._out(key, units[done], kinds[done], known)
+        self.newest.update((newest,))
+        if done.all():
+            self.waiting.clear()
+        else:
+            self.waiting.put([(int(u), int(k)) for u, k in zip(units[~done], kinds[~done])])
+            if self.patience is not None:
+                for t in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(t)
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience)
+        old = [u for u, _, _ in known if u <= safe]
+        for u in old[:-1]:      # the last one before ``safe`` may still be needed, earlier ones not
+            self.sets.removeKey((u,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = list(self.waiting.get()) if self.waiting.exists() else []
+        self.waiting.clear()
+        yield self._out(key, np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.int64), self._known())
+
+    def close(self) -> None:
+        pass
+
+
+def active_sets(units: DataFrame, disorder: int = 0, patience_ms: int | None = None) -> DataFrame:
+    """Slices of a stream of units (UNIT_COLUMNS) with their sets, once each, as soon as they are settled.
+
+    With ``disorder`` 0 units of a stream come in order across micro-batches, in any order inside one, and nothing waits. The state needs the RocksDB store.
     """
-    def state_before(spark: SparkSession, batch_id: int) -> DataFrame | None:
-        if batch_id == 0:
-            return None
-        snapshot = (batch_id - 1) // snapshot_every * snapshot_every
-        return spark.read.parquet(*[f"{folder}/sets/batch_id={n}" for n in range(snapshot, batch_id)])
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        before = state_before(batch.sparkSession, batch_id)
-        resolve_batch(batch, before).write.mode("overwrite").parquet(f"{folder}/slices/batch_id={batch_id}")
-        changed = batch.select(*UNIT_COLUMNS)
-        if before is not None and batch_id % snapshot_every == 0:
-            changed = changed.unionByName(before.select(*UNIT_COLUMNS))
-        latest_sets(changed).write.mode("overwrite").parquet(f"{folder}/sets/batch_id={batch_id}")
-
-    writer = units.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    kind = units.schema["stream"].dataType.simpleString()
+    out = f"stream {kind}, unit_no long, nal_type int, sps_id int, sps_unit long, height int, width int, valid boolean"
+    slim = units.select("stream", F.col("unit_no").cast("long").alias("unit_no"), "nal_type", "sps_id", "height", "width")
+    return slim.groupBy("stream", "sps_id").transformWithStateInPandas(
+        _ActiveSets(disorder, patience_ms), out, outputMode="Append", timeMode="None" if patience_ms is None else "ProcessingTime")
+
+
+def stateful_packets(units: DataFrame, folder: str, checkpoint: str, once: bool = True, disorder: int = 0, patience_ms: int = 60_000) -> StreamingQuery:
+    """Resolve the slices of a stream of units. ``folder/slices`` gets them under the number of their micro-batch, so a replayed one overwrites itself."""
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/slices/batch_id={batch_id}")
+
+    spark, name = units.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, PROVIDER)
+    try:
+        # A timer would keep a query going that is to end.
+        writer = active_sets(units, disorder, None if once or not disorder else patience_ms).writeStream.outputMode("append").foreachBatch(store).option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if once else writer).start()
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
