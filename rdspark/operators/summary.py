@@ -89,7 +89,7 @@ def whole_lists(points: DataFrame, chunks: DataFrame, keys: Sequence[str] = POIN
     met = points.join(packed, list(keys), "left")
     lost = F.raise_error(F.concat_ws(" ", F.lit("no frames for point"), *[F.col(k).cast("string") for k in keys]))
     checked = met.withColumn("__c", F.when(F.col("__c").isNull(), lost).otherwise(F.col("__c")))
-    return checked.select(*points.columns, *[F.flatten(F.transform("__c", lambda c, n=n: c[n])).alias(n) for n in names])
+    return checked.select(*points.columns, *[F.flatten(F.col(f"__c.{n}")).alias(n) for n in names])
 
 
 def component_summary(frames: DataFrame, keys: Sequence[str] = POINT_KEYS) -> DataFrame:

@@ -276,3 +276,28 @@ def test_observed_totals(spark):
     df = spark.createDataFrame([("d", "s", 5), ("d", "t", 7)], "dataset string, sequence string, frame_num int")
     out, seen = summary.observe_totals(df)
     assert out.count() == 2 and seen.get == {"frames": 12, "points": 2}
+
+
+def test_whole_lists_reach_a_stored_point(spark, tmp_path):
+    frames = [("m", "d", s, 0, k, int(k > 0), 8 * (k + 1), 64, 30.0 + k, 0.5, "000") for s, n in (("a", 11), ("b\"c", 3), ("z", 4)) for k in range(n)]
+    f = spark.createDataFrame(frames, "method string, dataset string, sequence string, rate_idx int, frame_idx int, frame_type int, bits long, pixel_num long, psnr double, msssim double, rate_key string").repartition(5)
+    keys = ["dataset", "sequence", "rate_key"]
+    p = f.groupBy(*keys).agg(F.sum("bits").alias("frame_pixel_num"))
+    chunks = summary.frame_arrays(f, keys, chunk=4)
+    want = {s: [30.0 + k for k in range(n)] for s, n in (("a", 11), ("b\"c", 3), ("z", 4))}
+    assert {r["sequence"]: r["frame_psnr"] for r in summary.whole_lists(p, chunks, keys).collect()} == want
+    with pytest.raises(Exception, match="no frames for point"):
+        summary.whole_lists(p, chunks.where("sequence <> 'a'"), keys).collect()
+    for name, options in (("plain", {}), ("line", {"compact": True})):
+        sinks.write_result_document(p, str(tmp_path / name), lists=chunks, **options)
+        back = rl.read_split_log(spark, "m", str(tmp_path / name), joined=True, split_bytes=50).collect()
+        assert {r["sequence"]: r["frame_psnr"] for r in back} == want and {r["sequence"]: len(r["frame_type"]) for r in back} == {s: len(v) for s, v in want.items()}
+
+
+def test_rd_tables_from_text(spark):
+    df = lambda text: spark.createDataFrame([("m", "d", text)], "method string, dataset string, value string")
+    got = rl.parse_rd_tables(df('{"bpp": [0.1, 0.2], "PSNR": [30, 32.5], "other": [1]}')).collect()
+    assert [(r["rate_key"], r["bpp"], r["value"], r["metric"]) for r in got] == [("000", 0.1, 30.0, "psnr"), ("001", 0.2, 32.5, "psnr")]
+    for bad in ('{"bpp": [1], "psnr": [1, 2]}', '{"bpp": [1]}', "words"):
+        with pytest.raises(Exception):
+            rl.parse_rd_tables(df(bad)).collect()
