@@ -82,7 +82,7 @@ def test_equal_turns_ties_and_texts(spark):
     df = spark.createDataFrame(rows, ROWS)
     got = found(dialogue.repaired_conversations(df))
     assert got[1][:7] == (0, 0, 2, 0, 2, 4, "KDDK")
-    assert got[2][:6] == (0, 0, 0, 0, 2, 4) and got[2] == found(dialogue.repaired_conversations(df.repartition(7)))[2]
+    assert got[2][:6] == (0, 0, 0, 0, 2, 3) and got[2] == found(dialogue.repaired_conversations(df.repartition(7)))[2]
     told = dialogue.repaired_turns(dialogue.keyed(df), dialogue.parsed(dialogue.turns(dialogue.keyed(df))))
     assert sorted(tuple(r) for r in told.where("conv = '1'").collect()) == [("1", 0, "user", "Hi."), ("1", 1, "assistant", "Yes.")]
 
