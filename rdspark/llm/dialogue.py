@@ -127,11 +127,11 @@ def cheapest(cell: tuple) -> tuple[int, str]:
     return min(cell[FROM_START[j]] for j in ENDS if cell[FROM_START[j]] is not None)
 
 
-def keyed(rows: DataFrame) -> DataFrame:
-    """(conv, turn, role, text, copies): conversation ids as text, nulls of conversation, role and text as one space. ``copies`` is 1 where missing."""
+def keyed(rows: DataFrame, copies: str | None = None) -> DataFrame:
+    """(conv, turn, role, text, copies): conversation ids as text, nulls of conversation, role and text as one space. A row is one turn unless ``copies`` names a count."""
     one = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
-    copies = F.col("copies").cast("long") if "copies" in rows.columns else F.lit(1).cast("long")
-    return rows.select(one("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"), one("role").alias("role"), one("text").alias("text"), copies.alias("copies"))
+    count = (F.col(copies) if copies else F.lit(1)).cast("long")
+    return rows.select(one("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"), one("role").alias("role"), one("text").alias("text"), count.alias("copies"))
 
 
 def _hashes() -> list[Column]:
@@ -303,12 +303,12 @@ def digests(repaired: DataFrame) -> DataFrame:
     return repaired.mapInArrow(run, "conv string, repaired_sha256 string")
 
 
-def repaired_conversations(rows: DataFrame, ids: DataFrame | None = None, block: int = BLOCK, fan: int = FAN) -> DataFrame:
+def repaired_conversations(rows: DataFrame, ids: DataFrame | None = None, block: int = BLOCK, fan: int = FAN, copies: str | None = None) -> DataFrame:
     """(conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256), one row a conversation of ``rows`` (conv_id, turn, role, text), and of
-    ``ids`` where given: conversations that may have lost all their turns."""
+    ``ids`` where given: conversations that may have lost all their turns. ``copies`` names a column that says how often a row stands."""
     source = ids if ids is not None else rows
     kind = source.schema["conv_id"].dataType
-    turns_ = keyed(rows)
+    turns_ = keyed(rows, copies)
     own = turns(turns_)
     parse = parsed(own, block, fan)
     digest = digests(repaired_turns(turns_, parse))

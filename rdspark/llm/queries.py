@@ -87,7 +87,7 @@ def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations")
-    return dialogue.repaired_conversations(dialogue.damaged(rows), ids=rows)
+    return dialogue.repaired_conversations(dialogue.damaged(rows), ids=rows, copies="copies")
 
 
 def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:

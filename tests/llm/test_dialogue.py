@@ -36,7 +36,7 @@ def found(df):
 def test_repair_is_the_cheapest(spark, block, fan):
     rows = random_rows(300, 4)
     df = spark.createDataFrame(rows, ROWS).repartition(5)
-    got = found(dialogue.repaired_conversations(dialogue.damaged(df), ids=df, block=block, fan=fan))
+    got = found(dialogue.repaired_conversations(dialogue.damaged(df), ids=df, block=block, fan=fan, copies="copies"))
     assert got == {c: plain_dialogue.repaired(t) for c, t in plain_dialogue.damage(rows).items()}
 
 
@@ -90,10 +90,10 @@ def test_equal_turns_ties_and_texts(spark):
 def test_long_texts_empty_table_and_other_columns(spark):
     rows = [(1, 0, "user", "a b. " * 100_000), (1, 1, "assistant", "b" * 2_000_000)]
     want = plain_dialogue.repaired([r[1:] for r in rows])
-    clash = spark.createDataFrame([(*r, "x", "y", "z", 5) for r in rows], f"{ROWS}, conv string, n string, h1 string, kind int")
+    clash = spark.createDataFrame([(*r, "x", "y", "z", 5, 9) for r in rows], f"{ROWS}, conv string, n string, h1 string, kind int, copies int")
     assert found(dialogue.repaired_conversations(clash)) == {1: want}
     nothing = spark.createDataFrame([], ROWS)
-    assert dialogue.repaired_conversations(dialogue.damaged(nothing), ids=nothing).count() == 0
+    assert dialogue.repaired_conversations(dialogue.damaged(nothing), ids=nothing, copies="copies").count() == 0
 
 
 def test_query_on_the_given_table(spark):
