@@ -13,8 +13,9 @@ D = (1 - t) / (1 + t) * (|A| + |B|); with m > D blocks at least m - D words are
 * A set with too few non-empty blocks (D or fewer) also joins under the words of all its tokens; if these are too few as well,
   under its tokens themselves. Two sets that both lack blocks meet there.
 * Documents with equal sets are one class before anything is joined, and a task gives the keys of a class once.
-* Of the documents that share a word only pairs with one leader are checked, the same leader wherever it occurs. What is then not in one
-  component is tried with other leaders, and at last in pairs across components, so a group of near copies costs about one pair a member.
+* Of the documents that share a word only pairs with one leader are checked, the same leader wherever it occurs, so a group of near copies
+  costs about one pair a member. Where a run, the documents of one word, is then not in one component, its sketches meet inside a task, long runs in blocks of
+  bounded bytes: only pairs across components within D become rows, first the nearest of any two components, then what is left.
 
 Candidates must pass by their sizes and by the Hamming distance of longer sketches, of 2 to 4 bits a token; the rest are verified by the sizes of the true
 intersections. Classes are named by a 64-bit hash of the set.
@@ -36,13 +37,17 @@ from rdspark.llm.tables import buckets, columns, fresh, texts, written
 from rdspark.llm.words import mix, shingle_sets, slabs, word_hashes
 
 SIMILARITY, SHINGLE = 80, 5
-#: Documents in the sample that finds common shingles; a shingle in HEAVY of them is common. At most HEAVY_LIST are left out.
-SAMPLE, HEAVY, HEAVY_LIST = 4000, 8, 1 << 19
-BITS = 1 << 23
-#: Rounds of single leaders, after the first, while pairs across components are more than so many times the rows of the runs.
-STAR_ROUNDS, PAIRS_A_ROW = 3, 20
+#: The sample that finds common shingles is one document in SAMPLE_SHARE, and SAMPLE at least; a shingle in HEAVY of them is common. So a shingle becomes
+#: common at the same number of documents in corpora of any size. At most HEAVY_LIST are left out.
+SAMPLE, SAMPLE_SHARE, HEAVY, HEAVY_LIST = 4000, 12, 8, 1 << 19
+#: Least and most bits of a bitmap, both as powers of two.
+BITS, MOST_BITS = 23, 28
+#: Keys that a task holds before it hands them on, and about as many as a bucket gets.
+HELD, BUCKET_KEYS = 1 << 19, 1 << 20
 #: Rounds of the nearest pair between two components before all that are left are verified.
 PAIR_ROUNDS = 1
+#: Bytes of sketches of one block of a run, and pairs that a task holds before it reduces them.
+BLOCK_BYTES, HELD_PAIRS = 1 << 21, 1 << 17
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -127,8 +132,7 @@ def _sets(batch: pa.RecordBatch):
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, row_key, class, n, sample) of each row: ``sample`` holds the set of the rows drawn to find common shingles."""
     n = docs.select(F.lit(1)).count()
-    wanted = max(SAMPLE, int(8 * n ** 0.5))
-    share = min(1.0, wanted / max(n, 1))
+    share = min(1.0, max(SAMPLE, n / SAMPLE_SHARE) / max(n, 1))
 
     def run(batches):
         for batch in batches:
@@ -155,18 +159,26 @@ def common_shingles(rows: DataFrame) -> np.ndarray:
     return np.sort(found.select("s").toArrow().column("s").to_numpy().view(np.uint64))
 
 
-def candidates(docs: DataFrame, common: np.ndarray, similarity: int) -> DataFrame:
+def representatives(rows: DataFrame) -> DataFrame:
+    """(class, row_key, n) of each class that is not empty; the row with the least key stands for it."""
+    return written(rows.where("n > 0").groupBy("class").agg(F.min("row_key").alias("row_key"), F.max("n").alias("n")), "representatives")
+
+
+def candidates(docs: DataFrame, reps: DataFrame, common: np.ndarray, similarity: int) -> DataFrame:
     """(a, b, members): either a pair of a run's leader and another class of it, or the packed classes, leader first, of a run of three or more.
 
-    A run stays one row: it is looked at again only if what its leader's pairs say leaves it in several components.
+    A run stays one row: it is looked at again only if what its leader's pairs say leaves it in several components. Keys are made from the
+    rows that stand for their class, and there are as many buckets as the shingles of all classes need.
     """
     spark = docs.sparkSession
-    n_buckets = buckets(spark)
+    n_buckets = buckets(spark, (reps.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]) / BUCKET_KEYS)
     shared = spark.sparkContext.broadcast(common)      # bounded by HEAVY_LIST
+    chosen = spark.sparkContext.broadcast(_bitmap(reps.select("row_key"), _bits(reps.count())))
 
     def pack(batches):
         packer, seen = Packer(n_buckets), set()
         for batch in batches:
+            batch = _chosen(batch, chosen.value)
             for _, sets in _sets(batch):
                 for s in sets:
                     if len(s):
@@ -174,7 +186,7 @@ def candidates(docs: DataFrame, common: np.ndarray, similarity: int) -> DataFram
                         if name not in seen:
                             seen.add(name)
                             packer.add(name & 0xFFFFFFFFFFFFFFFF, keys_of(s, shared.value, similarity))
-                            if packer.full:
+                            if packer.full or packer.held >= HELD:
                                 yield packer.blobs()
                                 seen = set()
         yield packer.blobs()
@@ -203,29 +215,38 @@ def candidates(docs: DataFrame, common: np.ndarray, similarity: int) -> DataFram
     return written(blobs.groupBy("bucket").applyInArrow(meet, "a long, b long, members binary"), "candidates")
 
 
-def _bitmap(positions: DataFrame) -> np.ndarray:
-    """BITS packed bits, those at the values of the one column set: a table of fixed size."""
-    at = F.col(positions.columns[0])
-    parts = positions.groupBy(F.floor(at / 32768).alias("part")).agg(F.bitmap_construct_agg(at % 32768).alias("bits")).collect()
-    bits = np.zeros(BITS >> 3, np.uint8)
+def _bits(count: int) -> int:
+    """Bits of a bitmap for so many values: a power of two, about 16 to 32 a value between the least and most allowed."""
+    return 1 << min(max(BITS, (16 * count).bit_length()), MOST_BITS)
+
+
+def _bitmap(values: DataFrame, n_bits: int) -> np.ndarray:
+    """Packed bits, those at the values of the one column modulo ``n_bits`` set: at most 2^MOST_BITS of them."""
+    at = F.pmod(F.col(values.columns[0]), F.lit(n_bits))
+    parts = values.groupBy(F.floor(at / 32768).alias("part")).agg(F.bitmap_construct_agg(at % 32768).alias("bits")).collect()
+    bits = np.zeros(n_bits >> 3, np.uint8)
     for p in parts:
         bits[p["part"] << 12:(p["part"] + 1) << 12] = np.frombuffer(p["bits"], np.uint8)
     return bits
 
 
-def _is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _is_set(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = np.mod(values, len(bits) << 3)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, sketch: bool) -> DataFrame:
-    """(class, n, value) of the wanted classes, each from the row with the least key: the sketch of its set, or the set. A bitmap spares other rows."""
-    chosen = rows.where("n > 0").groupBy("class").agg(F.min("row_key").alias("row_key")).join(wanted, "class")
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(chosen.select(F.pmod("row_key", F.lit(BITS)).alias("at"))))
+def _chosen(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
+    return batch.filter(pa.array(_is_set(bits, batch.column("row_key").to_numpy()), pa.bool_()))
+
+
+def sets_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame, sketch: bool) -> DataFrame:
+    """(class, n, value) of the wanted classes, each from the row that stands for it: the sketch of its set, or the set. A bitmap spares other rows."""
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(reps.join(wanted, "class").select("row_key"), _bits(reps.count())))
 
     def run(batches):
         seen = set()      # a task gives a class once; what several tasks give is equal
         for batch in batches:
-            batch = batch.filter(pa.array(_is_set(shared.value, np.mod(batch.column("row_key").to_numpy(), BITS))))
+            batch = _chosen(batch, shared.value)
             for _, sets in _sets(batch):
                 rows_ = []
                 for s in sets:
@@ -256,11 +277,28 @@ def near_pairs(pairs: DataFrame, sketches: DataFrame, similarity: int) -> DataFr
     return met.mapInArrow(run, pairs.withColumn("distance", F.lit(0).cast("long")).schema)
 
 
-def linked(docs: DataFrame, rows: DataFrame, pairs: DataFrame, similarity: int) -> DataFrame:
+class ClassSets:
+    """The sets of classes, written when a pair first needs them and kept for later rounds."""
+
+    def __init__(self, docs: DataFrame, reps: DataFrame):
+        self.docs, self.reps, self.made = docs, reps, None
+
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """(class, value) of at least the wanted classes, one row each."""
+        if self.made is not None:
+            wanted = wanted.join(self.made.select("class").distinct(), "class", "left_anti")
+        if self.made is None or not wanted.isEmpty():
+            new = sets_of(self.docs, self.reps, wanted, sketch=False)
+            self.made = new if self.made is None else self.made.unionByName(new)
+        return self.made.select("class", "value").dropDuplicates(["class"])
+
+
+def linked(sets: ClassSets, pairs: DataFrame, similarity: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar enough. Only the sets of these pairs are made and moved."""
-    sets = sets_of(docs, rows, _classes_of(pairs), sketch=False)
-    met = pairs.select("a", "b").join(sets.select(F.col("class").alias("b"), F.col("value").alias("tb")), "b").join(
-        sets.select(F.col("class").alias("a"), F.col("value").alias("ta")), "a")
+    wanted = _classes_of(pairs)
+    values = sets.of(wanted).join(wanted, "class", "left_semi")
+    met = pairs.select("a", "b").join(values.select(F.col("class").alias("b"), F.col("value").alias("tb")), "b").join(
+        values.select(F.col("class").alias("a"), F.col("value").alias("ta")), "a")
 
     def run(batches):
         for batch in batches:
@@ -288,72 +326,161 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
         F.coalesce("node", "old").alias("node"), F.coalesce("new", "root").alias("root")), "roots")
 
 
-def settled(docs: DataFrame, rows: DataFrame, roots: DataFrame, pairs: DataFrame, similarity: int) -> DataFrame:
+def settled(sets: ClassSets, roots: DataFrame, pairs: DataFrame, similarity: int) -> DataFrame:
     """Components after all links among ``pairs`` (a, b, distance): of the pairs between two components the nearest is tried first."""
     for turn in range(PAIR_ROUNDS + 1):
         pairs = written(_with_roots(pairs.select("a", "b", "distance"), roots), "pairs")
         if pairs.isEmpty():
             return roots
         last = turn == PAIR_ROUNDS
-        tried = pairs if last else pairs.groupBy(F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y")).agg(
-            F.min(F.struct("distance", "a", "b", "ra", "rb")).alias("p")).select("p.*")
-        tried = written(tried, "tried")
-        found = linked(docs, rows, tried, similarity).distinct().join(tried.select("a", "b", "ra", "rb").distinct(), ["a", "b"])
-        roots = _merged(roots, found.select("ra", "rb"))
+        tried = pairs if last else written(_nearest(pairs), "tried")
+        roots = _joined(sets, roots, tried, similarity)
         if last:
             return roots
         pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
     return roots
 
 
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """The nearest of the pairs (a, b, distance, ra, rb) between any two components."""
+    return pairs.groupBy(F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y")).agg(
+        F.min(F.struct("distance", "a", "b", "ra", "rb")).alias("p")).select("p.*")
+
+
+def _joined(sets: ClassSets, roots: DataFrame, tried: DataFrame, similarity: int) -> DataFrame:
+    """Roots after the links among the written pairs ``tried`` (a, b, ra, rb)."""
+    found = linked(sets, tried, similarity).distinct().join(tried.select("a", "b", "ra", "rb").distinct(), ["a", "b"])
+    return _merged(roots, found.select("ra", "rb"))
+
+
 def open_runs(found: DataFrame, roots: DataFrame) -> DataFrame:
     """(run, class) of the runs that lie in several components: some pair with the leader does. A bitmap of such pairs finds them where they stand."""
-    apart = _with_roots(found.where("a is not null").select("a", "b").distinct(), roots)
-    bits = _bitmap(apart.select((F.col("a").bitwiseXOR(F.col("b"))).alias("x")).select(F.pmod("x", F.lit(BITS)).alias("at")))
-    shared = found.sparkSession.sparkContext.broadcast(bits)
+    apart = written(_with_roots(found.where("a is not null").select("a", "b").distinct(), roots).select(F.col("a").bitwiseXOR(F.col("b")).alias("x")), "apart")
+    shared = found.sparkSession.sparkContext.broadcast(_bitmap(apart, _bits(apart.count())))
 
     def run(batches):
         for batch in batches:
             for x in batch.column("members"):
                 m = np.frombuffer(x.as_buffer(), np.int64)
-                if _is_set(shared.value, np.mod(m[1:] ^ m[0], BITS)).any():
+                if _is_set(shared.value, m[1:] ^ m[0]).any():
                     name = mix(mix(m.view(np.uint64)) ^ _GOLD).sum(dtype=np.uint64).view(np.int64)      # runs of the same classes are one
                     yield pa.record_batch([pa.array(np.full(len(m), name)), pa.array(m)], names=["run", "class"])
     return found.where("members is not null").select("members").mapInArrow(run, "run long, class long").distinct()
 
 
+def _folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    while len(sketch) > size:
+        sketch = sketch[:len(sketch) // 2] ^ sketch[len(sketch) // 2:]
+    return sketch
+
+
+def sieved(names: np.ndarray, roots: np.ndarray, sizes: np.ndarray, sides: np.ndarray, sketches: list, similarity: int):
+    """Arrays (a, b, ra, rb, distance) of the pairs across components that sizes and sketches leave possible, a row of the block at a time.
+
+    If both sides, 0 and 1, occur, pairs are between them. Rows go by the length of their sketch; those of longer ones are folded to it.
+    """
+    lengths = np.array([len(x) for x in sketches])
+    order = np.argsort(lengths, kind="stable")
+    names, roots, sizes, sides, lengths = names[order], roots[order], sizes[order], sides[order], lengths[order]
+    both = len(np.unique(sides)) > 1
+    for length in np.unique(lengths):
+        first, end = np.searchsorted(lengths, length), np.searchsorted(lengths, length, "right")
+        table = np.stack([_folded(np.frombuffer(sketches[k], np.uint8), length) for k in order[first:]]).view(np.uint64)
+        for i in range(first, end):
+            j = np.flatnonzero(roots[i + 1:] != roots[i]) + i + 1
+            if both:
+                j = j[sides[j] != sides[i]]
+            j = j[100 * np.minimum(sizes[j], sizes[i]) >= similarity * np.maximum(sizes[j], sizes[i])]
+            if len(j):
+                distance = np.bitwise_count(table[j - first] ^ table[i - first]).sum(1, dtype=np.int64)
+                near = distance <= (100 - similarity) * (sizes[j] + sizes[i]) // (100 + similarity)
+                j = j[near]
+                if len(j):
+                    yield np.full(len(j), names[i]), names[j], np.full(len(j), roots[i]), roots[j], distance[near]
+
+
+def _nearest_pairs(found: list) -> list:
+    """Of the arrays (a, b, ra, rb, distance) the nearest pair of any two components."""
+    a, b, ra, rb, d = (np.concatenate(x) for x in zip(*found))
+    x, y = np.minimum(ra, rb), np.maximum(ra, rb)
+    order = np.lexsort((d, y, x))
+    keep = order[np.r_[True, (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])]]
+    return [(a[keep], b[keep], ra[keep], rb[keep], d[keep])]
+
+
+def across(runs: DataFrame, sketches: DataFrame, similarity: int, nearest: bool) -> DataFrame:
+    """(a, b, ra, rb, distance) of the pairs in the runs (run, class, root) that lie across components and may be similar; ``nearest``: one of
+    any two components and block. The members of a run meet in blocks of BLOCK_BYTES of sketches, each two blocks of a long run in a task of their own."""
+    spark = runs.sparkSession
+    one = sketches.select("class", "n", "value").dropDuplicates(["class"])
+    met = written(runs.join(one, "class"), "run-sketches")
+    parts = met.groupBy("run").agg(F.ceil(F.sum(F.length("value")) / BLOCK_BYTES).cast("int").alias("parts")).where("parts > 1")
+    placed = met.join(parts, "run", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("p", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+    dealt = placed.select("run", "class", "root", "n", "value", "p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q")).select(
+        "run", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), F.when(F.col("p") > F.col("q"), 1).otherwise(0).alias("side"), "class", "root", "n", "value")
+    dealt = dealt.repartition(buckets(spark), "run", "x", "y").sortWithinPartitions("run", "x", "y")
+
+    def groups(batches):
+        held, name = [], None
+        for batch in batches:
+            ids = np.stack([batch.column(k).to_numpy() for k in range(3)]) if batch.num_rows else np.zeros((3, 0), np.int64)
+            cuts = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1), batch.num_rows]
+            for k, end in zip(cuts[:-1], cuts[1:]):
+                if end > k:
+                    if held and tuple(ids[:, k]) != name:
+                        yield held
+                        held = []
+                    held.append(batch.slice(k, end - k))
+                    name = tuple(ids[:, k])
+        if held:
+            yield held
+
+    def run(batches):
+        def batch_of(found):
+            return pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found)], names=["a", "b", "ra", "rb", "distance"])
+        out, count = [], 0
+        for group in groups(batches):
+            side, name, root, n = (np.concatenate([b.column(k).to_numpy() for b in group]).astype(np.int64) for k in range(3, 7))
+            if (group[0].column(1)[0] != group[0].column(2)[0]) and len(np.unique(side)) < 2:
+                continue      # no member of one of the two blocks
+            values = [v.as_buffer() for b in group for v in b.column(7)]
+            for pairs in sieved(name, root, n, side, values, similarity):
+                out.append(pairs)
+                count += len(pairs[0])
+                if count >= HELD_PAIRS:
+                    if nearest:
+                        out = _nearest_pairs(out)
+                        count = len(out[0][0])
+                    if count >= HELD_PAIRS // 2:
+                        yield batch_of(out)
+                        out, count = [], 0
+        if out:
+            yield batch_of(_nearest_pairs(out) if nearest else out)
+    return dealt.mapInArrow(run, "a long, b long, ra long, rb long, distance long")
+
+
 def class_links(docs: DataFrame, rows: DataFrame, similarity: int) -> DataFrame:
     """(node, root): components of the classes that have links."""
-    found = candidates(docs, common_shingles(rows), similarity)
+    reps = representatives(rows)
+    found = candidates(docs, reps, common_shingles(rows), similarity)
     pairs = written(found.where("a is not null").select("a", "b").distinct(), "star-pairs")
-    sketches = sets_of(docs, rows, _classes_of(pairs), sketch=True)
+    sketches, sets = sets_of(docs, reps, _classes_of(pairs), sketch=True), ClassSets(docs, reps)
     near = written(near_pairs(pairs, sketches, similarity), "near")
     # One leader for each member first, the nearest; what that leaves apart is tried after.
     first = near.groupBy("b").agg(F.min(F.struct("distance", F.xxhash64("a").alias("h"), "a"))["a"].alias("a"))
-    roots = written(components(linked(docs, rows, written(first, "first"), similarity), "a", "b"), "roots")
-    roots = settled(docs, rows, roots, near, similarity)
+    roots = written(components(linked(sets, written(first, "first"), similarity), "a", "b"), "roots")
+    roots = settled(sets, roots, near, similarity)
     runs = written(open_runs(found, roots), "runs")
-    for turn in range(STAR_ROUNDS + 1):
+    for nearest in (True, False):
         # Runs that are not in one component yet.
         named = runs.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
         open_ = named.groupBy("run").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("run")
-        runs = written(named.join(open_, "run"), "runs")
-        per = runs.groupBy("run", "root").count().groupBy("run").agg(
-            F.sum("count").alias("rows"), ((F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))) / 2).alias("pairs"))
-        left = per.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
-        if not left["pairs"]:
-            return roots
-        last = turn == STAR_ROUNDS or left["pairs"] <= PAIRS_A_ROW * left["rows"]
-        if last:
-            other = runs.select("run", F.col("class").alias("b"), F.col("root").alias("rb"))
-            new = runs.select("run", F.col("class").alias("a"), F.col("root").alias("ra")).join(other, "run").where("ra < rb")
-        else:
-            lead = runs.groupBy("run").agg(F.min(F.struct(F.xxhash64("class", F.lit(turn)).alias("h"), "class", "root")).alias("l"))
-            new = runs.join(lead, "run").where(F.col("root") != F.col("l.root")).select(F.col("l.class").alias("a"), F.col("class").alias("b"))
-        roots = settled(docs, rows, roots, near_pairs(new.select("a", "b").distinct(), sketches, similarity), similarity)
-        if last:
-            return roots
-        runs = runs.select("run", "class")
+        left = across(named.join(open_, "run").select("run", "class", "root"), sketches, similarity, nearest)
+        left = written(_nearest(left) if nearest else left.select("a", "b", "ra", "rb").distinct(), "across")
+        if left.isEmpty():
+            break
+        roots = _joined(sets, roots, left, similarity)
+    return roots
 
 
 def _members(docs: DataFrame, similarity: int) -> DataFrame:
