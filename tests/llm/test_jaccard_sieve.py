@@ -5,10 +5,10 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import plain
 import pytest
-
 from rdspark.llm import jaccard
-import plain
+
 
 
 def sets_near(r, groups: int, members: int):
